@@ -12,8 +12,8 @@ EXACT = 4096  # lengths up to this are counted singly; above, in steps of 1/2048
 STEPS = 2048
 
 
-def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+def word_count(text: Column | str) -> Column:
+    return F.coalesce(F.regexp_count(text if isinstance(text, Column) else F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def grid(length: Column) -> Column:
@@ -65,32 +65,33 @@ def pack(rows: DataFrame, id_col: str = "doc_id", length_col: str = "length", n_
 
     Every batch lies in one bucket and holds at most token_budget padded tokens, one row at least; only the last batch of a
     bucket may be short. A null length counts as 0; rows of length 0 pad to their bucket like others. Null and repeated ids
-    are ordinary rows. Empty input gives no rows. A bucket may hold any share of the rows: its rows are numbered in
+    are ordinary rows. Empty input gives no rows. Input columns with the
+    names of the added ones are replaced. A bucket may hold any share of the rows: its rows are numbered in
     chunks of about rows_per_chunk, and each chunk starts where the counts of the earlier ones end.
     """
     spark = rows.sparkSession
-    sized = rows.withColumn(length_col, F.coalesce(F.col(length_col), F.lit(0)).cast("long")).withColumn("bin", grid(F.col(length_col)))
+    made = ["bucket", "bucket_length", "batch", "place", "padding"]
+    kept = [c for c in rows.columns if c not in {*made, length_col}]
+    sized = rows.select(F.struct(*kept).alias("_row"), F.col(id_col).alias("_id"), F.coalesce(F.col(length_col), F.lit(0)).cast("long").alias("_length")).withColumn("_bin", grid(F.col("_length")))
     # The number of bins depends on the longest text only, and on its logarithm beyond EXACT.
-    histogram = sized.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.max(length_col).alias("top")).toPandas()
-    if not len(histogram):
-        return sized.select(*rows.columns, F.lit(0).alias("bucket"), F.lit(0).cast("long").alias("bucket_length"), F.lit(0).cast("long").alias("batch"), F.lit(0).cast("long").alias("place"), F.lit(0).cast("long").alias("padding"))
-    bounds = optimal_bounds(histogram["bin"].to_numpy(), histogram["n"].to_numpy(), n_buckets)
-    # A bound is the longest text in its bucket, not the rounded bin.
-    inside = np.searchsorted(bounds, histogram["bin"].to_numpy())
+    histogram = sized.groupBy("_bin").agg(F.count(F.lit(1)).alias("n"), F.max("_length").alias("top")).toPandas()
+    bounds = optimal_bounds(histogram["_bin"].to_numpy(), histogram["n"].to_numpy(), n_buckets) if len(histogram) else []
+    # A bucket's padded length is its longest text's, not the rounded bin.
+    inside = np.searchsorted(bounds, histogram["_bin"].to_numpy())
     real = histogram.assign(bucket=inside).groupby("bucket").agg(top=("top", "max"), n=("n", "sum"))
-    info = [(int(b), int(bounds[b]), int(r.top), max(1, token_budget // max(1, int(r.top))), max(1, -(-int(r.n) // rows_per_chunk))) for b, r in real.iterrows()]
+    info = [(int(b), int(r.top), max(1, token_budget // max(1, int(r.top))), max(1, -(-int(r.n) // rows_per_chunk))) for b, r in real.iterrows()]
     bucket = F.lit(None).cast("int")
-    for b, bound, *_ in reversed(info):
-        bucket = F.when(F.col("bin") <= bound, F.lit(b)).otherwise(bucket)
-    table = spark.createDataFrame(info, "bucket int, bound long, bucket_length long, capacity long, chunks int")
-    dealt = sized.withColumn("bucket", bucket).join(F.broadcast(table), "bucket").withColumn("chunk", F.pmod(F.xxhash64(id_col, length_col), F.col("chunks")).cast("int"))
-    counts = dealt.groupBy("bucket", "chunk").agg(F.count(F.lit(1)).alias("n"))
+    for b, bound in reversed(list(enumerate(bounds))):
+        bucket = F.when(F.col("_bin") <= bound, F.lit(b)).otherwise(bucket)
+    table = spark.createDataFrame(info, "bucket int, bucket_length long, _capacity long, _chunks int")
+    dealt = sized.withColumn("bucket", bucket).join(F.broadcast(table), "bucket").withColumn("_chunk", F.pmod(F.xxhash64("_id", "_length"), F.col("_chunks")).cast("int"))
+    counts = dealt.groupBy("bucket", "_chunk").agg(F.count(F.lit(1)).alias("n"))
     # One row per chunk, so a ten-thousandth of the rows: a running sum in each bucket.
-    earlier = Window.partitionBy("bucket").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("bucket", "chunk", F.coalesce(F.sum("n").over(earlier), F.lit(0)).cast("long").alias("base"))
-    within = Window.partitionBy("bucket", "chunk").orderBy(F.xxhash64(id_col), id_col, length_col)
-    ranked = dealt.withColumn("row", F.row_number().over(within)).join(bases, ["bucket", "chunk"]).withColumn("rank", F.col("base") + F.col("row") - 1)
-    return ranked.select(*rows.columns, "bucket", "bucket_length", F.expr("rank div capacity").alias("batch"), F.expr("rank % capacity").alias("place"), (F.col("bucket_length") - F.col(length_col)).alias("padding"))
+    earlier = Window.partitionBy("bucket").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("bucket", "_chunk", F.coalesce(F.sum("n").over(earlier), F.lit(0)).cast("long").alias("_base"))
+    within = Window.partitionBy("bucket", "_chunk").orderBy(F.xxhash64("_id"), "_id", "_length")
+    ranked = dealt.withColumn("_place", F.row_number().over(within)).join(bases, ["bucket", "_chunk"]).withColumn("_rank", F.col("_base") + F.col("_place") - 1)
+    return ranked.select(*(F.col("_row")[c].alias(c) for c in kept), F.col("_length").alias(length_col), "bucket", "bucket_length", F.expr("_rank div _capacity").alias("batch"), F.expr("_rank % _capacity").alias("place"), (F.col("bucket_length") - F.col("_length")).alias("padding"))
 
 
 def op5_packing(spark, sf_dir: str) -> DataFrame:

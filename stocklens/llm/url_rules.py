@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .common import ascii_lower
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+BROADCAST_HOSTS = 100_000
 
 
 def with_host_and_path(pages: DataFrame, url: str = "url") -> DataFrame:
@@ -64,9 +65,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default_verdict: str = "allow
     levels = urls.withColumn("labels", labels).withColumn("level", F.explode(F.sequence(F.lit(1), F.least(F.size("labels"), F.lit(max(deepest, 1))))))
     probes = levels.withColumn("rev", reversed_host(F.expr("slice(labels, size(labels) - level + 1, level)"))).drop("labels", "level")
     held = boundaries.groupBy("rev").agg(F.count(F.lit(1)).alias("n_rules"))
-    probes = probes.join(held.select("rev"), "rev", "left_semi")
+    # Rule hosts go to every task while they are few; beyond that the joins shuffle and Spark splits skewed partitions.
+    few = F.broadcast if held.count() <= BROADCAST_HOSTS else lambda df: df
+    probes = probes.join(few(held.select("rev")), "rev", "left_semi")
     busy = probes.groupBy("rev").agg(F.count(F.lit(1)).alias("n_urls")).join(held, "rev")
-    salts = busy.select("rev", F.ceil(F.col("n_urls") / F.greatest(F.lit(rows_per_group), 4 * F.col("n_rules"))).cast("int").alias("salts"))
+    salts = few(busy.select("rev", F.ceil(F.col("n_urls") / F.greatest(F.lit(rows_per_group), 4 * F.col("n_rules"))).cast("int").alias("salts")))
     probes = probes.join(salts, "rev").withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.col("salts")).cast("int")).drop("salts")
     probes = probes.select("rev", "salt", F.col("path").cast("binary").alias("key"), F.lit(1).alias("rank"), "page_id", "url")
     spread = boundaries.join(salts, "rev").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
