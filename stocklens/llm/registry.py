@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, packing, sharding, url_rules
+from . import byte_bpe, ngram_join, packing, sharding, url_rules
 
 QUERIES = {
     "op5_packing": packing.op5_packing,
     "op6_byte_bpe": byte_bpe.op6_byte_bpe,
+    "op7_ngram_jaccard": ngram_join.op7_ngram_jaccard,
     "op8_url_rules": url_rules.op8_url_rules,
     "op9_shards": sharding.op9_shards,
 }
