@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, ngram_join, packing, sharding, url_rules
+from . import byte_bpe, ngram_join, packing, sharding, substring_dedup, url_rules
 
 QUERIES = {
+    "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_packing": packing.op5_packing,
     "op6_byte_bpe": byte_bpe.op6_byte_bpe,
     "op7_ngram_jaccard": ngram_join.op7_ngram_jaccard,
