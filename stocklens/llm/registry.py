@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, ngram_join, packing, sharding, substring_dedup, url_rules
+from . import byte_bpe, embedding_dedup, ngram_join, packing, sharding, substring_dedup, url_rules
 
 QUERIES = {
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
@@ -11,5 +11,6 @@ QUERIES = {
     "op7_ngram_jaccard": ngram_join.op7_ngram_jaccard,
     "op8_url_rules": url_rules.op8_url_rules,
     "op9_shards": sharding.op9_shards,
+    "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
 }
 ORACLES = {"op8_url_rules": url_rules.SQL}
