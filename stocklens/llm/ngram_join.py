@@ -250,5 +250,22 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     return out.select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
+def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one document of each group, that of the smallest doc_id; rows with a null doc_id stay. All columns are kept.
+
+    Rows that share a doc_id stay or go together, unless their texts are equal too: then one stays.
+    """
+    found = near_duplicates(docs, n, percent)
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    few = F.broadcast if gone.count() <= BROADCAST_IDS else lambda df: df
+    kept = docs.join(few(gone), "doc_id", "left_anti").select(docs.columns)
+    # Only ids that occur twice are looked at again, so texts of the others are not shuffled.
+    twice = kept.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if twice.isEmpty():
+        return kept
+    few = F.broadcast if twice.count() <= BROADCAST_IDS else lambda df: df
+    return kept.join(few(twice), "doc_id", "left_anti").select(docs.columns).unionByName(kept.join(few(twice), "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"]))
+
+
 def op7_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=4, percent=85)

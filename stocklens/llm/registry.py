@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, embedding_dedup, ngram_join, packing, sharding, substring_dedup, url_rules
+from . import byte_bpe, divergence, embedding_dedup, ngram_join, packing, rule_ensemble, sharding, substring_dedup, toxicity, url_rules
 
 QUERIES = {
+    "op1_divergence": divergence.op1_divergence,
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op3_rule_ensemble": rule_ensemble.op3_rule_ensemble,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_packing": packing.op5_packing,
     "op6_byte_bpe": byte_bpe.op6_byte_bpe,
