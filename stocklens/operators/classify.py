@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,13 +29,13 @@ def rule(condition: Column, scope: str, confidence: float, reason: Column | str)
     return F.when(F.coalesce(condition, F.lit(False)), told)
 
 
-def matched(entries: list[str], fits) -> Column:
-    """The first entry that fits, else null."""
-    return F.coalesce(*(F.when(fits(e), F.lit(e)) for e in entries))
+def matched(entries: list[str], text: Column, form: str) -> Column:
+    """The first entry that fits, else null; form holds {e} where the entry stands. One pattern, whose alternatives are tried in order."""
+    one = lambda e: form.format(e=re.escape(e))
+    return F.nullif(F.regexp_extract(text, "^(?:" + "|".join(map(one, entries)) + ")", 0), F.lit(""))
 
 
-def named(entries: list[str], fits, scope: str, confidence: float, label: str) -> Column:
-    entry = matched(entries, fits)
+def named(entry: Column, scope: str, confidence: float, label: str) -> Column:
     return rule(entry.isNotNull(), scope, confidence, F.concat(F.lit(f"{label}: "), entry))
 
 
@@ -68,14 +70,17 @@ def ecosystem_rules(eco: Column, source: Column) -> list[Column]:
 
 def name_rules(name: Column) -> list[Column]:
     low = F.lower(name)
-    tool = lambda e: (low == e) | low.startswith(f"{e}-") | low.startswith(f"{e}_")
+    tool = lambda entries: matched(entries, low, "{e}(?=$|[-_])")
+    c_library = matched(C_LIBRARIES, F.regexp_replace(low, "^lib", ""), "{e}$")
+    runtime = matched(RUNTIME_LIBRARIES, low, "{e}(?=$|-)|lib{e}")
+    bare = F.when(runtime.isin(RUNTIME_LIBRARIES), runtime).otherwise(F.substring(runtime, 4, 99))
     return [
-        named(TEST_FRAMEWORKS, tool, TEST, 1.0, "Test framework"),
-        named(BUILD_TOOLS, tool, BUILD, 1.0, "Build tool"),
-        named(DEV_TOOLS, tool, DEV, 1.0, "Development tool"),
-        named(SANITIZERS, tool, DEV, 1.0, "Sanitizer tool"),
-        named(C_LIBRARIES, lambda e: low.isin(e, f"lib{e}"), PROVIDED, 1.0, "Standard C library"),
-        named(RUNTIME_LIBRARIES, lambda e: (low == e) | low.startswith(f"lib{e}") | low.startswith(f"{e}-"), RUNTIME, 0.9, "Known runtime library"),
+        named(tool(TEST_FRAMEWORKS), TEST, 1.0, "Test framework"),
+        named(tool(BUILD_TOOLS), BUILD, 1.0, "Build tool"),
+        named(tool(DEV_TOOLS), DEV, 1.0, "Development tool"),
+        named(tool(SANITIZERS), DEV, 1.0, "Sanitizer tool"),
+        named(c_library, PROVIDED, 1.0, "Standard C library"),
+        named(bare, RUNTIME, 0.9, "Known runtime library"),
         rule(low.endswith("-dev") | low.endswith("-devel"), DEV, 0.7, "Package name ends with -dev/-devel"),
         rule(low.startswith("test-") | low.endswith("-test"), TEST, 0.7, "Package name contains 'test'"),
     ]
