@@ -140,7 +140,8 @@ class FmIndex:
 
     def extend(self, symbol, low, high):
         """The rows of symbol + pattern, from the rows [low, high) of pattern."""
-        return self.first[symbol] + self.wavelet.rank(symbol, low), self.first[symbol] + self.wavelet.rank(symbol, high)
+        both = self.first[np.concatenate([symbol, symbol])] + self.wavelet.rank(np.concatenate([symbol, symbol]), np.concatenate([low, high]))
+        return both[: len(low)], both[len(low) :]
 
     def least_owner(self, low, high):
         level = np.frexp((high - low).astype(float))[1] - 1
@@ -157,16 +158,21 @@ class FmIndex:
     def matches(self, queries: list[np.ndarray], owners: np.ndarray, width: int) -> list[tuple[int, int, int]]:
         """(query, from, to): words of a query covered by windows that also occur in a sequence of a smaller owner.
 
-        All queries advance together. A window is read from its last word to its first; if its last t words don't occur
-        under a smaller owner, the next window to try starts after the first of them.
+        All queries advance together, long ones in pieces of `width` window starts. A window is read from its last word to its
+        first; if its last t words don't occur under a smaller owner, the next window to try starts after the first of them.
         """
-        lengths = np.array([len(q) for q in queries], np.int64)
-        base = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        whole = np.array([len(q) for q in queries], np.int64)
         words = np.concatenate(queries)
+        parts = np.maximum(1, -(-(whole - width + 1) // width))
+        query = np.repeat(np.arange(len(queries)), parts)
+        offset = (np.arange(len(query)) - np.repeat(np.cumsum(parts) - parts, parts)) * width
+        base = (np.cumsum(whole) - whole)[query] + offset
+        lengths = np.minimum(whole[query] - offset, 2 * width - 1)
+        owners = owners[query]
         n, top = len(self.text), len(self.first)
-        at = np.zeros(len(queries), np.int64)  # start of the window
-        read = np.zeros(len(queries), np.int64)  # words of it read so far
-        low, high = np.zeros(len(queries), np.int64), np.full(len(queries), n)
+        at = np.zeros(len(query), np.int64)  # start of the window
+        read = np.zeros(len(query), np.int64)  # words of it read so far
+        low, high = np.zeros(len(query), np.int64), np.full(len(query), n)
         live = np.flatnonzero(lengths >= width)
         found = []
         while len(live):
@@ -188,7 +194,8 @@ class FmIndex:
                     there = self.text[here : here + len(rest)]
                     differ = np.flatnonzero(there != rest[: len(there)])
                     more = int(differ[0]) if len(differ) else len(there)
-                    found.append((q, int(at[q]), int(at[q]) + width + more))
+                    start = int(offset[q] + at[q])
+                    found.append((int(query[q]), start, start + width + more))
                     at[q] += more + 1
             again = np.concatenate([lost, full])
             read[again], low[again], high[again] = 0, 0, n
