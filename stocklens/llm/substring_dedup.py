@@ -26,6 +26,7 @@ GRAM = 8
 LAST = 2**63 - 1  # stands for a null doc_id, after all others
 SHARD_WORDS = 400_000  # words indexed by one task
 BROADCAST_IDS = 1_000_000
+INTERVALS = "array<struct<lo: int, hi: int>>"
 _POWERS = np.ones(1, np.uint64), np.ones(1, np.uint64)
 INVERSE = np.uint64(pow(int(MIX), -1, 2**64))
 
@@ -209,12 +210,19 @@ def _search_shard(width: int):
         sequences = [np.array([ids.setdefault(w, len(ids) + 1) for w in words_of(c)], np.int64) for c in group["content"]]
         held, asked = np.flatnonzero(group["indexed"]), np.flatnonzero(group["asked"])
         if not len(held) or not len(asked):
-            return pd.DataFrame({"m": [], "h": [], "lo": [], "hi": []}, dtype="int64")
+            return pd.DataFrame({"m": [], "h": [], "parts": []}).astype({"m": "int64", "h": "int64", "parts": object})
         owner = group["d0"].to_numpy(np.int64)
         index = FmIndex([sequences[i] for i in held], owner[held], width)
         found = index.matches([sequences[i] for i in asked], owner[asked], width)
-        rows = asked[[f[0] for f in found]] if found else np.empty(0, np.int64)
-        return pd.DataFrame({"m": group["m"].to_numpy()[rows], "h": group["h"].to_numpy()[rows], "lo": [f[1] for f in found], "hi": [f[2] for f in found]}).astype("int64")
+        joined: dict[int, list[dict[str, int]]] = {}
+        for q, lo, hi in sorted(found):
+            parts = joined.setdefault(q, [])
+            if parts and lo <= parts[-1]["hi"]:
+                parts[-1]["hi"] = max(hi, parts[-1]["hi"])
+            else:
+                parts.append({"lo": lo, "hi": hi})
+        rows = asked[np.fromiter(joined, np.int64, len(joined))]
+        return pd.DataFrame({"m": group["m"].to_numpy()[rows], "h": group["h"].to_numpy()[rows], "parts": pd.Series(list(joined.values()), dtype=object)})
 
     return run
 
@@ -259,7 +267,7 @@ def repeated_intervals(docs: DataFrame, width: int = 50) -> DataFrame:
     mixed = groups.groupBy("m").agg(F.min("d0").alias("low"), F.max("d0").alias("high"), F.sum("len").alias("words")).where("low < high").select("m", "low", "words")
     marked = groups.drop("len").join(mixed, "m", "left").where("d1 > d0 or low is not null")
     hits = materialize(cut.join(marked, ["m", "h"]).where("d > d0 or low is not null").select("m", "h", "d", "th", "start", "len", "d0", "low", "words"))
-    copies = hits.where("d > d0").select("d", "th", F.col("start").alias("lo"), (F.col("start") + F.col("len")).alias("hi"))
+    copies = hits.where("d > d0").select("d", "th", F.array(F.struct(F.col("start").alias("lo"), (F.col("start") + F.col("len")).alias("hi"))).alias("parts"))
 
     first = hits.where("d = d0 and low is not null")
     one = first.groupBy("m", "h").agg(F.min_by(F.struct("d", "th", "start", "len"), F.struct("d", "th", "start")).alias("at"), F.first("low").alias("low"), F.first("words").alias("words")).select("m", "h", "at.*", "low", "words")
@@ -276,9 +284,10 @@ def repeated_intervals(docs: DataFrame, width: int = 50) -> DataFrame:
     split = told.where("pieces > 1").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     as_index = split.select("shard", F.col("own").alias("i"), (F.col("k") + 1).alias("j"), "m", "h", "d0", "content", F.lit(True).alias("indexed"), (asks & (F.col("own") == F.col("k"))).alias("asked"))
     as_query = split.where(asks & (F.col("own") != F.col("k"))).select("shard", F.col("k").alias("i"), (F.col("own") + 1).alias("j"), "m", "h", "d0", "content", F.lit(False).alias("indexed"), F.lit(True).alias("asked"))
-    found = whole.unionByName(as_index).unionByName(as_query).groupBy("shard", "i", "j").applyInPandas(_search_shard(width), "m long, h long, lo long, hi long")
-    near = first.select("m", "h", "d", "th", "start").join(found, ["m", "h"]).select("d", "th", (F.col("start") + F.col("lo")).cast("int").alias("lo"), (F.col("start") + F.col("hi")).cast("int").alias("hi"))
-    return copies.unionByName(near).groupBy("d", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("parts"))
+    found = whole.unionByName(as_index).unionByName(as_query).groupBy("shard", "i", "j").applyInPandas(_search_shard(width), f"m long, h long, parts {INTERVALS}")
+    moved = F.transform("parts", lambda p: F.struct((p["lo"] + F.col("start")).alias("lo"), (p["hi"] + F.col("start")).alias("hi")))
+    near = first.select("m", "h", "d", "th", "start").join(found, ["m", "h"]).select("d", "th", moved.alias("parts"))
+    return copies.unionByName(near).groupBy("d", "th").agg(F.flatten(F.collect_list("parts")).alias("parts"))
 
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
