@@ -16,7 +16,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-CACHE = 400_000  # stretches kept by a worker
+CACHE = 150_000  # stretches kept by a worker
 SLICE = 256  # texts encoded at a time
 RANKS = "byte_bpe_multi_50k.tiktoken"
 

@@ -104,7 +104,7 @@ def words_of(text: bytes) -> list[bytes]:
 class WordHash(dict):
     """64-bit hashes of words, kept for reuse; emptied when it holds too many."""
 
-    LIMIT = 300_000
+    LIMIT = 100_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import WordHash, components, gram_hashes, materialize, words_of
 
 SPARE = 10  # k(size) is this percentage of the size
-PIECE = 500  # sets of a block that one task holds as one side
+PIECE = 100_000  # shingles of a block's sets that one task holds as one side
 BROADCAST_IDS = 1_000_000
 
 
@@ -65,9 +65,9 @@ def features(docs: DataFrame, n: int, percent: int) -> DataFrame:
         words = WordHash()
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text")
-            for start in range(0, batch.num_rows, 1000):
+            for start in range(0, batch.num_rows, 200):
                 sizes, high, low, parts = [], [], [], []
-                for text in texts.slice(start, 1000).to_pylist():
+                for text in texts.slice(start, 200).to_pylist():
                     found = shingles(text, n, words)
                     digest = np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), np.int64)
                     sizes.append(len(found))
@@ -76,7 +76,7 @@ def features(docs: DataFrame, n: int, percent: int) -> DataFrame:
                     parts.append(found[: sketch_length(len(found), percent)])
                 ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
                 sketch = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))
-                yield pa.RecordBatch.from_arrays([ids.slice(start, 1000), pa.array(sizes, pa.int32()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), sketch], names=["doc_id", "n_shingles", "high", "low", "sketch"])
+                yield pa.RecordBatch.from_arrays([ids.slice(start, 200), pa.array(sizes, pa.int32()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), sketch], names=["doc_id", "n_shingles", "high", "low", "sketch"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles int, high long, low long, sketch array<long>")
 
@@ -179,16 +179,16 @@ def _search_group(percent: int):
 
 
 def blocks(classes: DataFrame, percent: int) -> DataFrame:
-    """(leader, rep): classes that share a prefix token, in the block of the token's smallest class; every linkable pair meets in one."""
+    """(leader, rep, size): classes that share a prefix token, in the block of the token's smallest class; every linkable pair meets in one."""
     tokens = classes.select("rep", F.explode("sketch").alias("token"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     need = F.greatest(F.lit(1), F.expr(f"cast(ceil(size * {percent} / 100.0) as int) * {SPARE} div 100"))
     mine = tokens.join(shared, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
     mine = mine.join(classes.select("rep", "size"), "rep").withColumn("spare", F.size("shared") - need + 1).where("spare > 0")
-    prefix = mine.select("rep", F.explode(F.slice("shared", F.lit(1), F.col("spare").cast("int"))["token"]).alias("token"))
+    prefix = mine.select("rep", "size", F.explode(F.slice("shared", F.lit(1), F.col("spare").cast("int"))["token"]).alias("token"))
     prefix = materialize(prefix)
     leaders = prefix.groupBy("token").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    met = prefix.join(leaders, "token").select("leader", "rep").distinct()
+    met = prefix.join(leaders, "token").select("leader", "rep", "size").distinct()
     return materialize(met)
 
 
@@ -198,8 +198,8 @@ def full_sets(docs: DataFrame, reps: DataFrame, n: int) -> DataFrame:
     def run(batches):
         words = WordHash()
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
+            for start in range(0, batch.num_rows, 200):
+                part = batch.slice(start, 200)
                 found = [shingles(t, n, words).tobytes() for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.binary())], names=["rep", "tokens"])
 
@@ -226,16 +226,16 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     schema = "a long, b long"
     star = met.join(sets, "rep").select("leader", "rep", F.col("rep").alias("comp"), "tokens", (F.col("leader") == F.col("rep")).alias("indexed"), (F.col("leader") != F.col("rep")).alias("probing"))
     # A leader's members are dealt to several groups when they are many; its own set goes to each of them.
-    many = met.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / F.lit(PIECE)).cast("int").alias("pieces"))
+    many = met.groupBy("leader").agg(F.ceil(F.sum("size") / F.lit(PIECE)).cast("int").alias("pieces"))
     star = star.join(many, "leader").withColumn("piece", F.explode(F.when(F.col("indexed"), F.sequence(F.lit(0), F.col("pieces") - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), F.col("pieces")).cast("int")))))
     links = materialize(star.drop("pieces").groupBy("leader", "piece").applyInPandas(_search_group(percent), schema))
     found = components(links)
 
     label = lambda c: found.select(F.col("v").alias(c), F.col("component").alias(f"{c}_comp"))
-    named = met.join(label("rep"), "rep", "left").join(label("leader"), "leader", "left").select("leader", "rep", F.coalesce("rep_comp", "rep").alias("comp"), (F.coalesce("rep_comp", "rep") != F.coalesce("leader_comp", "leader")).alias("apart"))
+    named = met.join(label("rep"), "rep", "left").join(label("leader"), "leader", "left").select("leader", "rep", "size", F.coalesce("rep_comp", "rep").alias("comp"), (F.coalesce("rep_comp", "rep") != F.coalesce("leader_comp", "leader")).alias("apart"))
     named = materialize(named)
     # Pairs still open have a side apart from the leader's component: pieces of such sets, against all pieces of the block.
-    count = named.groupBy("leader").agg(F.ceil(F.count_if("apart") / F.lit(PIECE)).cast("int").alias("far"), F.ceil(F.count_if(~F.col("apart")) / F.lit(PIECE)).cast("int").alias("near")).where("far > 0")
+    count = named.groupBy("leader").agg(F.ceil(F.sum(F.when(F.col("apart"), F.col("size")).otherwise(0)) / F.lit(PIECE)).cast("int").alias("far"), F.ceil(F.sum(F.when(F.col("apart"), 0).otherwise(F.col("size"))) / F.lit(PIECE)).cast("int").alias("near")).where("far > 0")
     own = F.pmod(F.xxhash64("rep"), F.when(F.col("apart"), F.col("far")).otherwise(F.col("near"))).cast("int")
     pieces = named.join(count, "leader").withColumn("own", own)
     near = pieces.where("not apart").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("far") - 1))).select("leader", "rep", "comp", "i", (-1 - F.col("own")).alias("j"), F.lit(True).alias("indexed"), F.lit(False).alias("probing"))

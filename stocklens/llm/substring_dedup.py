@@ -24,7 +24,7 @@ from .common import MIX, WordHash, gram_hashes, materialize, words_of
 
 GRAM = 8
 LAST = 2**63 - 1  # stands for a null doc_id, after all others
-SHARD_WORDS = 400_000  # words indexed by one task
+SHARD_WORDS = 150_000  # words indexed by one task
 BROADCAST_IDS = 1_000_000
 INTERVALS = "array<struct<lo: int, hi: int>>"
 _POWERS = np.ones(1, np.uint64), np.ones(1, np.uint64)
@@ -70,8 +70,8 @@ def segments(keyed: DataFrame, width: int) -> DataFrame:
     def run(batches):
         hashes = WordHash()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
                 found = [segments_of(words_of(t.encode()), width, hashes) if t else None for t in part.column("text").to_pylist()]
                 count = [len(f[0]) if f else 0 for f in found]
                 some = [f for f in found if f]

@@ -28,7 +28,7 @@ BUCKETS = 1 << 17
 SIZES = (3, 4, 5)
 DIMS = 8
 BAG = 4
-CACHE = 300_000
+CACHE = 100_000
 
 
 def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
