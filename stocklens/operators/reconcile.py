@@ -33,16 +33,17 @@ def suppress_unspecified(components: DataFrame, keys=("name", "ecosystem")) -> D
     return components.withColumn("_seen", seen).where("version <> 'unspecified' or not _seen").drop("_seen")
 
 
-def suppress_across_ecosystems(components: DataFrame) -> DataFrame:
+def suppress_across_ecosystems(components: DataFrame, within=()) -> DataFrame:
     """Four ordered suppressions by name; each looks at the survivors of those before it.
 
     system silences BUILD-CONFIG, what is left of that silences VENDORED, pkg-config silences system whatever the case, and
     autosar silences what is left of system. A name's fate depends on rows of that name only (of the lower-cased name for
-    pkg-config), so the chain is a few flags over one window by lower-cased name, and one shuffle.
+    pkg-config), so the chain is a few flags over one window by lower-cased name, and one shuffle. Columns in within keep
+    their groups apart.
     """
     low = F.lower("name")
     eco = lambda e: F.col("ecosystem") == e
-    exact, folded = Window.partitionBy(low, "name"), Window.partitionBy(low)
+    exact, folded = Window.partitionBy(*within, low, "name"), Window.partitionBy(*within, low)
     flagged = components.withColumns(
         {
             "_system": F.bool_or(eco("system")).over(exact),
@@ -85,17 +86,17 @@ def library_candidates(name: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(F.array(name, base), F.coalesce(known, plain))))
 
 
-def refine_by_links(components: DataFrame) -> DataFrame:
+def refine_by_links(components: DataFrame, within=()) -> DataFrame:
     """BUILD-CONFIG rows in scope Build whose candidate names meet those of a system row become Runtime at 0.9.
 
     Candidates of both sides are exploded to distinct names and joined on equality; no pair of rows is compared.
     """
-    linked = components.where(F.lower("ecosystem") == "system").select(F.explode(library_candidates(F.col("name"))).alias("c")).distinct()
+    linked = components.where(F.lower("ecosystem") == "system").select(*within, F.explode(library_candidates(F.col("name"))).alias("c")).distinct()
     open_rows = (F.col("ecosystem") == "BUILD-CONFIG") & (F.col("scope") == "Build")
-    asked = components.where(open_rows).select("name").distinct().withColumn("c", F.explode(library_candidates(F.col("name"))))
-    hits = asked.join(linked, "c", "left_semi").select("name").distinct().withColumn("_linked", F.lit(True))
+    asked = components.where(open_rows).select(*within, "name").distinct().withColumn("c", F.explode(library_candidates(F.col("name"))))
+    hits = asked.join(linked, [*within, "c"], "left_semi").select(*within, "name").distinct().withColumn("_linked", F.lit(True))
     hit = open_rows & F.coalesce("_linked", F.lit(False))
-    return components.join(hits, "name", "left").withColumns(
+    return components.join(hits, [*within, "name"], "left").withColumns(
         {
             "scope": F.when(hit, "Runtime").otherwise(F.col("scope")),
             "scope_confidence": F.when(hit, 0.9).otherwise(F.col("scope_confidence")),
