@@ -29,6 +29,7 @@ SIZES = (3, 4, 5)
 DIMS = 8
 BAG = 4
 CACHE = 100_000
+WORDS = 10_000  # words cut into n-grams at a time
 
 
 def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -50,6 +51,17 @@ def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(ids), np.concatenate(owners)
 
 
+def grams_by_word(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket ids of all words, word by word, and their number for each word."""
+    flat, counts = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+    for at in range(0, len(words), WORDS):
+        part = words[at : at + WORDS]
+        ids, owners = subwords(part)
+        flat.append(ids[np.argsort(owners, kind="stable")])
+        counts.append(np.bincount(owners, minlength=len(part)))
+    return np.concatenate(flat), np.concatenate(counts)
+
+
 def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Indices start, start + 1, ... for each start and count, one after another."""
     ends = np.cumsum(counts)
@@ -65,9 +77,13 @@ class Model:
     shift: float = 0.0
 
     def word_scores(self, words: list[bytes]) -> np.ndarray:
-        ids, owners = subwords(words)
         value = self.vectors @ (self.weights[:, 1] - self.weights[:, 0])
-        return np.bincount(owners, value[ids], len(words)) / np.bincount(owners, minlength=len(words))
+        found = [np.empty(0)]
+        for at in range(0, len(words), WORDS):
+            part = words[at : at + WORDS]
+            ids, owners = subwords(part)
+            found.append(np.bincount(owners, value[ids], len(part)) / np.bincount(owners, minlength=len(part)))
+        return np.concatenate(found)
 
     def highest(self, scores: np.ndarray) -> float:
         """The logit of the highest bag of a text, from the scores of its words; the bias alone for no words."""
@@ -106,11 +122,9 @@ def fit(texts: list[str | None], y: np.ndarray, prior: float | None = None, epoc
         model.shift = -20.0 if len(y) == 0 or y[0] == 0 else 20.0
         return model
     ids: dict[bytes, int] = {}
-    docs = [np.array([ids.setdefault(w, len(ids)) for w in words_of((t or "").lower().encode())], np.int64) for t in texts]
+    docs = [np.array([ids.setdefault(w, len(ids)) for w in words_of((t or "").lower().encode())], np.int32) for t in texts]
     some = [i for i, d in enumerate(docs) if len(d)]
-    flat, owners = subwords(list(ids))
-    flat = flat[np.argsort(owners, kind="stable")]
-    counts = np.bincount(owners, minlength=len(ids))
+    flat, counts = grams_by_word(list(ids))
     starts = np.cumsum(counts) - counts
     model.vectors = (rng.random((BUCKETS, DIMS), np.float32) - 0.5) / DIMS
     model.weights = (rng.random((DIMS, 2), np.float32) - 0.5) * 2
