@@ -25,5 +25,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     usable = usable.groupBy("doc_id").agg(F.max(label).alias("y"))
     draws = [usable.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     ids = draws[0].unionByName(draws[1])
-    rows = docs.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.select("doc_id", *columns).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
     return rows.select("doc_id", *columns, "y").toPandas().sort_values("doc_id", kind="stable", ignore_index=True)

@@ -55,7 +55,7 @@ def corpus(seed, count=260):
     return rows + [(5000, None, 1, 2), (5001, "", 1, 2), (5002, " \n", 1, 2), (None, passage, 1, 2), (rows[0][0], rows[0][1], 1, 2)]
 
 
-@pytest.mark.parametrize("n,percent,seed,piece", [(4, 85, 1, 500), (5, 80, 2, 7), (3, 60, 3, 3)])
+@pytest.mark.parametrize("n,percent,seed,piece", [(4, 85, 1, 50_000), (5, 80, 2, 700), (3, 60, 3, 300)])
 def test_against_brute_force(spark, monkeypatch, n, percent, seed, piece):
     monkeypatch.setattr(ngram_join, "PIECE", piece)
     rows = corpus(seed)
