@@ -464,7 +464,7 @@ def components(files: DataFrame, imports: bool = True) -> DataFrame:
     found = _parsed(files, PARSERS, kinds, empty)
     if not imports:
         return found
-    scripts = files.where(F.length("text") <= MAX_BYTES)
+    scripts = files.where(F.octet_length("text") <= MAX_BYTES)
     more = [python_imports(scripts.where(F.col("kind").isin(r"setup\.py", r"conanfile\.py")))] if kinds & {r"setup\.py", r"conanfile\.py"} else []
     return union(_parsed(scripts, SOURCES, kinds, found), *more)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,11 +13,16 @@ FILES = "project string, path string, length long, is_dir boolean, text string"
 #: Names of directories that hold other projects' code, and of those no scan enters.
 VENDOR = ["vendor", "vendors", "third_party", "third-party", "thirdparty", "3rd_party", "3rd-party", "3rdparty", "external", "externals", "extern", "deps", "node_modules", "bower_components"]
 MAX_DEPTH = 50
-MAX_BYTES = 1 << 20
+MAX_BYTES = 1 << 20  # of a source file scanned for imports, and of a file that no parser reads
 
 
 class TreeReader(DataSourceReader):
+    """Manifests, lock files and build scripts are read whole; the text of any other file above maxBytes is null."""
+
     def __init__(self, options):
+        from .manifests import PARSERS
+
+        self.whole = "|".join(f"(?:{pattern})" for pattern in PARSERS)
         self.root = options["path"].rstrip("/")
         self.project = options.get("project", os.path.basename(self.root))
         self.max_bytes = int(options.get("maxBytes", MAX_BYTES))
@@ -49,7 +55,7 @@ class TreeReader(DataSourceReader):
                         yield self.project, at, 0, True, None
                         continue
                     size, text = e.stat().st_size, None
-                    if size <= self.max_bytes:
+                    if size <= self.max_bytes or re.fullmatch(self.whole, e.name):
                         with open(e.path, "rb") as f:
                             text = f.read().decode("utf-8", "replace")
                     yield self.project, at, size, False, text

@@ -111,6 +111,31 @@ def test_tree(spark, tmp_path):
     assert {r.path: r.text for r in rows} == FILES
 
 
+def test_large_files(spark, tmp_path):
+    """Lock files and manifests above 1 MiB are read whole and suppress their manifests; only imports have the cap."""
+    many = range(12_000)
+    texts = {
+        "a/package-lock.json": json.dumps({"packages": {f"node_modules/n{i}": {"version": "1.0", "integrity": "sha512-" + "A" * 40, "dependencies": {"y": "1"}} for i in many}}),
+        "b/yarn.lock": "".join(f'y{i}@^1.0.0:\n  version "1.0.1"\n  resolved "https://registry.yarnpkg.com/y{i}/-/y{i}-1.0.1.tgz#0123456789"\n\n' for i in many),
+        "c/poetry.lock": "".join(f'[[package]]\nname = "t{i}"\nversion = "2.0"\nfiles = [{{hash = "sha256:{"f" * 64}"}}]\n\n' for i in many),
+        "c/pyproject.toml": '[tool.poetry.dependencies]\nhidden = "1"\n',
+        "d/big.py": "import bigimport\n" + "#" * (1 << 20),
+        "d/setup.py": "import bigsetup\nsetup(install_requires=['six>=1.0'])\n" + "#" * (1 << 20),
+        "d/data.bin": "0" * (2 << 20),
+    }
+    for p, t in texts.items():
+        (tmp_path / p).parent.mkdir(exist_ok=True)
+        (tmp_path / p).write_text(t)
+        assert len(t) > 1 << 20 or p == "c/pyproject.toml"
+    files = tree.read_tree(spark, str(tmp_path), "demo")
+    assert {r.path for r in files.where("not is_dir and text is null").collect()} == {"d/big.py", "d/data.bin"}
+    found = scan(files)
+    names = {r.name for r in found.components.select("name").collect()}
+    assert {f"{c}{i}" for c in "nyt" for i in many} <= names and "six" in names
+    assert not names & {"hidden", "bigimport", "bigsetup"}
+    assert found.edges.count() == len(many)
+
+
 def test_vendor_modes(files):
     assert {r.path for r in tree.filter_entries(files, "only").collect()} == {"vendor/package.json"}
     assert tree.filter_entries(files, "include", ["src"]).where("path like 'src/%'").count() == 0
