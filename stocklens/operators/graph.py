@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
-MAX_DEPTH = 5
+from ..plans.tables import new_folder, stored
+
+MAX_DEPTH = 5  # of the tree that is printed; chains have no limit
 
 
 def node_ids(components: DataFrame) -> DataFrame:
@@ -50,6 +53,26 @@ def unfold(roots: DataFrame, resolved: DataFrame, depth: int = MAX_DEPTH) -> Dat
     return out
 
 
+def unfold_all(roots: DataFrame, resolved: DataFrame) -> DataFrame:
+    """What unfold() gives, for simple paths of any length: levels are joined until one has no rows, each written out.
+
+    Simple paths end by themselves, but there may be exponentially many; every one is a row.
+    """
+    spark, path, d = roots.sparkSession, new_folder(roots.sparkSession), 0
+    resolved = stored(resolved)
+    level = unfold(roots, resolved, 0).drop("depth")
+    schema = level.schema
+    while True:
+        level.write.parquet(f"{path}/depth={d}")
+        last = spark.read.schema(schema).parquet(f"{path}/depth={d}")
+        if last.isEmpty():
+            break
+        d += 1
+        step = last.where("not cyclic").join(resolved, last["node"] == resolved["parent"])
+        level = step.select("root", F.col("child").alias("node"), F.concat("path", F.array("child")).alias("path"), F.array_contains("path", F.col("child")).alias("cyclic"))
+    return spark.read.schema(schema.add("depth", IntegerType())).parquet(path).select("root", "node", "depth", "path", "cyclic")
+
+
 def tree_lines(unfolded: DataFrame, resolved: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
     """Indented lines of the tree with the path that orders them; a node cut off by depth tells how many children it has."""
     below = resolved.groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("children"))
@@ -58,7 +81,7 @@ def tree_lines(unfolded: DataFrame, resolved: DataFrame, depth: int = MAX_DEPTH)
 
 
 def chains(targets: DataFrame, unfolded: DataFrame) -> DataFrame:
-    """All chains root -> ... -> target; a target that no root reaches is a chain of its own."""
+    """All chains root -> ... -> target among the paths unfolded, best of unfold_all(); a target that none of them reaches is a chain of its own."""
     found = unfolded.where("not cyclic").select(F.col("node").alias("target"), "path")
     return targets.join(found, "target", "left").select("target", F.coalesce("path", F.array("target")).alias("path"))
 

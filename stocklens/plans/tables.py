@@ -5,13 +5,18 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def new_folder(spark: SparkSession) -> str:
+    """Path of a table that is not there yet, in the folder in spark.checkpoint.dir (one of our own only where that is unset)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tables-")
+    return f"{folder}/table-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     """df written to the folder in spark.checkpoint.dir (one of our own only where that is unset) and read back: plans stay small and no executor owns the rows."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tables-")
-    path = f"{folder}/table-{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
