@@ -16,13 +16,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(fold(doc_id) == 1, F.lit(False))
 
 
+def usable_labels(labels: DataFrame, label: str) -> DataFrame:
+    """doc_id, y (0 or 1) of the labels that may be drawn: ids and labels not null, ids outside the held-out fold, each id once."""
+    usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id")))
+    return usable.groupBy("doc_id").agg(F.max(label).alias("y"))
+
+
+def class_weights(labels: DataFrame, label: str, per_class: int) -> dict[int, float]:
+    """For each class, how many usable labels a drawn one stands for: 1 where all are drawn."""
+    return {r.y: max(1.0, r["count"] / per_class) for r in usable_labels(labels, label).groupBy("y").count().collect()}
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, columns: list[str]) -> pd.DataFrame:
     """Columns of docs and y (0 or 1) for at most per_class rows of each class, drawn by the hash of the id outside the held-out fold.
 
     Null ids and labels are left out; of rows that share an id one is used. The ids go to every task: their number is bounded by per_class.
     """
-    usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id")))
-    usable = usable.groupBy("doc_id").agg(F.max(label).alias("y"))
+    usable = usable_labels(labels, label)
     draws = [usable.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     ids = draws[0].unionByName(draws[1])
     rows = docs.select("doc_id", *columns).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])

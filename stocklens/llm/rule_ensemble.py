@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .divergence import text_words
-from .labelled import held_out, labelled_sample
+from .labelled import class_weights, held_out, labelled_sample
 
 PER_CLASS = 4000  # documents of each class that the model is fitted on at most
 STATISTICS = ["n_words", "word_length", "longest", "distinct_words", "distinct_lines", "words_per_line", "upper", "digits", "symbols", "exclamations", "stops", "pipes", "short_words"]
@@ -99,14 +99,15 @@ def grow(x: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, cuts: list[np
     return nodes
 
 
-def lasso(z: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 600) -> tuple[np.ndarray, float]:
-    """Logistic regression with an L1 penalty by accelerated proximal gradients."""
+def lasso(z: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float, rounds: int = 600) -> tuple[np.ndarray, float]:
+    """Logistic regression of weighted rows (weights of mean 1) with an L1 penalty by accelerated proximal gradients."""
     n, k = z.shape
-    w, b = np.zeros(k), float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
+    share = (weight * y).mean()
+    w, b = np.zeros(k), float(np.log((share + 1e-6) / (1 - share + 1e-6)))
     v, c, t = w.copy(), b, 1.0
-    rate = 4 * n / (np.linalg.norm(z, 2) ** 2 + n)
+    rate = 4 * n / (np.linalg.norm(z * np.sqrt(weight)[:, None], 2) ** 2 + n)
     for _ in range(rounds):
-        error = 1 / (1 + np.exp(-np.clip(z @ v + c, -50, 50))) - y
+        error = weight * (1 / (1 + np.exp(-np.clip(z @ v + c, -50, 50))) - y)
         new = v - rate * (z.T @ error) / n
         new = np.sign(new) * np.maximum(np.abs(new) - rate * penalty, 0)
         new_b = c - rate * error.mean()
@@ -116,16 +117,18 @@ def lasso(z: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 600) -> tu
     return w, b
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, penalty: float = 0.001, rate: float = 0.3) -> Ensemble:
-    """An ensemble for statistics x and labels y. Without both classes the score is a constant near the only label."""
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, trees: int = 40, depth: int = 3, penalty: float = 0.001, rate: float = 0.3) -> Ensemble:
+    """An ensemble for statistics x and labels y, each row as heavy as its weight says. Without both classes the score is a constant near the only label."""
     if len(y) == 0 or y.min() == y.max():
         return Ensemble([], [], 0.0 if len(y) == 0 else (6.0 if y[0] else -6.0))
     cuts = [np.unique((u[1:] + u[:-1]) / 2) if len(u) <= 64 else np.unique(np.quantile(v, np.arange(1, 64) / 64)) for v in x.T for u in (np.unique(v),)]
-    raw = np.full(len(y), np.log(y.mean() / (1 - y.mean())))
+    weight = np.ones(len(y)) if weight is None else weight / weight.mean()
+    share = (weight * y).mean()
+    raw = np.full(len(y), np.log(share / (1 - share)))
     least, found = max(3, len(y) // 400), {}
     for _ in range(trees):
         p = 1 / (1 + np.exp(-raw))
-        nodes = grow(x, y - p, p * (1 - p), cuts, depth, least)
+        nodes = grow(x, weight * (y - p), weight * p * (1 - p), cuts, depth, least)
         if not nodes:
             break
         deepest = {path[:-1] for path, *_ in nodes}
@@ -135,17 +138,18 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, penalty:
                 raw[rows] += rate * np.clip(step, -4, 4)
     rules = list(found)
     z = np.stack([holds(r, x) for r in rules], axis=1).astype(float) if rules else np.zeros((len(y), 0))
-    w, b = lasso(z, y, penalty)
+    w, b = lasso(z, y, weight, penalty)
     keep = np.flatnonzero(np.abs(w) > 1e-4)
     return Ensemble([rules[i] for i in keep], w[keep].tolist(), b)
 
 
 def trained(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Ensemble:
-    """An ensemble fitted on at most per_class labelled documents of each class outside the held-out fold."""
+    """An ensemble fitted on at most per_class labelled documents of each class outside the held-out fold, weighted to the ratio of all such labels."""
     sample = labelled_sample(docs.select("doc_id", "text"), labels, "quality", per_class, ["text"])
     texts = docs.sparkSession.createDataFrame(sample[["text", "y"]], "text string, y int")
     stats = with_statistics(texts).select(*STATISTICS, "y").toPandas()
-    return fit(stats[STATISTICS].to_numpy(float), stats["y"].to_numpy(float))
+    weights = class_weights(labels, "quality", per_class)
+    return fit(stats[STATISTICS].to_numpy(float), stats["y"].to_numpy(float), stats["y"].map(weights).to_numpy(float))
 
 
 def scored(docs: DataFrame, model: Ensemble, name: str = "score") -> DataFrame:

@@ -60,3 +60,16 @@ def test_one_class_or_none(spark, tables, labels):
     assert toxicity.score(docs, toxicity.trained(docs, table)).count() == 5
     assert rule_ensemble.scored(docs, rule_ensemble.trained(docs, table)).count() == 5
     assert toxicity.score(docs.limit(0), toxicity.trained(docs, table)).count() == 0
+
+
+def test_rule_ensemble_keeps_the_class_ratio(spark):
+    """Of the doubtful texts most are good in the table, but few in an even sample; the sample's size must not decide."""
+    rng, rows, labels = random.Random(3), [], []
+    for i in range(3000):
+        doubtful = i % 5 < 2
+        rows.append((i, " ".join(w.upper() if doubtful else w for w in CLEAN[:30])))
+        labels.append((i, int(not doubtful or rng.random() < 0.7)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    table = spark.createDataFrame(labels, "doc_id long, quality int")
+    decided = [rule_ensemble.scored(docs, rule_ensemble.trained(docs, table, n)).selectExpr("doc_id % 5 < 2 as doubtful", "score >= 0.5 as good").distinct().collect() for n in (100, 4000)]
+    assert all(sorted(map(tuple, d)) == [(False, True), (True, True)] for d in decided)
