@@ -2,7 +2,7 @@
 
 References are sums over the table itself: for each language, the histograms of its documents that pass the base rules. All
 of it is column expressions. A document is held against every reference and keeps its smallest distance, so a wrong language
-tag does no harm.
+tag does no harm. One whose own language has no reference is judged by the base rules alone.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ COMMON = "the of and to in is that with der die und den zu ist ein nicht el los
 CODES = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdef"
 #: Character classes as regular-expression sets; what is in none of them is the last class.
 CLASSES = ["a-z", "A-Z", "0-9", r"\x20\x09-\x0D", ".,;:'\"?()-", "#*$%&|<>!", "äöüßÄÖÜ", "éèêàçùâîôûÉÈÊÀÇ", "áíóúñÁÍÓÚÑ"]
-LEAST_SHARE = 0.01  # of the documents, for a language to have a reference: at most 100 have one
+LEAST_WORDS = 1000  # in a language's histogram, to be a reference: chance then moves a distance by less than 0.1, whatever the table's size
 CLASS_GUARD, WORD_GUARD = 20, 60  # words that a document needs before a distance counts
 CLASS_LIMIT, WORD_LIMIT = 0.29, 0.50
 
@@ -83,22 +83,23 @@ def judge(docs: DataFrame, class_limit: float = CLASS_LIMIT, word_limit: float =
 
     base_failed: under 20 words, or over 30 % of the words in repeated 8-word windows. kept: the base rules pass, and the least
     distances from a reference are within the limits, each as far as the text is long enough for it. Null texts have no
-    words and fail. With no language large enough for a reference, distances are null and the base rules decide. Rows with
-    null lang make no reference. Windows are compared by 64-bit hash. Null and repeated doc_ids are ordinary rows.
+    words and fail. A language has a reference if its documents that pass the base rules hold LEAST_WORDS words; documents of
+    other languages are kept by the base rules alone. With no reference at all, distances are null. Rows with null lang make
+    no reference but are held against all. Windows are compared by 64-bit hash. Null and repeated doc_ids are ordinary rows.
     """
     found = materialize(measured(docs.select("doc_id", "text", "lang")))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     found = found.withColumn("base_failed", failed)
     sums = lambda name, n: F.array(*[F.sum(F.get(name, F.lit(i))) for i in range(n)]).alias(name)
-    total = found.agg(F.count(F.lit(1)).alias("total"))
-    by_lang = found.where("lang is not null and not base_failed").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), sums("classes", len(CLASSES) + 1), sums("common", len(COMMON) + 1))
-    large = by_lang.crossJoin(total).where(F.col("n") >= LEAST_SHARE * F.col("total")).collect()  # at most 1 / LEAST_SHARE rows
-    p_class, p_word = shares(F.col("classes")), shares(F.col("common"))
-    literal = lambda counts: F.array(*[F.lit(c / max(1, sum(counts))) for c in counts])
-    nearest = lambda p, refs: F.least(*[js_distance(p, literal(r)) for r in refs], *[F.lit(None).cast("double")] * 2)
-    seen = found.withColumns({"_p": p_class, "_w": p_word}).withColumns({"class_distance": nearest(F.col("_p"), [r["classes"] for r in large]), "word_distance": nearest(F.col("_w"), [r["common"] for r in large])})
+    by_lang = found.where("lang is not null and not base_failed").groupBy("lang").agg(F.sum("n_words").alias("n"), sums("classes", len(CLASSES) + 1), sums("common", len(COMMON) + 1))
+    # One row with an array of all languages' references: a few hundred bytes for each language.
+    large = by_lang.where(F.col("n") >= LEAST_WORDS).select(F.struct("lang", shares(F.col("classes")).alias("classes"), shares(F.col("common")).alias("common")).alias("r"))
+    refs = materialize(large.agg(F.collect_list("r").alias("_refs")))
+    nearest = lambda name: let(shares(F.col(name)), lambda p: F.array_min(F.transform("_refs", lambda r: js_distance(p, r[name]))))
+    seen = found.join(F.broadcast(refs)).withColumns({"class_distance": nearest("classes"), "word_distance": nearest("common")})
+    judged = F.col("lang").isNull() | F.array_contains(F.col("_refs")["lang"], F.col("lang"))
     odd = ((F.col("n_words") >= CLASS_GUARD) & (F.col("class_distance") > class_limit)) | ((F.col("n_words") >= WORD_GUARD) & (F.col("word_distance") > word_limit))
-    kept = ~F.col("base_failed") & ~F.coalesce(odd, F.lit(False))
+    kept = ~F.col("base_failed") & ~F.coalesce(judged & odd, F.lit(False))
     return seen.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "class_distance", "word_distance")
 
 

@@ -31,5 +31,20 @@ def test_counts_and_verdicts(spark):
     assert seen[10].kept and not seen[6].kept
 
 
+def test_small_languages(spark):
+    """Clean documents of a language stay, however small its share is; those of one without a reference too. Odd ones of a large language go."""
+    latin = PLAIN.split()
+    english = [(i, " ".join(f"{w}{'abcdefghij'[(i + k) % 10]}" if k % 3 else w for k, w in enumerate(latin)), "en") for i in range(6000)]
+    letters = "абвгдежзиклмнопрст"
+    cyrillic = lambda n: " ".join("".join(letters[(n + k * 7 + j * 3) % 18] for j in range(3 + (n + k) % 4)) for k in range(25))
+    rare = [(10_000 + i, cyrillic(i), "ru") for i in range(50)] + [(20_000 + i, cyrillic(i), "uk") for i in range(3)]
+    odd = [(30_000, " ".join("#" * (k + 1) + "$%&" * (k % 5) for k in range(30)), "en")]
+    got = judge(spark.createDataFrame(english + rare + odd, "doc_id long, text string, lang string"))
+    assert [r.doc_id for r in got.where("not kept").collect()] == [30_000]
+    # "uk" has no reference here, and none that is near.
+    alone = judge(spark.createDataFrame(english[:200] + rare[50:] + odd, "doc_id long, text string, lang string"))
+    assert [r.doc_id for r in alone.where("not kept").collect()] == [30_000]
+
+
 def test_empty_table(spark):
     assert judge(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
