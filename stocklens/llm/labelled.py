@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,18 +21,24 @@ def usable_labels(labels: DataFrame, label: str) -> DataFrame:
     return usable.groupBy("doc_id").agg(F.max(label).alias("y"))
 
 
-def class_weights(labels: DataFrame, label: str, per_class: int) -> dict[int, float]:
-    """For each class, how many usable labels a drawn one stands for: 1 where all are drawn."""
-    return {r.y: max(1.0, r["count"] / per_class) for r in usable_labels(labels, label).groupBy("y").count().collect()}
+def class_counts(labels: DataFrame, label: str) -> dict[int, int]:
+    """How many usable labels each class has."""
+    return {r.y: r["count"] for r in usable_labels(labels, label).groupBy("y").count().collect()}
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, columns: list[str]) -> pd.DataFrame:
-    """Columns of docs and y (0 or 1) for at most per_class rows of each class, drawn by the hash of the id outside the held-out fold.
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, per_class: int, characters: int) -> DataFrame:
+    """doc_id, text, y (0 or 1) of at most per_class labelled documents of each class outside the held-out fold, and at most 2 * characters in all of a class.
 
-    Null ids and labels are left out; of rows that share an id one is used. The ids go to every task: their number is bounded by per_class.
+    Documents are drawn by the hash of the id, until those before hold `characters`; longer ones than that are passed over. Null ids and
+    labels are left out; of rows that share an id one is used. The drawn ids go to every task: their number is bounded by per_class.
     """
     usable = usable_labels(labels, label)
     draws = [usable.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     ids = draws[0].unionByName(draws[1])
-    rows = docs.select("doc_id", *columns).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
-    return rows.select("doc_id", *columns, "y").toPandas().sort_values("doc_id", kind="stable", ignore_index=True)
+    size = F.coalesce(F.length("text"), F.lit(0))
+    sizes = docs.select("doc_id", size.alias("size")).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.max("size").alias("size"))
+    earlier = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("size").over(earlier), F.lit(0))
+    chosen = sizes.where(F.col("size") <= characters).withColumn("before", before).where(F.col("before") < characters).select("doc_id", "y", "size")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(size == F.col("size"))
+    return rows.groupBy("doc_id", "y").agg(F.max("text").alias("text")).select("doc_id", "text", "y")

@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .divergence import text_words
-from .labelled import class_weights, held_out, labelled_sample
+from .labelled import class_counts, held_out, labelled_texts
 
-PER_CLASS = 4000  # documents of each class that the model is fitted on at most
+PER_CLASS = 2500  # documents of each class that the model is fitted on at most
+CHARACTERS = 20_000_000  # and about so many characters of them; only their statistics leave the executors
 STATISTICS = ["n_words", "word_length", "longest", "distinct_words", "distinct_lines", "words_per_line", "upper", "digits", "symbols", "exclamations", "stops", "pipes", "short_words"]
 
 
@@ -99,16 +100,29 @@ def grow(x: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, cuts: list[np
     return nodes
 
 
+def largest_value(z: np.ndarray, weight: np.ndarray, rounds: int = 60) -> float:
+    """An upper estimate of the largest eigenvalue of z' diag(weight) z, by power iteration."""
+    v = np.ones(z.shape[1]) / max(1.0, np.sqrt(z.shape[1]))
+    value = 0.0
+    for _ in range(rounds):
+        v = ((z @ v.astype(z.dtype)) * weight).astype(z.dtype) @ z
+        value = float(np.linalg.norm(v))
+        if value == 0:
+            break
+        v = v / value
+    return 1.05 * value
+
+
 def lasso(z: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float, rounds: int = 600) -> tuple[np.ndarray, float]:
     """Logistic regression of weighted rows (weights of mean 1) with an L1 penalty by accelerated proximal gradients."""
     n, k = z.shape
     share = (weight * y).mean()
     w, b = np.zeros(k), float(np.log((share + 1e-6) / (1 - share + 1e-6)))
     v, c, t = w.copy(), b, 1.0
-    rate = 4 * n / (np.linalg.norm(z * np.sqrt(weight)[:, None], 2) ** 2 + n)
+    rate = 4 * n / (largest_value(z, weight) + n)
     for _ in range(rounds):
-        error = weight * (1 / (1 + np.exp(-np.clip(z @ v + c, -50, 50))) - y)
-        new = v - rate * (z.T @ error) / n
+        error = weight * (1 / (1 + np.exp(-np.clip(z @ v.astype(z.dtype) + c, -50, 50))) - y)
+        new = v - rate * (error.astype(z.dtype) @ z) / n
         new = np.sign(new) * np.maximum(np.abs(new) - rate * penalty, 0)
         new_b = c - rate * error.mean()
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
@@ -137,7 +151,9 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, trees: i
             if path not in deepest:
                 raw[rows] += rate * np.clip(step, -4, 4)
     rules = list(found)
-    z = np.stack([holds(r, x) for r in rules], axis=1).astype(float) if rules else np.zeros((len(y), 0))
+    z = np.zeros((len(y), len(rules)), np.float32)
+    for i, r in enumerate(rules):
+        z[:, i] = holds(r, x)
     w, b = lasso(z, y, weight, penalty)
     keep = np.flatnonzero(np.abs(w) > 1e-4)
     return Ensemble([rules[i] for i in keep], w[keep].tolist(), b)
@@ -145,23 +161,25 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, trees: i
 
 def trained(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Ensemble:
     """An ensemble fitted on at most per_class labelled documents of each class outside the held-out fold, weighted to the ratio of all such labels."""
-    sample = labelled_sample(docs.select("doc_id", "text"), labels, "quality", per_class, ["text"])
-    texts = docs.sparkSession.createDataFrame(sample[["text", "y"]], "text string, y int")
-    stats = with_statistics(texts).select(*STATISTICS, "y").toPandas()
-    weights = class_weights(labels, "quality", per_class)
-    return fit(stats[STATISTICS].to_numpy(float), stats["y"].to_numpy(float), stats["y"].map(weights).to_numpy(float))
+    texts = labelled_texts(docs, labels, "quality", per_class, CHARACTERS)
+    found = with_statistics(texts).select("doc_id", *STATISTICS, "y").toPandas().sort_values("doc_id")
+    x, y = found[STATISTICS].to_numpy(float), found["y"].to_numpy(float)
+    counts = class_counts(labels, "quality")
+    weight = np.array([counts[k] / max(1, (y == k).sum()) if k in counts else 1.0 for k in (0, 1)])
+    return fit(x, y, weight[y.astype(int)])
 
 
 def scored(docs: DataFrame, model: Ensemble, name: str = "score") -> DataFrame:
-    """docs with the score, without the statistics."""
+    """docs with the score, without the statistics; a column of that name is replaced."""
     kept = [c for c in docs.columns if c != name]
     packed = docs.select("text", F.struct(*kept).alias("_row"))
     return with_statistics(packed).select("_row.*", model.column().alias(name))
 
 
 def reject_poor(docs: DataFrame, model: Ensemble, threshold: float = 0.5) -> DataFrame:
-    """docs whose score reaches threshold, with the columns of docs."""
-    return scored(docs, model, "_score").where(F.col("_score") >= threshold).drop("_score")
+    """docs whose score reaches threshold, with all columns of docs, whatever their names."""
+    packed = docs.select("text", F.struct(*docs.columns).alias("_row"))
+    return with_statistics(packed).where(model.column() >= threshold).select("_row.*")
 
 
 def op3_rule_ensemble(spark, sf_dir: str) -> DataFrame:

@@ -1,17 +1,17 @@
 """Toxicity: character n-gram vectors averaged into a linear softmax, embeddings and weights trained together in numpy.
 
 A word is the mean of the vectors of its hashed n-grams, a bag of BAG consecutive words the mean of its words, and the softmax
-is linear in that. Misspelt or unseen words share n-grams with known ones. A document is scored by its most toxic bag, so a
-few words in a long text are not thinned out; training works alike: at first all bags carry their document's label, then
-toxic documents answer for their highest bag and others for all. A share of the sample that the model has not seen maps the highest
-bag to a probability.
+is linear in that. Misspelt or unseen words share n-grams with known ones. A document is scored by its most toxic run of RUN words,
+wherever it starts, so a few words in a long text are not thinned out; training works alike: at first all bags carry their document's
+label, then toxic documents answer for their highest bag and others for all. A share of the sample that the model has not seen maps the
+highest run to a probability.
 
 At scoring time a word is one number, the difference of the two class weights applied to its vector, and numbers of words are kept.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,13 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import words_of
-from .labelled import held_out, labelled_sample
+from .labelled import held_out, labelled_texts
 
 PER_CLASS = 2500  # documents of each class that the model is fitted on at most
+CHARACTERS = 4_000_000  # and about so many characters of them, which bounds what the driver holds
 BUCKETS = 1 << 17
 SIZES = (3, 4, 5)
-DIMS = 8
-BAG = 4
+DIMS = 4
+BAG = 4  # words of a bag in training
+RUN = 3  # words of the runs that a document is scored by
 CACHE = 100_000
 WORDS = 10_000  # words cut into n-grams at a time
 
@@ -86,12 +88,12 @@ class Model:
         return np.concatenate(found)
 
     def highest(self, scores: np.ndarray) -> float:
-        """The logit of the highest bag of a text, from the scores of its words; the bias alone for no words."""
+        """The logit of the highest run of RUN words of a text, wherever it starts, from the scores of its words; the bias alone for no words."""
         base = float(self.bias[1] - self.bias[0])
-        if not len(scores):
-            return base
-        at = np.arange(0, len(scores), BAG)
-        return base + float((np.add.reduceat(scores, at) / np.diff(np.append(at, len(scores)))).max())
+        if len(scores) <= RUN:
+            return base + (float(scores.mean()) if len(scores) else 0.0)
+        total = np.cumsum(scores)
+        return base + float(max(total[RUN - 1], (total[RUN:] - total[:-RUN]).max())) / RUN
 
     def probability(self, logit) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * np.asarray(logit, float) + self.shift, -50, 50)))
@@ -111,7 +113,7 @@ def platt(logits: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(slope, 0.05)), float(shift)
 
 
-def fit(texts: list[str | None], y: np.ndarray, prior: float | None = None, epochs: int = 10, batch: int = 64, rate: float = 0.03, seed: int = 7) -> Model:
+def fit(texts: Iterable[str | None], y: np.ndarray, prior: float | None = None, epochs: int = 12, batch: int = 64, rate: float = 0.03, seed: int = 7) -> Model:
     """Train on texts and labels (0 or 1); prior is the share of ones outside the sample. Without both classes the score is constant.
 
     Small samples are gone through more often, to about 400 steps.
@@ -126,6 +128,7 @@ def fit(texts: list[str | None], y: np.ndarray, prior: float | None = None, epoc
     some = [i for i, d in enumerate(docs) if len(d)]
     flat, counts = grams_by_word(list(ids))
     starts = np.cumsum(counts) - counts
+    place_of = np.zeros(len(counts), np.int32)  # of a word among those of a batch
     model.vectors = (rng.random((BUCKETS, DIMS), np.float32) - 0.5) / DIMS
     model.weights = (rng.random((DIMS, 2), np.float32) - 0.5) * 2
     checked = set(rng.permutation(some)[: len(some) // 5].tolist())
@@ -143,7 +146,9 @@ def fit(texts: list[str | None], y: np.ndarray, prior: float | None = None, epoc
             bag_at = np.concatenate([off + np.arange(0, n, BAG) for off, n in zip(np.cumsum(sizes) - sizes, sizes)])
             bag_doc = np.repeat(np.arange(len(chosen)), -(-sizes // BAG))
             bag_size = np.diff(np.append(bag_at, len(words)))
-            used, place = np.unique(words, return_inverse=True)
+            used = np.flatnonzero(np.bincount(words, minlength=len(counts)))
+            place_of[used] = np.arange(len(used), dtype=np.int32)
+            place = place_of[words]
             grams = flat[ragged(starts[used], counts[used])]
             gram_at = np.cumsum(counts[used]) - counts[used]
             of_word = np.add.reduceat(model.vectors[grams], gram_at) / counts[used][:, None]
@@ -165,8 +170,8 @@ def fit(texts: list[str | None], y: np.ndarray, prior: float | None = None, epoc
             d_place = np.repeat(d_bag, bag_size, axis=0)
             d_word = np.stack([np.bincount(place, d_place[:, k], len(used)) for k in range(DIMS)], axis=1) / counts[used][:, None]
             d_gram = np.repeat(d_word, counts[used], axis=0)
-            touched, where = np.unique(grams, return_inverse=True)
-            d_vectors = np.stack([np.bincount(where, d_gram[:, k], len(touched)) for k in range(DIMS)], axis=1)
+            touched = np.flatnonzero(np.bincount(grams, minlength=BUCKETS))
+            d_vectors = np.stack([np.bincount(grams, d_gram[:, k], BUCKETS)[touched] for k in range(DIMS)], axis=1)
             step += 1
             for (m, v), value, slope, rows in zip(moments, parameters, (d_vectors, of_bag.T @ dz, dz.sum(axis=0)), (touched, slice(None), slice(None))):
                 m[rows] = 0.9 * m[rows] + 0.1 * slope
@@ -218,10 +223,11 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, name: str = "sc
 
 
 def trained(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
-    """A model fitted on at most per_class labelled documents of each class outside the held-out fold."""
-    sample = labelled_sample(docs, labels, "toxic", per_class, ["text"])
-    prior = labels.where(~held_out(F.col("doc_id"))).agg(F.avg(F.col("toxic").cast("double"))).first()[0]
-    return fit(sample["text"].tolist(), sample["y"].to_numpy(np.int64), prior)
+    """A model fitted on at most per_class labelled documents of each class, and about CHARACTERS of them, outside the held-out fold."""
+    rows = labelled_texts(docs, labels, "toxic", per_class, CHARACTERS).sort("doc_id").toArrow()
+    usable = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1))
+    prior = usable.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
+    return fit((t.as_py() for t in rows.column("text")), rows.column("y").to_numpy().astype(np.int64), prior)
 
 
 def reject_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
