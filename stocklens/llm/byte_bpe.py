@@ -1,8 +1,8 @@
 """Byte-level BPE: the tokenizers library over Arrow batches, with a byte-to-character table both ways.
 
 The rank file gives the vocabulary; its merges are every split of a token into two known tokens, in the order of the ranks.
-Bytes are shown to the library as printable characters, one each. Texts repeat their words, so each batch first gathers the
-distinct stretches it has not met, encodes those in one call of the library, and puts the ids of a text together from them.
+Bytes are shown to the library as printable characters, one each; it also cuts the texts, by the pattern given. Decoding turns the
+vocabulary's characters back into bytes by the same table, and joins the bytes of the ids of many texts in one Arrow call.
 """
 
 from __future__ import annotations
@@ -10,13 +10,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import itertools
+import os
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
-CACHE = 150_000  # stretches kept by a worker
 SLICE = 256  # texts encoded at a time
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -31,11 +31,10 @@ def byte_characters() -> dict[int, str]:
 class Codec:
     """Encodes and decodes with the ranks in a file; pattern cuts a text into pieces that never merge with each other."""
 
-    #: A space that other white space surrounds: there, cutting before each space would cut a piece in two.
-    INNER_SPACE = regex.compile(r"\s (?:\s|\Z)")
-
     def __init__(self, path: str, pattern: str):
-        from tokenizers import Tokenizer, models, pre_tokenizers
+        from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
@@ -46,56 +45,55 @@ class Codec:
             splits = [(token[:i], token[i:]) for i in range(1, len(token)) if token[:i] in ranks and token[i:] in ranks]
             merges += [(shown(a), shown(b)) for a, b in sorted(splits, key=lambda s: (ranks[s[0]], ranks[s[1]]))]
         self.tokenizer = Tokenizer(models.BPE(vocab={shown(t): r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
-        self.tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.bytes_of_text = {str(rank): token for token, rank in ranks.items()}
-        self.pattern = regex.compile(pattern)
-        self.known: dict[str, str] = {}
-
-    def stretches(self, text: str) -> list[str]:
-        """Parts of a text that can be encoded apart: cut before each space where that is a piece's start anyway."""
-        if self.INNER_SPACE.search(text):
-            return self.pattern.findall(text)
-        first, *rest = text.split(" ")
-        return ([first] if first else []) + [f" {x}" for x in rest]
-
-    def learn(self, stretches: set[str]) -> None:
-        if len(self.known) + len(stretches) > CACHE:
-            self.known.clear()
-        cut = [self.pattern.findall(s) for s in stretches]
-        pieces = list({p for c in cut for p in c})
-        ids = {}
-        for i in range(0, len(pieces), 4096):
-            part = pieces[i : i + 4096]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                ids[p] = ",".join(map(str, e.ids))
-        self.known.update((s, ",".join(ids[p] for p in c)) for s, c in zip(stretches, cut, strict=True))
+        cut = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)  # the matches alone, each apart
+        self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence([cut, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        byte_of = {ch: b for b, ch in self.table.items()}
+        tokens = {i: bytes(map(byte_of.__getitem__, token)) for token, i in self.tokenizer.get_vocab().items()}
+        every = range(max(tokens) + 1)
+        self.vocabulary = pa.array([tokens.get(i) for i in every], pa.large_binary())
+        self.decimal = pa.array([b"%d," % i for i in every], pa.large_binary())
+
+    def ids_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts one after another, and where each text's begin and end in them."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        bounds = np.cumsum([0, *map(len, found)])
+        return np.fromiter(itertools.chain.from_iterable(found), np.int32, int(bounds[-1])), bounds
 
     def encode(self, texts: Iterable[str]) -> Iterator[str]:
         """The ids of each text in decimal, joined by commas."""
         texts = iter(texts)
         while some := list(itertools.islice(texts, SLICE)):
-            cut = [self.stretches(t) for t in some]
-            wanted = set().union(*cut)
-            new = wanted.difference(self.known)
-            if new:
-                if len(self.known) + len(new) > CACHE:
-                    self.known.clear()
-                    new = wanted
-                self.learn(new)
-            for c in cut:
-                yield ",".join(map(self.known.__getitem__, c))
-
-    def decode(self, ids: str) -> bytes:
-        """The bytes of ids; a character whose bytes lie in several tokens comes out whole, as bytes are joined before UTF-8 is read."""
-        return b"".join(map(self.bytes_of_text.__getitem__, ids.split(","))) if ids else b""
-
-    def offsets(self, text: str, ids: list[int]) -> tuple[list[int], list[int]]:
-        """For each token the first character that it touches and the one after the last; tokens of a split character share it."""
-        at = [i for i, ch in enumerate(text) for _ in ch.encode()]
-        ends = list(itertools.accumulate(len(self.bytes_of[i]) for i in ids))
-        starts = [0, *ends][:-1]
-        return [at[s] for s in starts], [at[e - 1] + 1 for e in ends]
+            ids, bounds = self.ids_of(some)
+            yield from (part.tobytes()[:-1].decode() for part in parts_of(*joined(self.decimal, ids), bounds))
+
+    def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[memoryview]:
+        """The bytes of each text; a character whose bytes lie in several tokens comes out whole, as bytes are joined before UTF-8 is read."""
+        return parts_of(*joined(self.vocabulary, ids), bounds)
+
+    def offsets(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each token the first character of its text that it touches, the one after the last, and whether it starts inside a character."""
+        raw, at = joined(self.vocabulary, ids)
+        first = (raw & 0xC0) != 0x80
+        character = np.concatenate([np.cumsum(first) - 1, [0]])
+        base = np.repeat(character[at[bounds[:-1]]], np.diff(bounds))
+        return character[at[:-1]] - base, character[at[1:] - 1] + 1 - base, ~first[at[:-1]]
+
+
+def joined(table: pa.Array, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of table at ids as one run of bytes, and where each begins and ends."""
+    if ids.size and (ids.min() < 0 or ids.max() >= len(table)):
+        raise ValueError("an id outside the vocabulary")
+    taken = table.take(pa.array(ids))
+    if taken.null_count:
+        raise ValueError("an id outside the vocabulary")
+    _, at, raw = taken.buffers()
+    at = np.frombuffer(at, np.int64, len(ids) + 1) if len(ids) else np.zeros(1, np.int64)
+    return (np.frombuffer(raw, np.uint8) if raw is not None else np.empty(0, np.uint8))[: at[-1]], at
+
+
+def parts_of(raw: np.ndarray, at: np.ndarray, bounds: np.ndarray) -> list[memoryview]:
+    view, cut = memoryview(raw), at[bounds].tolist()
+    return [view[a:b] for a, b in zip(cut, cut[1:])]
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
@@ -119,11 +117,10 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
         for batch in batches:
             for i in range(0, batch.num_rows, SLICE):
                 part = batch.slice(i, SLICE)
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                ids = [[int(x) for x in s.split(",")] if s else [] for s in c.encode(texts)]
-                spans = [c.offsets(t, x) for t, x in zip(texts, ids, strict=True)]
-                kind = pa.list_(pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, kind), pa.array([s[0] for s in spans], kind), pa.array([s[1] for s in spans], kind)], names=["doc_id", "ids", "starts", "ends"])
+                ids, bounds = c.ids_of([t or "" for t in part.column("text").to_pylist()])
+                starts, ends, _ = c.offsets(ids, bounds)
+                lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(x, pa.int32())) for x in (ids, starts, ends)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *lists], names=["doc_id", "ids", "starts", "ends"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, starts array<int>, ends array<int>")
 
@@ -134,14 +131,16 @@ def decode(encoded: DataFrame, path: str | None = None, pattern: str | None = No
     def run(batches):
         c = codec(path, pattern)
         for batch in batches:
-            found = [b"".join(c.bytes_of[i] for i in ids or ()) for ids in batch.column("ids").to_pylist()]
+            lists = [np.array(ids or (), np.int32) for ids in batch.column("ids").to_pylist()]
+            bounds = np.cumsum([0, *map(len, lists)])
+            found = [bytes(part) for part in c.decode(np.concatenate([np.empty(0, np.int32), *lists]), bounds)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], names=["doc_id", "bytes"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
 
 
-def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """Encode, decode what was encoded, and return digests of both: doc_id, n_tokens, ids_sha256, decoded_sha256.
+def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None, offsets: bool = False) -> DataFrame:
+    """Encode, decode what was encoded, and return digests of both: doc_id, n_tokens, ids_sha256, decoded_sha256; with offsets also n_split, the tokens that start inside a character.
 
     Null texts count as empty; null and repeated doc_ids are ordinary rows; other columns are ignored. A batch is cut into
     slices, so memory is bounded by SLICE texts or one very long one.
@@ -152,12 +151,19 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None
         for batch in batches:
             for i in range(0, batch.num_rows, SLICE):
                 part = batch.slice(i, SLICE)
-                rows = [(s.count(",") + 1 if s else 0, hashlib.sha256(s.encode()).hexdigest(), hashlib.sha256(c.decode(s)).hexdigest()) for s in c.encode(t or "" for t in part.column("text").to_pylist())]
-                n, ids, decoded = zip(*rows, strict=True) if rows else ((), (), ())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                ids, bounds = c.ids_of([t or "" for t in part.column("text").to_pylist()])
+                decimal = [hashlib.sha256(x[:-1]).hexdigest() for x in parts_of(*joined(c.decimal, ids), bounds)]
+                decoded = [hashlib.sha256(x).hexdigest() for x in c.decode(ids, bounds)]
+                columns = [pa.array(np.diff(bounds), pa.int64()), pa.array(decimal, pa.string()), pa.array(decoded, pa.string())]
+                if offsets:
+                    inside = c.offsets(ids, bounds)[2]
+                    columns.append(pa.array(np.diff(np.concatenate([[0], np.cumsum(inside)])[bounds]), pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", n_split long" * offsets
+    names = [field.split()[0] for field in schema.split(", ")]
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def op6_byte_bpe(spark, sf_dir: str) -> DataFrame:
-    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), offsets=True)

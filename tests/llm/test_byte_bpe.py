@@ -56,3 +56,18 @@ def test_round_trip_and_offsets(spark):
 
 def test_empty_table(spark):
     assert byte_bpe.digests(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_split_characters_and_another_pattern(spark, reference):
+    """Offsets against brute force over the bytes of the tokens; a pattern that joins words cuts as tiktoken does."""
+    made = texts()[:400]
+    got = {r.doc_id: r.n_split for r in byte_bpe.digests(spark.createDataFrame([(i, t, "") for i, t in enumerate(made)], SCHEMA), offsets=True).collect()}
+    for i, t in enumerate(made):
+        at, inside = 0, 0
+        for token in reference.decode_tokens_bytes(reference.encode_ordinary(t)):
+            inside += t.encode()[at] & 0xC0 == 0x80
+            at += len(token)
+        assert got[i] == inside
+    pattern = r"[a-z ]+|[^a-z ]"
+    other = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=reference._mergeable_ranks, special_tokens={})
+    assert list(byte_bpe.codec(None, pattern).encode(made)) == [",".join(map(str, other.encode_ordinary(t))) for t in made]
