@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 import numpy as np
 import pandas as pd
@@ -14,11 +15,17 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a folder of our own only where none is set."""
+    """The shared folder named by spark.checkpoint.dir. Where none is set a local master gets one of its own; a cluster is an error, as executors share no local folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc.getCheckpointDir()
 
 
@@ -27,7 +34,19 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more."""
+    for table in tables:
+        path = _PATHS.pop(table, None)
+        if path is not None:
+            sc = table.sparkSession.sparkContext
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def let(value: Column, body) -> Column:
@@ -74,28 +93,32 @@ def components(edges: DataFrame) -> DataFrame:
     are contracted to the roots. Aggregates are partial and labels unique, so a hub vertex costs no more than its edges.
     """
     spark = edges.sparkSession
-    label = None
-    current = materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).mapInPandas(_forest, "a long, b long").distinct())
+    label, current = None, materialize(_forest_of(edges))
     while not current.isEmpty():
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("p"))
-        hook = materialize(hook)
+        first = materialize(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("p")))
+        hook = first
         for _ in range(2):
             up = hook.select(F.col("v").alias("p"), F.col("p").alias("q"))
             hook = hook.join(up, "p", "left").select("v", F.coalesce("q", "p").alias("p"))
         hook = materialize(hook)
         at = lambda c: hook.select(F.col("v").alias(c), F.col("p").alias(f"{c}_p"))
+        before, moved = (label, current), current.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("a_p", "a").alias("a"), F.coalesce("b_p", "b").alias("b"))
         if label is None:
             label = hook
         else:
             label = materialize(label.join(at("p"), "p", "left").select("v", F.coalesce("p_p", "p").alias("p")))
-        moved = current.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("a_p", "a").alias("a"), F.coalesce("b_p", "b").alias("b"))
-        current = materialize(moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).mapInPandas(_forest, "a long, b long").distinct())
+        current = materialize(_forest_of(moved))
+        discard(first, *(t for t in (*before, hook) if t is not None and t is not label))
     if label is None:
         return spark.createDataFrame([], "v long, component long")
     return label.select("v", F.col("p").alias("component"))
 
 
+def _forest_of(edges: DataFrame) -> DataFrame:
+    return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).mapInPandas(_forest, "a long, b long").distinct()
+
+
 def words_of(text: bytes) -> list[bytes]:
     """Words of a UTF-8 text: bytes.split() cuts at exactly the six ASCII white-space bytes of WORD."""
     return text.split()
