@@ -47,3 +47,14 @@ def test_empty(spark):
     assert near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
     assert [tuple(r) for r in near_vectors(spark.createDataFrame([(1, None, 0)], SCHEMA)).collect()] == [(1, 0, 1, True)]
     assert [tuple(r) for r in near_vectors(spark.createDataFrame([(1, [1.0, 2.0], 0), (2, [2.0, 4.0], 0)], SCHEMA)).collect()] == [(1, 1, 1, True), (2, 1, 1, False)]
+
+
+def test_lengths_magnitudes_and_repeated_ids(spark):
+    """Vectors of every length are compared, tiny and huge ones too; rows of one id are judged apart."""
+    rng = np.random.default_rng(4)
+    a, b, c = (rng.standard_normal(n) for n in (16, 16, 5))
+    rows = [(i, rng.standard_normal(16).tolist()) for i in range(10, 40)]
+    rows += [(1, a.tolist()), (2, (a * 1e-200).tolist()), (3, (a * 1e200).tolist()), (1, b.tolist()), (4, (b * 1.5).tolist())]
+    rows += [(5, c.tolist()), (6, (c * 2).tolist()), (7, [1.0]), (8, [3.0]), (9, [1.0, 0.0, 0.0])]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).where("vec_id < 10").collect())
+    assert got == [(1, 1, 1), (1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 1, 1), (5, 1, 5), (6, 1, 5), (7, 1, 7), (8, 1, 7), (9, 0, 9)]
