@@ -16,39 +16,46 @@ def node_ids(components: DataFrame) -> DataFrame:
     return components.withColumn("id", F.concat_ws("@", "name", "version"))
 
 
-def resolve_edges(components: DataFrame, edges: DataFrame) -> DataFrame:
-    """(parent, child, ord) node ids. A child name stands for the last row of that name by (ordinal, version); unknown names and parents drop out, repeated children too."""
+def resolve_edges(components: DataFrame, edges: DataFrame, within=()) -> DataFrame:
+    """(parent, child, ord) node ids. A child name stands for the last row of that name by (ordinal, version); unknown names and parents drop out, repeated children too.
+
+    Columns in within, as ("project",), keep graphs apart and lead the result.
+    """
     nodes = node_ids(components)
-    names = nodes.groupBy("name").agg(F.max_by("id", F.struct("ordinal", "version")).alias("child"))
-    parents = nodes.select(F.col("id").alias("parent_id")).distinct()
-    found = edges.join(names, edges["child_name"] == names["name"]).join(parents, "parent_id", "left_semi")
-    return found.groupBy(F.col("parent_id").alias("parent"), "child").agg(F.min("ord").alias("ord"))
+    names = nodes.groupBy(*within, F.col("name").alias("child_name")).agg(F.max_by("id", F.struct("ordinal", "version")).alias("child"))
+    parents = nodes.select(*within, F.col("id").alias("parent_id")).distinct()
+    found = edges.join(names, [*within, "child_name"]).join(parents, [*within, "parent_id"], "left_semi")
+    return found.groupBy(*within, F.col("parent_id").alias("parent"), "child").agg(F.min("ord").alias("ord"))
 
 
-def unresolved_edges(components: DataFrame, edges: DataFrame) -> DataFrame:
+def unresolved_edges(components: DataFrame, edges: DataFrame, within=()) -> DataFrame:
     """Edges whose child is no component's name."""
-    return edges.join(components.select(F.col("name").alias("child_name")), "child_name", "left_anti")
+    return edges.join(components.select(*within, F.col("name").alias("child_name")), [*within, "child_name"], "left_anti")
 
 
-def correct_roots(components: DataFrame, resolved: DataFrame) -> DataFrame:
+def correct_roots(components: DataFrame, resolved: DataFrame, within=()) -> DataFrame:
     """components with is_direct_graph: no parent in the graph; is_direct itself where there are no edges at all."""
     nodes = node_ids(components)
-    children = resolved.select(F.col("child").alias("id")).distinct().withColumn("_has", F.lit(True))
-    some = resolved.limit(1).agg((F.count(F.lit(1)) > 0).alias("_any"))
-    joined = nodes.join(children, "id", "left").join(F.broadcast(some))
+    children = resolved.select(*within, F.col("child").alias("id")).distinct().withColumn("_has", F.lit(True))
+    joined = nodes.join(children, [*within, "id"], "left")
+    if within:
+        joined = joined.join(resolved.select(*within).distinct().withColumn("_any", F.lit(True)), list(within), "left")
+    else:
+        joined = joined.join(F.broadcast(resolved.limit(1).agg((F.count(F.lit(1)) > 0).alias("_any"))))
     return joined.withColumn("is_direct_graph", F.when(F.col("_any"), F.col("_has").isNull()).otherwise(F.col("is_direct"))).drop("_has", "_any")
 
 
-def unfold(roots: DataFrame, resolved: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
+def unfold(roots: DataFrame, resolved: DataFrame, depth: int = MAX_DEPTH, within=()) -> DataFrame:
     """(root, node, depth, path, cyclic) for every simple path from roots (root) of at most depth edges; a node that closes a cycle is listed once and not gone into.
 
     One join per level. Paths multiply as the graph does, so depth bounds the work.
     """
-    level = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"), F.array("root").alias("path"), F.lit(False).alias("cyclic"))
+    level = roots.select(*within, "root", F.col("root").alias("node"), F.lit(0).alias("depth"), F.array("root").alias("path"), F.lit(False).alias("cyclic"))
+    below = resolved.select(*within, F.col("parent").alias("node"), "child")
     out = level
     for d in range(1, depth + 1):
-        step = level.where("not cyclic").join(resolved, level["node"] == resolved["parent"])
-        level = step.select("root", F.col("child").alias("node"), F.lit(d).alias("depth"), F.concat("path", F.array("child")).alias("path"), F.array_contains("path", F.col("child")).alias("cyclic"))
+        step = level.where("not cyclic").join(below, [*within, "node"])
+        level = step.select(*within, "root", F.col("child").alias("node"), F.lit(d).alias("depth"), F.concat("path", F.array("child")).alias("path"), F.array_contains("path", F.col("child")).alias("cyclic"))
         out = out.unionByName(level)
     return out
 
@@ -73,11 +80,11 @@ def unfold_all(roots: DataFrame, resolved: DataFrame) -> DataFrame:
     return spark.read.schema(schema.add("depth", IntegerType())).parquet(path).select("root", "node", "depth", "path", "cyclic")
 
 
-def tree_lines(unfolded: DataFrame, resolved: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
+def tree_lines(unfolded: DataFrame, resolved: DataFrame, depth: int = MAX_DEPTH, within=()) -> DataFrame:
     """Indented lines of the tree with the path that orders them; a node cut off by depth tells how many children it has."""
-    below = resolved.groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("children"))
+    below = resolved.groupBy(*within, F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("children"))
     mark = F.when(F.col("cyclic"), " (cycle)").when((F.col("depth") == depth) & (F.col("children") > 0), F.concat(F.lit(" ("), F.col("children").cast("string"), F.lit(" more)"))).otherwise("")
-    return unfolded.join(below, "node", "left").select("root", "path", "depth", F.concat(F.repeat(F.lit("  "), F.col("depth")), "node", mark).alias("line"))
+    return unfolded.join(below, [*within, "node"], "left").select(*within, "root", "path", "depth", F.concat(F.repeat(F.lit("  "), F.col("depth")), "node", mark).alias("line"))
 
 
 def chains(targets: DataFrame, unfolded: DataFrame) -> DataFrame:

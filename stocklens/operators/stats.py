@@ -30,10 +30,11 @@ def direct_counts(components: DataFrame) -> DataFrame:
     )
 
 
-def ecosystem_counts(components: DataFrame, mode: str = "markdown") -> DataFrame:
-    """Per ecosystem: total, direct, transitive. In mode 'stdout' direct dev rows count as direct, in 'markdown' they don't."""
+def ecosystem_counts(components: DataFrame, mode: str = "markdown", within=()) -> DataFrame:
+    """Per ecosystem: total, direct, transitive; with columns in within also those, and dev. In mode 'stdout' direct dev rows count as direct, in 'markdown' they don't."""
     direct = F.col("is_direct") if mode == "stdout" else F.col("is_direct") & ~F.col("is_dev")
-    return components.groupBy("ecosystem").agg(F.count(F.lit(1)).alias("total"), F.count_if(direct).alias("direct"), F.count_if(~F.col("is_direct")).alias("transitive"))
+    dev = [F.count_if("is_dev").alias("dev")] if within else []
+    return components.groupBy(*within, "ecosystem").agg(F.count(F.lit(1)).alias("total"), F.count_if(direct).alias("direct"), F.count_if(~F.col("is_direct")).alias("transitive"), *dev)
 
 
 def ecosystems(components: DataFrame) -> DataFrame:

@@ -155,7 +155,7 @@ def unfolded(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 
 def graph_chains(spark, sf_dir) -> DataFrame:
-    """All chains, of any length. The SQL below stops at 5 edges, so it lacks the longer ones."""
+    """All chains, of any length."""
     nodes, edges = graph_tables(spark, sf_dir)
     ids = graph.node_ids(nodes)
     paths = graph.unfold_all(ids.where("is_direct").select(F.col("id").alias("root")), graph.resolve_edges(nodes, edges))
@@ -169,6 +169,10 @@ tree(root, node, depth, path, cyclic) as (
   select t.root, r.child, t.depth + 1, list_append(t.path, r.child), list_contains(t.path, r.child) from tree t join resolved r on r.parent = t.node where t.depth < 5 and not t.cyclic)"""
 
 
+# Chains have no depth, so their paths are unfolded until none grows.
+CHAINS_SQL = UNFOLD_SQL.replace(" where t.depth < 5 and not t.cyclic", " where not t.cyclic")
+
+
 def pages(spark, sf_dir) -> DataFrame:
     p = read(spark, sf_dir, "pages").select("page_id", "url")
     git = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("git@github.com:group/"), F.col("page_id").cast("string"), F.lit(".git"))).when(F.col("page_id") % 4 == 1, F.concat(F.col("url"), F.lit("/archive/x.tar.gz"))).when(F.col("page_id") % 4 == 2, F.concat(F.lit("https://gitlab.com/a/b/r"), F.col("page_id").cast("string"), F.lit(".git"))).otherwise(F.col("url"))
@@ -378,5 +382,5 @@ ORACLES = {
     "graph_roots": f"with {GRAPH_SQL} select id, is_direct, id not in (select child from resolved) as is_direct_graph from nodes",
     "graph_unfold": f"{UNFOLD_SQL} select root, node, depth, array_to_string(path, '>') as path, cyclic from tree",
     "graph_tree": f"{UNFOLD_SQL}, below as (select parent, count(*) as n from resolved group by parent) select root, array_to_string(path, '>') as path, depth, repeat('  ', depth) || node || case when cyclic then ' (cycle)' when depth = 5 and n > 0 then ' (' || n || ' more)' else '' end as line from tree left join below on parent = node",
-    "graph_chains": f"{UNFOLD_SQL} select id as target, coalesce(array_to_string(path, ' -> '), id) as chain from nodes left join tree on node = id and not cyclic",
+    "graph_chains": f"{CHAINS_SQL} select id as target, coalesce(array_to_string(path, ' -> '), id) as chain from nodes left join tree on node = id and not cyclic",
 }
