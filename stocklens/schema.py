@@ -7,7 +7,18 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-AI = "struct<format string, architecture string, quantization string, parameter_count decimal(20,0), context_length long, tensor_count long, shard_count long, tags array<string>, base_models array<string>, hash_skipped string>"
+SUB_MODEL = "struct<modality string, model_type string, num_hidden_layers long, hidden_size long, num_attention_heads long, num_key_value_heads long, max_position_embeddings long, vocab_size long, dtype string, intermediate_size long, patch_size long, default_output_length long, conv_kernel_size long, output_proj_dims long>"
+AI = (
+    "struct<format string, architecture string, model_type string, quantization string, parameter_count decimal(20,0), computed_parameter_count decimal(20,0), size_label string, "
+    "tensor_count long, shard_count long, total_size_bytes long, gguf_version int, safetensors_format string, torch_dtype string, transformers_version string, vocab_size long, "
+    "num_hidden_layers long, hidden_size long, num_attention_heads long, context_length long, model_max_length long, processor_class string, image_seq_length long, audio_seq_length long, "
+    "image_processor_type string, audio_feature_extractor_type string, audio_sampling_rate long, video_processor_type string, video_num_frames long, has_vision boolean, has_audio boolean, "
+    "has_video boolean, vision_model_type string, audio_model_type string, generation_temperature double, generation_top_k long, generation_top_p double, model_name string, pipeline_tag string, "
+    "quantized_by string, prompt_template string, description string, organization string, basename string, finetune string, source_url string, source_repo_url string, license_name string, "
+    "license_link string, tags array<string>, languages array<string>, datasets array<string>, "
+    f"base_models array<struct<name string, author string, version string, organization string, url string, repo_url string>>, sub_models array<{SUB_MODEL}>, "
+    "is_adapter boolean, adapter_type string, hash_skipped string>"
+)
 COMPONENTS = (
     "name string, version string, ecosystem string, source string, source_rank int, is_dev boolean, is_direct boolean, license string, "
     "author string, maintainers array<string>, repository_url string, homepage_url string, source_file string, source_path string, "
@@ -20,10 +31,10 @@ RANKS = {"LockFile": 3, "Manifest": 2, "ImportScan": 1}
 SENTINELS = ["unspecified", "unknown", "detected"]
 
 
-def columns() -> list[tuple[str, str]]:
-    """(name, type) of the component columns, in order."""
+def columns(ddl: str = COMPONENTS) -> list[tuple[str, str]]:
+    """(name, type) of a list of columns, in order; those of a component unless others are given."""
     out, depth, part = [], 0, ""
-    for ch in COMPONENTS + ",":
+    for ch in ddl + ",":
         depth += (ch == "<" or ch == "(") - (ch == ">" or ch == ")")
         if ch == "," and depth == 0:
             name, _, kind = part.strip().partition(" ")

@@ -7,19 +7,20 @@ which Spark has no reader for, is turned into JSON by one small Arrow UDF and th
 from __future__ import annotations
 
 import json
+import re
 import sys
 import tomllib
-from functools import reduce
+from functools import partial, reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructType
 
 from ..functions.dictionaries import library_license, ros_license
-from ..functions.identity import js_root, python_root, source_info
+from ..functions.identity import git_parts, js_root, python_name, python_root, source_info
 from ..schema import as_components
-from .tree import MAX_BYTES, name_of
+from .tree import MAX_BYTES, dir_of, name_of
 
 NONE = "unspecified"
 M = "map<string,string>"
@@ -76,8 +77,74 @@ def package_json(files):
 LOCKED = f"packages map<string, struct<version string, integrity string, dev boolean, license string, resolved string, dependencies {M}>>"
 
 
+LOCK_V1 = ArrayType(StructType().add("name", StringType()).add("version", StringType()).add("dev", BooleanType()).add("direct", BooleanType()))
+
+
+@F.pandas_udf(LOCK_V1)
+def nested_packages(text: pd.Series) -> pd.Series:
+    """Packages of a lock file of version 1, whose dependencies nest to any depth; those below the first level are transitive."""
+
+    def one(t):
+        try:
+            lock = json.loads(t)
+            todo, found = [] if "packages" in lock else [(lock.get("dependencies"), True)], []
+            while todo:
+                level, direct = todo.pop()
+                for name, info in (level or {}).items():
+                    found.append({"name": name, "version": info.get("version") or "unknown", "dev": info.get("dev") is True, "direct": direct})
+                    todo.append((info.get("dependencies"), False))
+            return found
+        except (ValueError, AttributeError):
+            return []
+
+    return text.map(one)
+
+
+def package_lock_v1(files):
+    rows = files.select("project", "path", F.explode(nested_packages("text")).alias("p"))
+    return emit(rows, "npm lock", "npm", name=F.col("p.name"), version=F.col("p.version"), source=F.lit("LockFile"), is_dev=F.col("p.dev"), is_direct=F.col("p.direct")).dropDuplicates(["project", "source_path", "name", "version"])
+
+
+INSTALLED = r"^(?:(.*)/)?node_modules/((?:@[^/]+/)?[^/]+)/package\.json$"
+
+
+def json_text(column: str, key: str, *inner: str) -> Column:
+    """A field that is a string, or an object of which the first of the inner fields is taken."""
+    raw = F.get_json_object(column, f"$.{key}")
+    inside = F.coalesce(F.lit(None), *(F.get_json_object(raw, f"$.{i}") for i in inner))
+    return F.when(raw.startswith("{"), inside).when(~raw.startswith("["), raw)
+
+
+def install_metadata(files: DataFrame) -> DataFrame:
+    """project, dir, name and what the package.json of a package installed in dir/node_modules tells: license, author, maintainers, repository_url, homepage_url."""
+    rows = files.where(F.col("path").rlike(INSTALLED) & F.col("text").isNotNull()).select("project", F.regexp_extract("path", INSTALLED, 1).alias("dir"), F.regexp_extract("path", INSTALLED, 2).alias("name"), "text")
+    people = F.from_json(F.get_json_object("text", "$.maintainers"), "array<string>")
+    named = F.array_compact(F.transform(people, lambda m: F.when(m.startswith("{"), F.get_json_object(m, "$.name")).otherwise(m)))
+    return rows.select(
+        "project", "dir", "name",
+        F.coalesce(json_text("text", "license", "type"), F.get_json_object("text", "$.licenses[0].type")).alias("license"),
+        json_text("text", "author", "name").alias("author"),
+        F.when(F.size(named) > 0, named).alias("maintainers"),
+        json_text("text", "repository", "url").alias("repository_url"),
+        json_text("text", "homepage").alias("homepage_url"),
+    )
+
+
+def with_install_metadata(components: DataFrame, files: DataFrame) -> DataFrame:
+    """npm rows of a project's manifest and lock file, with what the packages installed beside it tell where the row has nothing."""
+    told = install_metadata(files)
+    fields = ["license", "author", "maintainers", "repository_url", "homepage_url"]
+    told = told.select("project", F.col("dir").alias("_dir"), "name", *(F.col(f).alias(f"_{f}") for f in fields), F.lit("npm").alias("ecosystem"))
+    keyed = components.withColumn("_dir", dir_of(F.col("source_path")))
+    return keyed.join(told, ["project", "_dir", "name", "ecosystem"], "left").withColumns({f: F.coalesce(f, f"_{f}") for f in fields}).select(components.columns)
+
+
 def package_lock(files):
-    """Lock files of versions 2 and 3. The name follows the last node_modules/; one level of it is a direct dependency."""
+    """Lock files of versions 2 and 3, and of version 1. The name follows the last node_modules/; one level of it is a direct dependency."""
+    return package_lock_v2(files).unionByName(package_lock_v1(files))
+
+
+def package_lock_v2(files):
     rows = entries(json_of(files, LOCKED), "j.packages").where("k <> ''")
     levels = F.size(F.split("k", "node_modules/")) - 1
     algorithm, digest = F.split_part("v.integrity", F.lit("-"), F.lit(1)), F.regexp_extract("v.integrity", "^[^-]+-(.*)$", 1)
@@ -224,7 +291,8 @@ def gradle_scope(configuration: Column) -> Column:
 
 def build_gradle(files):
     """Coordinates in string, map and platform forms, comments apart; the first form of a (name, version) stays."""
-    plain = F.regexp_replace("text", r"(?s)/\*.*?\*/|(?m)(?<!:)//[^\n]*", "")
+    # Strings are matched first and put back, so that comment marks inside them stay.
+    plain = F.regexp_replace("text", r"""("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?s:/\*.*?\*/)|//[^\n]*""", "$1")
     conf = "(" + "|".join(c for names in GRADLE.values() for c in names) + ")"
     strings = each(files, rf"""\b{conf}\s*\(?\s*(?:(?:platform|enforcedPlatform)\s*\(\s*)?['"]([^:'"]+):([^:'"]+)(?::([^'":@]+))?""", "conf", "g", "n", "v", text=plain)
     maps = each(files, rf"""\b{conf}\s*\(?\s*group\s*[:=]\s*['"]([^'"]+)['"]\s*,\s*name\s*[:=]\s*['"]([^'"]+)['"](?:\s*,\s*version\s*[:=]\s*['"]([^'"]+)['"])?""", "conf", "g", "n", "v", text=plain)
@@ -237,9 +305,73 @@ def package_xml(files):
     lic = ros_license(F.regexp_extract("text", r"(?s)<license[^>]*>\s*([^<]+?)\s*</license>", 1))
     found = each(files, r"<(depend|build_depend|exec_depend|run_depend|build_export_depend|test_depend)(?:\s[^>]*)?>\s*([^<\s]+)\s*</", "tag", "name", text=bare)
     own = files.select("project", "path", F.lit(0).alias("ordinal"), F.regexp_extract(bare, r"<name>\s*([^<\s]+)\s*</name>", 1).alias("name"), F.regexp_extract(bare, r"<version[^>]*>\s*([^<\s]+)\s*</", 1).alias("v"), lic.alias("license"))
+    people = F.regexp_extract_all(bare, F.lit(r"(?s)<maintainer[^>]*>\s*([^<]+?)\s*</maintainer>"), F.lit(1))
+    mails = F.regexp_extract_all(bare, F.lit(r"""<maintainer[^>]*\bemail\s*=\s*["']([^"']+)["']"""), F.lit(1))
+    named = F.transform(people, lambda p, i: F.concat(p, F.coalesce(F.concat(F.lit(" <"), F.get(mails, i), F.lit(">")), F.lit(""))))
+    author = F.nullif(F.regexp_extract(bare, r"(?s)<author[^>]*>\s*([^<]+?)\s*</author>", 1), F.lit(""))
+    own = own.join(files.select("project", "path", F.when(F.size(named) > 0, named).alias("maintainers"), author.alias("author")), ["project", "path"])
     return union(emit(own, "package.xml", "ros", version=F.col("v")), emit(found, "package.xml", "ros", is_dev=F.col("tag") == "test_depend"))
 
 
+def with_setup_versions(components: DataFrame) -> DataFrame:
+    """Rows of a package.xml take the version that the setup.py beside it gives for a name that is the same but for case and separators; of several such rows the first does."""
+    name, place = python_name(F.col("name")), dir_of(F.col("source_path"))
+    setup = components.where((F.col("ecosystem") == "pip") & (name_of(F.col("source_path")) == "setup.py") & (F.col("source") == "Manifest") & (F.col("version") != NONE))
+    given = setup.groupBy("project", place.alias("_dir"), name.alias("_norm")).agg(F.max_by("version", "ordinal").alias("_setup"))
+    mine = (F.col("ecosystem") == "ros") & (name_of(F.col("source_path")) == "package.xml")
+    first = Window.partitionBy("project", "source_path", "_norm").orderBy("ordinal", "name")
+    ros = components.where(mine).withColumns({"_norm": name, "_dir": place}).withColumn("_n", F.row_number().over(first))
+    merged = ros.join(given, ["project", "_dir", "_norm"], "left").withColumn("version", F.when(F.col("_n") == 1, F.coalesce("_setup", "version")).otherwise(F.col("version")))
+    return components.where(~F.coalesce(mine, F.lit(False))).unionByName(merged.select(components.columns))
+
+
+def ros_packages(files: DataFrame, components: DataFrame) -> DataFrame:
+    """project, package, version, source_path, dependencies (array of component structs): one row for each package.xml, with what it and a setup.py beside it need.
+
+    The version is the package's own, else that of the setup.py; packages without either are left out.
+    """
+    xml = files.where((name_of(F.col("path")) == "package.xml") & F.col("text").isNotNull())
+    setup = files.where((name_of(F.col("path")) == "setup.py") & F.col("text").isNotNull()).select("project", dir_of(F.col("path")).alias("_dir"), F.regexp_extract("text", r"""\bversion\s*=\s*['"]([^'"]+)['"]""", 1).alias("_setup"))
+    tag = lambda t: F.nullif(F.regexp_extract("text", rf"<{t}[^>]*>\s*([^<\s]+)\s*</", 1), F.lit(""))
+    own = xml.select("project", F.col("path").alias("source_path"), dir_of(F.col("path")).alias("_dir"), tag("name").alias("package"), tag("version").alias("v"))
+    own = own.join(setup, ["project", "_dir"], "left").withColumn("version", F.coalesce("v", F.nullif("_setup", F.lit("")))).where("package is not null and version is not null")
+    used = components.where(name_of(F.col("source_path")).isin("package.xml", "setup.py") & F.col("ecosystem").isin("ros", "pip") & (F.col("source") == "Manifest"))
+    one = F.struct(*(F.col(c) for c in components.columns))
+    lists = used.select("project", dir_of(F.col("source_path")).alias("_dir"), one.alias("d"))
+    joined = own.select("project", "_dir", "package", "version", "source_path").join(lists, ["project", "_dir"], "left").where("d is null or d.ecosystem <> 'ros' or d.name <> package")
+    return joined.groupBy("project", "package", "version", "source_path").agg(F.array_sort(F.collect_list("d"), lambda a, b: F.when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0)).alias("dependencies"))
+
+
+PIP_REPORT = "install array<struct<metadata struct<name string, version string, requires_dist array<string>>>>"
+
+
+def _report_rows(files):
+    rows = json_of(files, PIP_REPORT).select("project", "path", F.posexplode("j.install.metadata").alias("ordinal", "m")).where("m.name is not null")
+    first = Window.partitionBy("project", "path", python_name(F.col("m.name"))).orderBy("ordinal")
+    return rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+
+
+def pip_report(files):
+    """Packages of a report that pip has written (pip-report.json); none is direct until the requirements beside it are known."""
+    return emit(_report_rows(files), "pip transitive resolution", "pip", name=F.col("m.name"), version=F.col("m.version"), source=F.lit("LockFile"), is_direct=F.lit(False))
+
+
+def pip_report_edges(files):
+    child = F.transform("m.requires_dist", lambda r: F.regexp_extract(r, r"^([\p{Alnum}_-]*)", 1))
+    parent = F.concat_ws("@", "m.name", F.coalesce("m.version", F.lit(NONE)))
+    return _report_rows(files).select("project", parent.alias("parent_id"), F.posexplode(child).alias("ord", "child_name"))
+
+
+def with_report_requirements(components: DataFrame) -> DataFrame:
+    """Rows of a pip report that the requirements.txt beside it names are direct and count as manifest rows."""
+    name, place, of = python_name(F.col("name")), dir_of(F.col("source_path")), lambda f: name_of(F.col("source_path")) == f
+    asked = components.where(of("requirements.txt")).select("project", place.alias("_dir"), name.alias("_norm")).distinct().withColumn("_asked", F.lit(True))
+    joined = components.withColumns({"_dir": place, "_norm": name}).join(asked, ["project", "_dir", "_norm"], "left")
+    hit = F.coalesce(of("pip-report.json") & F.col("_asked"), F.lit(False))
+    told = {"is_direct": F.when(hit, True).otherwise(F.col("is_direct")), "source": F.when(hit, "Manifest").otherwise(F.col("source")), "source_rank": F.when(hit, 2).otherwise(F.col("source_rank"))}
+    return joined.withColumns(told).select(components.columns)
+
+
 def url_version(url: Column) -> Column:
     """The last dotted number of a URL, else its last number."""
     last = lambda p: F.get(F.reverse(F.regexp_extract_all(url, F.lit(p), F.lit(0))), F.lit(0))
@@ -294,7 +426,23 @@ def vcpkg_json(files):
 def gitmodules(files):
     found = each(files, r'(?s)\[submodule "([^"]+)"\]((?:(?!\[submodule).)*)', "n", "body")
     key = lambda k: F.nullif(F.trim(F.regexp_extract("body", rf"(?m)^\s*{k}\s*=\s*(.+)$", 1)), F.lit(""))
-    return emit(found.where(key("path").isNotNull() & key("url").isNotNull()), "git submodule", "git-submodule", name=name_of(F.regexp_replace(key("path"), "/+$", "")), version=F.lit("uninitialized"), repository_url=key("url"))
+    repo = git_parts(key("url"))
+    named = F.coalesce(F.concat_ws("/", F.nullif(repo["owner"], F.lit("")), repo["repo"]), F.col("n"))
+    return emit(found.where(key("path").isNotNull() & key("url").isNotNull()), "git submodule", "git-submodule", name=F.when(repo["repo"].isNotNull(), named).otherwise(F.col("n")), version=F.lit("uninitialized"), repository_url=key("url"))
+
+
+def submodule_paths(files):
+    """project, dir, sub_path, url of the submodules that .gitmodules files list."""
+    found = each(files.where(name_of(F.col("path")) == ".gitmodules"), r'(?s)\[submodule "([^"]+)"\]((?:(?!\[submodule).)*)', "n", "body")
+    key = lambda k: F.nullif(F.trim(F.regexp_extract("body", rf"(?m)^\s*{k}\s*=\s*(.+)$", 1)), F.lit(""))
+    return found.select("project", dir_of(F.col("path")).alias("dir"), F.regexp_replace(key("path"), "/+$", "").alias("sub_path"), key("url").alias("url")).where("sub_path is not null and url is not null")
+
+
+def with_commits(components: DataFrame, files: DataFrame, commits: DataFrame) -> DataFrame:
+    """Submodule rows with their commits (project, dir, sub_path, commit) as versions; those without stay uninitialized."""
+    known = submodule_paths(files).join(commits, ["project", "dir", "sub_path"]).groupBy("project", F.col("dir").alias("_dir"), F.col("url").alias("repository_url")).agg(F.min("commit").alias("_commit")).withColumn("ecosystem", F.lit("git-submodule"))
+    joined = components.withColumn("_dir", dir_of(F.col("source_path"))).join(known, ["project", "_dir", "repository_url", "ecosystem"], "left")
+    return joined.withColumn("version", F.coalesce("_commit", "version")).select(components.columns)
 
 
 FLAG = r"(?<![\w-])-l([A-Za-z0-9_+.-]+)"
@@ -328,12 +476,73 @@ def pc_file(files):
     return emit(files, "pkg-config", "pkg-config", name=F.coalesce(F.nullif(key("Name"), F.lit("")), stem), version=F.when(key("Version").contains("${"), NONE).otherwise(key("Version")))
 
 
-def mk_file(files):
-    """Version variables (NAME_VERSION, NAME_VER, VERSION_NAME) set outside conditionals; the last value of a name stays."""
-    plain = F.regexp_replace("text", r"(?ms)^\s*if(?:n?eq|n?def)\b.*?^\s*endif\b[^\n]*", "")
-    found = each(files, r"(?m)^[ \t]*(?:export[ \t]+)?([A-Z][A-Z0-9_]*?)_(?:VERSION|VER)[ \t]*[:?]?=[ \t]*v?([0-9][\w.+-]*)", "n", "v", text=plain)
-    last = found.groupBy("project", "path", F.replace(F.lower("n"), F.lit("_"), F.lit("-")).alias("name")).agg(F.max_by("v", "ordinal").alias("v"))
-    return emit(last.where(~F.col("name").isin("gcc", "clang", "cmake", "make", "python", "toolchain")), "mk", "BUILD-CONFIG", version=F.col("v"))
+#: Variables of tools, toolchains and platforms, and ends of such names.
+MK_TOOLS = ["make", "cmake", "gcc", "clang", "python", "perl", "ruby", "autoconf", "automake", "libtool", "pkg_config", "pkgconfig", "ninja", "meson", "bash", "sh", "awk", "sed", "toolchain", "toolchains", "kl", "ndk", "raspbian", "ub_x86_64", "nvidia_jetson_orin"]
+MK_ENDS = r"_(?:toolchains?|kl)$"
+MK_SET = re.compile(r"(\w+(?:_VERSION|_LIB_VER|_VER))\s*(?:\?=|:=|=)\s*([^\s#]+)")
+MK_IF = re.compile(r"ifeq\s*\((.*)\)")
+MK_FILTER = re.compile(r"\$\(filter\s+\$\((\w+)\),\s*([^)]+)\)")
+MK_REFERENCE = re.compile(r"\$\((\w+)\)")
+
+
+def mk_versions(text: str, arch: str | None) -> dict[str, str]:
+    """Version variables of a makefile fragment. With an architecture only branches taken under it count, in their order; without one, a variable whose last value lies in a conditional has none."""
+    values, unsure, branches = {}, set(), []
+    look = lambda name: (arch or "") if name == "ARCH" else values.get(name, "")
+
+    def holds(condition: str) -> bool:
+        if found := MK_FILTER.search(condition):
+            return look(found[1]) in found[2].split()
+        sides = [s.strip() for s in condition.split(",")]
+        if len(sides) != 2:
+            return False
+        left = look("ARCH") if sides[0] == "$(ARCH)" else sides[0]
+        right = MK_REFERENCE.fullmatch(sides[1])
+        return left == (look(right[1]) if right else sides[1])
+
+    for line in map(str.strip, text.splitlines()):
+        if line.startswith("#"):
+            continue
+        if found := MK_IF.match(line):
+            branches.append(arch is None or holds(found[1]))
+        elif line == "else":
+            branches[-1:] = [not b for b in branches[-1:]]
+        elif line == "endif":
+            branches[-1:] = []
+        elif (found := MK_SET.search(line)) and (arch is None or all(branches)):
+            name, value = found[1], found[2].strip()
+            if branches and arch is None:
+                if "$(" not in value:
+                    unsure.add(name)
+                continue
+            unsure.discard(name)
+            if "$(" not in value:
+                values[name] = value
+    return {k: v for k, v in values.items() if k not in unsure}
+
+
+def mk_files(files: DataFrame, arch: str | None = None) -> DataFrame:
+    """project, path, variable, version of the version variables in .mk files."""
+
+    @F.pandas_udf("map<string,string>")
+    def read(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: mk_versions(t, arch))
+
+    return files.select("project", "path", F.explode(read("text")).alias("variable", "version"))
+
+
+def mk_libraries(files: DataFrame, arch: str | None = None) -> DataFrame:
+    """project, path, name, version: libraries by the variables that name them; those of patches name none."""
+    variable = F.col("variable")
+    name = F.lower(F.regexp_replace(variable, "(?:_VERSION|_LIB_VER|_VER)$", ""))
+    return mk_files(files, arch).where(~variable.rlike("_PATCH_|_PATCH_VERSION$")).select("project", "path", name.alias("name"), "version")
+
+
+def mk_file(files, arch: str | None = None):
+    """Libraries of a project's .mk files; of a name that several set, the last file by path decides."""
+    found = mk_libraries(files, arch).where(~F.col("name").isin(MK_TOOLS) & ~F.col("name").rlike(MK_ENDS))
+    last = found.groupBy("project", "name").agg(F.max_by(F.struct("path", "version"), "path").alias("l")).select("project", "name", "l.*")
+    return emit(last, "mk-file", "BUILD-CONFIG", version=F.col("version"), license=library_license(F.col("name")))
 
 
 def library_json(files):
@@ -341,16 +550,42 @@ def library_json(files):
     return emit(j, "library.json", "vendored", name=F.col("j.name"), version=F.col("j.version"), license=F.col("j.license"), repository_url=F.col("j.repository.url"), homepage_url=F.col("j.homepage"), scope=F.lit("Runtime"), scope_confidence=F.lit(0.5))
 
 
-def vendored_cmake(files):
-    """project(NAME VERSION x) in the CMakeLists.txt of a child of 3rd_party or 3rdparty."""
-    child = r"(?:^|/)(?:3rd_party|3rdparty)/([^/]+)/CMakeLists\.txt$"
-    version = F.regexp_extract("text", r"(?is)\bproject\s*\([^)]*\bVERSION\s+([0-9][0-9.]*)", 1)
-    return emit(files.where(F.col("path").rlike(child)), "vendored library", "VENDORED", name=F.regexp_extract("path", child, 1), version=F.when(version == "", "detected").otherwise(version))
+#: Children of a vendored directory that are no libraries, directories that aren't searched, and names that mean another.
+NO_LIBRARIES = "test tests testing googletest gtest catch2 doctest benchmark benchmarks example examples samples doc docs documentation build .git .svn".split()
+TEST_NAMES = r"^(?:tests?|testing|benchmark)[_-]|[_-](?:tests?|benchmarks?)$"
+NOT_SEARCHED = "node_modules target build dist .git .svn .hg __pycache__ .tox .mypy_cache .pytest_cache".split()
+VENDORED_NAMES = {"paho-embedded-c": "paho.mqtt.embedded-c", "paho_mqtt_embedded_c": "paho.mqtt.embedded-c", "minizip-ng": "minizip"}
+VENDORED = r"^((?:.*/)?(?:3rd_party|3rdparty)/([^/]+))/([^/]+)$"
+
+
+def vendored_libraries(files: DataFrame) -> DataFrame:
+    """Children of 3rd_party and 3rdparty: the version that their CMakeLists.txt gives, else their library.properties; a child with C sources and neither has none."""
+    rows = files.where(F.col("path").rlike(VENDORED)).select("project", "path", F.regexp_extract("path", VENDORED, 1).alias("root"), F.regexp_extract("path", VENDORED, 2).alias("child"), F.regexp_extract("path", VENDORED, 3).alias("file"), "text")
+    rows = rows.where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, NOT_SEARCHED))) & ~F.lower("child").isin(NO_LIBRARIES) & ~F.lower("child").rlike(TEST_NAMES))
+    part = lambda pattern: F.nullif(F.regexp_extract("text", pattern, 1), F.lit(""))
+    project = part(r"(?i)\bproject\s*\(\s*(?:\"[^\"]+\"|[^\s)]+)\s+VERSION\s+([0-9]+(?:\.[0-9]+){0,3})")
+    suffix = [part(rf'set\s*\(\s*\w+_{p}_VERSION\s+"?([0-9]+)"?\s*\)') for p in ("MAJOR", "MINOR", "PATCH")]
+    infix = [part(rf'set\s*\(\s*\w+_VERSION_{p}\s+"?([0-9]+)"?\s*\)') for p in ("MAJOR", "MINOR", "PATCH")]
+    dotted = lambda p: F.when(p[0].isNotNull(), F.concat_ws(".", p[0], p[1], F.when(p[1].isNotNull(), p[2])))
+    cmake = F.struct("path", F.coalesce(project, dotted(suffix), dotted(infix), F.lit(NONE)).alias("version"))
+    properties = F.struct("path", part(r"(?m)^version\s*=\s*([0-9]+(?:\.[0-9]+){0,3})").alias("version"))
+    named = rows.withColumn("told", F.when(F.col("file") == "CMakeLists.txt", cmake).when((F.col("file") == "library.properties") & properties["version"].isNotNull(), properties))
+    source = F.col("file").rlike(r"\.(?:c|cpp|cxx|cc|h|hpp|hxx)$")
+    best = named.groupBy("project", "root", "child").agg(F.min_by("told", F.when(F.col("told").isNotNull(), F.col("file") != "CMakeLists.txt")).alias("told"), F.bool_or(source).alias("sources"))
+    best = best.where("told is not null or sources").select("project", F.coalesce("told.path", "root").alias("path"), F.coalesce("told.version", F.lit(NONE)).alias("v"), "child")
+    name = F.col("child")
+    for other, meant in VENDORED_NAMES.items():
+        name = F.when(F.col("child") == other, meant).otherwise(name)
+    return emit(best, "vendored-3rdparty", "VENDORED", name=name, version=F.col("v"))
+
+
+#: Elements whose short names are components.
+COMPONENT_TAGS = ["SW-COMPONENT-PROTOTYPE", "BSW-MODULE-DESCRIPTION", "APPLICATION-SW-COMPONENT-TYPE", "ECU-ABSTRACTION-SW-COMPONENT-TYPE", "SERVICE-SW-COMPONENT-TYPE", "COMPOSITION-SW-COMPONENT-TYPE", "COMPLEX-DEVICE-DRIVER-SW-COMPONENT-TYPE"]
 
 
 def arxml(files):
-    found = each(files, r"(?s)<[\w-]*(?:SW-COMPONENT-TYPE|BSW-MODULE-DESCRIPTION|ECUC-MODULE-DEF|ECUC-MODULE-CONFIGURATION-VALUES)(?:\s[^>]*)?>\s*<SHORT-NAME>\s*([^<\s]+)", "name")
-    return emit(found, "arxml", "autosar").dropDuplicates(["project", "name"])
+    found = each(files, rf"(?is)<(?:{'|'.join(COMPONENT_TAGS)})(?:\s[^>]*)?>(?:\s|<!--.*?-->)*<SHORT-NAME[^>]*>\s*([^<]+?)\s*</", "name")
+    return emit(found, "autosar/arxml", "autosar").dropDuplicates(["project", "name"])
 
 
 def meson_build(files):
@@ -389,6 +624,9 @@ def module_bazel(files):
 
 #: Modules that Node.js brings, and those that mark a file as written for MicroPython.
 NODE = "assert async_hooks buffer child_process cluster console constants crypto dgram diagnostics_channel dns domain events fs http http2 https inspector module net os path perf_hooks process punycode querystring readline repl stream string_decoder sys timers tls trace_events tty url util v8 vm wasi worker_threads zlib".split()
+#: Modules of Python's standard library: those of this version, and those that versions since 3.8 have dropped.
+REMOVED = "_bootlocale aifc asynchat asyncore audioop binhex cgi cgitb chunk crypt distutils dummy_threading formatter imghdr imp lib2to3 macpath mailcap msilib nis nntplib ossaudiodev parser pipes smtpd sndhdr spwd sunau symbol telnetlib uu xdrlib".split()
+STANDARD = sorted({*sys.stdlib_module_names, *REMOVED})
 MICRO = ["machine", "micropython", "utime", "ujson", "uos", "network", "esp", "esp32", "rp2"]
 
 
@@ -400,7 +638,7 @@ def python_imports(files):
     found = each(files, r"(?m)^[ \t]*(?:import[ \t]+([A-Za-z_]\w*)(?=[\s,]|$)|from[ \t]+([A-Za-z_][\w.]*)[ \t]+import\b)", "a", "b")
     rows = found.withColumn("name", python_root(F.coalesce(F.nullif(F.col("a"), F.lit("")), "b")))
     micro = rows.groupBy("project", "path").agg(F.bool_or(F.col("name").isin(MICRO)).alias("micro"))
-    kept = rows.join(micro, ["project", "path"]).where(~F.col("name").isin([*sys.stdlib_module_names, *MICRO]))
+    kept = rows.join(micro, ["project", "path"]).where(~F.col("name").isin([*STANDARD, *MICRO]))
     return imported(kept, "Python import", F.when(F.col("micro"), "micropython").otherwise("pip"))
 
 
@@ -420,15 +658,15 @@ def go_imports(files):
 #: Parsers by a pattern of the file's name; pom.xml has none, since it yields no rows.
 PARSERS = {
     r"package\.json": package_json, r"package-lock\.json": package_lock, r"yarn\.lock": yarn_lock, r"Cargo\.toml": cargo_toml, r"Cargo\.lock": cargo_lock,
-    r"requirements\.txt": requirements_txt, r"setup\.py": setup_py, r"poetry\.lock": poetry_lock, r"Pipfile\.lock": pipfile_lock, r"Pipfile": pipfile,
+    r"requirements\.txt": requirements_txt, r"pip-report\.json": pip_report, r"setup\.py": setup_py, r"poetry\.lock": poetry_lock, r"Pipfile\.lock": pipfile_lock, r"Pipfile": pipfile,
     r"pyproject\.toml": pyproject_toml, r"go\.mod": go_mod, r"Gemfile": gemfile, r"composer\.json": composer_json, r"build\.gradle(?:\.kts)?": build_gradle,
-    r"package\.xml": package_xml, r"CMakeLists\.txt|.*\.cmake": lambda files: union(cmake(files), vendored_cmake(files)), r"conan\.lock": conan_lock, r"conanfile\.txt": conanfile_txt, r"conanfile\.py": conanfile_py,
+    r"package\.xml": package_xml, r"CMakeLists\.txt|.*\.cmake": cmake, r"conan\.lock": conan_lock, r"conanfile\.txt": conanfile_txt, r"conanfile\.py": conanfile_py,
     r"vcpkg\.json": vcpkg_json, r"\.gitmodules": gitmodules, r"configure\.(?:ac|in)": configure_ac, r"Makefile\.am": makefile_am, r"Makefile": makefile,
     r".*\.pc": pc_file, r".*\.mk": mk_file, r"library\.json": library_json, r".*\.arxml": arxml, r"meson\.build": meson_build,
     r".*\.wrap": wrap, r"WORKSPACE(?:\.bazel)?": workspace, r"MODULE\.bazel": module_bazel,
 }
 SOURCES = {r".*\.py": python_imports, r".*\.(?:js|jsx|ts|tsx|mjs|cjs)": js_imports, r".*\.go": go_imports}
-EDGES = {r"package-lock\.json": package_lock_edges, r"Cargo\.lock": cargo_lock_edges, r"poetry\.lock": poetry_lock_edges}
+EDGES = {r"package-lock\.json": package_lock_edges, r"Cargo\.lock": cargo_lock_edges, r"poetry\.lock": poetry_lock_edges, r"pip-report\.json": pip_report_edges}
 
 
 def kind_of(path: Column) -> Column:
@@ -453,15 +691,21 @@ def _with_kind(files: DataFrame) -> DataFrame:
     return (kept if "kind" in files.columns else kept.withColumn("kind", kind_of(F.col("path")))).where("kind is not null")
 
 
-def components(files: DataFrame, imports: bool = True) -> DataFrame:
+def components(files: DataFrame, imports: bool = True, arch: str | None = None, listing: DataFrame | None = None) -> DataFrame:
     """Component rows of all manifests, and of the imports of source files up to MAX_BYTES. Files with null text give none.
 
-    files may bring a column kind (kind_of), best as a partition column: then each parser reads its own files only.
+    files may bring a column kind (kind_of), best as a partition column: then each parser reads its own files only. arch is the target
+    architecture of conditionals in .mk files. listing has the tree's other files too, which tell libraries without manifests.
     """
+    libraries = vendored_libraries(files if listing is None else listing)
     files = _with_kind(files)
     kinds = _kinds(files)
     empty = as_components(files.limit(0).select("project", F.lit("").alias("name"), F.lit("").alias("ecosystem")))
-    found = _parsed(files, PARSERS, kinds, empty)
+    found = _parsed(files, PARSERS | {r".*\.mk": partial(mk_file, arch=arch)}, kinds, empty).unionByName(libraries)
+    if {r"package\.xml", r"setup\.py"} <= kinds:
+        found = with_setup_versions(found)
+    if r"pip-report\.json" in kinds:
+        found = with_report_requirements(found)
     if not imports:
         return found
     scripts = files.where(F.octet_length("text") <= MAX_BYTES)

@@ -12,53 +12,102 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 FILES = "project string, path string, length long, is_dir boolean, text string"
 #: Names of directories that hold other projects' code, and of those no scan enters.
 VENDOR = ["vendor", "vendors", "third_party", "third-party", "thirdparty", "3rd_party", "3rd-party", "3rdparty", "external", "externals", "extern", "deps", "node_modules", "bower_components"]
+#: Files that tell a repository's root where there is no .git.
+ROOT_FILES = ["Cargo.toml", "package.json", "CMakeLists.txt"]
 MAX_DEPTH = 50
 MAX_BYTES = 1 << 20  # of a source file scanned for imports, and of a file that no parser reads
+PARTITIONS = 64  # subtrees that the driver splits a tree into at least, where it has as many directories
+#: Binary files, which have readers of their own.
+BINARY = (".gguf", ".safetensors", ".so", ".a", ".o", ".dll", ".exe", ".zip", ".gz", ".png", ".jpg")
 
 
 class TreeReader(DataSourceReader):
-    """Manifests, lock files and build scripts are read whole; the text of any other file above maxBytes is null."""
+    """Manifests, lock files and build scripts are read whole; the text of any other file above maxBytes, and of binary ones, is null.
+
+    With vendor 'skip' or 'only', and with excludes, the directories left out are never entered. With installed, the package.json files of
+    installed packages are listed even so: they tell licences and authors.
+    """
 
     def __init__(self, options):
         from .manifests import PARSERS
 
-        self.whole = "|".join(f"(?:{pattern})" for pattern in PARSERS)
+        self.whole = "|".join(f"(?:{pattern})" for pattern in [*PARSERS, r"model\.safetensors\.index\.json"])
         self.root = options["path"].rstrip("/")
         self.project = options.get("project", os.path.basename(self.root))
         self.max_bytes = int(options.get("maxBytes", MAX_BYTES))
+        self.vendor = options.get("vendor", "include")
+        self.excludes = set(filter(None, options.get("excludes", "").split(",")))
+        self.installed = options.get("installed", "false") == "true"
+        self.parts = int(options.get("partitions", PARTITIONS))
+
+    def enters(self, at: str) -> bool:
+        """Whether a directory, by its path below the root, is gone into."""
+        name, top = os.path.basename(at), at.split(os.sep)[0]
+        if name in self.excludes or (self.vendor == "skip" and name in VENDOR):
+            return False
+        return self.vendor != "only" or top in VENDOR
+
+    def inside(self, at: str) -> list:
+        with os.scandir(os.path.join(self.root, at)) as entries:
+            return sorted(entries, key=lambda e: e.name)
 
     def partitions(self):
-        """The root's own files, and one partition for each directory in it."""
-        with os.scandir(self.root) as entries:
-            return [InputPartition(("", 0)), *(InputPartition((e.name, MAX_DEPTH)) for e in entries if e.is_dir())]
+        """Subtrees, largest number of levels last: directories are split, breadth first, into their own files and their subdirectories until there are enough."""
+        own, todo = [], [""]
+        while todo and len(own) + len(todo) < self.parts:
+            at = todo.pop(0)
+            own.append(at)
+            try:
+                below = [os.path.join(at, e.name) for e in self.inside(at) if e.is_dir() and not e.is_symlink()]
+            except OSError:
+                continue
+            todo += [d for d in below if self.enters(d) and d.count(os.sep) < MAX_DEPTH]
+        return [*(InputPartition((at, 0)) for at in own), *(InputPartition((at, MAX_DEPTH - at.count(os.sep))) for at in todo)]
 
     def read(self, partition):
-        """Rows of a subtree; links are followed but no directory twice, and entries that can't be read are left out."""
+        """Rows of a subtree, or with depth 0 of a directory's own entries. Links are followed but no directory twice, and entries that can't be read are left out."""
         part, depth = partition.value
-        todo, seen = [(os.path.join(self.root, part) if part else self.root, depth)], set()
+        todo, seen = [(part, depth)], set()
         while todo:
             top, left = todo.pop()
             try:
-                real = os.path.realpath(top)
-                entries = sorted(os.scandir(top), key=lambda e: e.name)
+                real = os.path.realpath(os.path.join(self.root, top))
+                entries = self.inside(top)
             except OSError:
                 continue
             if real in seen:
                 continue
             seen.add(real)
             for e in entries:
-                at = os.path.relpath(e.path, self.root)
+                at = os.path.join(top, e.name)
                 try:
-                    if e.is_dir():
-                        if part or depth:
-                            todo += [(e.path, left - 1)] * (left > 0)
+                    if not e.is_dir():
+                        yield self.file(at, e.name, e.stat().st_size)
+                    elif self.enters(at):
+                        if left:
+                            todo.append((at, left - 1))
+                        elif not depth and top == part and e.is_symlink():  # other subdirectories of a split one have partitions of their own
+                            todo.append((at, MAX_DEPTH))
                         yield self.project, at, 0, True, None
-                        continue
-                    size, text = e.stat().st_size, None
-                    if size <= self.max_bytes or re.fullmatch(self.whole, e.name):
-                        with open(e.path, "rb") as f:
-                            text = f.read().decode("utf-8", "replace")
-                    yield self.project, at, size, False, text
+                    elif self.installed and e.name == "node_modules":
+                        yield from self.packages(at)
+                except OSError:
+                    continue
+
+    def file(self, at: str, name: str, size: int):
+        text = None
+        if not name.endswith(BINARY) and (size <= self.max_bytes or re.fullmatch(self.whole, name)):
+            with open(os.path.join(self.root, at), "rb") as f:
+                text = f.read().decode("utf-8", "replace")
+        return self.project, at, size, False, text
+
+    def packages(self, at: str):
+        """package.json of each package installed in a node_modules directory, scoped ones too."""
+        for e in self.inside(at):
+            for name in [os.path.join(e.name, s.name) for s in self.inside(os.path.join(at, e.name))] if e.name.startswith("@") else [e.name]:
+                found = os.path.join(at, name, "package.json")
+                try:
+                    yield self.file(found, "package.json", os.stat(os.path.join(self.root, found)).st_size)
                 except OSError:
                     continue
 
@@ -77,10 +126,11 @@ class TreeSource(DataSource):
         return TreeReader(self.options)
 
 
-def read_tree(spark: SparkSession, root: str, project: str | None = None) -> DataFrame:
+def read_tree(spark: SparkSession, root: str, project: str | None = None, vendor: str = "include", excludes: list[str] = (), installed: bool = False) -> DataFrame:
+    """The files and directories below root. vendor, excludes and installed: see TreeReader and filter_entries()."""
     spark.dataSource.register(TreeSource)
-    reader = spark.read.format("tree")
-    return (reader.option("project", project) if project else reader).load(root)
+    options = {"project": project, "vendor": vendor, "excludes": ",".join(excludes), "installed": str(installed).lower()}
+    return spark.read.format("tree").options(**{k: v for k, v in options.items() if v}).load(root)
 
 
 def name_of(path: Column) -> Column:
@@ -91,6 +141,24 @@ def dir_of(path: Column) -> Column:
     return F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).otherwise("")
 
 
+def ancestors(folder: Column) -> Column:
+    """A directory and all above it, the root '' last."""
+    parts = F.split(folder, "/")
+    above = F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    return F.when(folder == "", F.array(F.lit(""))).otherwise(F.concat(above, F.array(F.lit(""))))
+
+
+def repository_roots(files: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (project, dir) with repo: the nearest directory above that holds .git, else the nearest with a manifest of a root, else the tree's root."""
+    git = F.regexp_extract("path", r"^(?:(.*)/)?\.git(?:/|$)", 1)
+    marks = files.where(F.col("path").rlike(r"(?:^|/)\.git(?:/|$)")).select("project", git.alias("_above"), F.lit(0).alias("_rank"))
+    roots = files.where(name_of(F.col("path")).isin(ROOT_FILES)).select("project", dir_of(F.col("path")).alias("_above"), F.lit(1).alias("_rank"))
+    marks = marks.unionByName(roots).distinct()
+    up = asked.select("project", "dir").distinct().withColumn("_above", F.explode(ancestors(F.col("dir"))))
+    best = up.join(marks, ["project", "_above"]).groupBy("project", "dir").agg(F.min_by("_above", F.struct("_rank", -F.length("_above"))).alias("_repo"))
+    return asked.join(best, ["project", "dir"], "left").withColumn("repo", F.coalesce("_repo", F.lit(""))).drop("_repo")
+
+
 def filter_entries(files: DataFrame, vendor: str = "skip", excludes: list[str] = ()) -> DataFrame:
     """vendor: 'skip' leaves vendor directories out, 'include' keeps them, 'only' keeps what lies in a vendor directory at the top. Directories named in excludes go, with all below them."""
     parts = F.split("path", "/")
