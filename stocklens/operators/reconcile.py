@@ -105,14 +105,47 @@ def refine_by_links(components: DataFrame, within=()) -> DataFrame:
     ).select(components.columns)
 
 
-def resolve_versions(components: DataFrame, candidates: Column, *tables: DataFrame) -> DataFrame:
-    """Fills 'unspecified' versions from tables (candidate, version): the first candidate that any table has, earlier tables first."""
-    keyed = components.withColumn("_id", F.xxhash64("name", "ecosystem"))
-    asked = keyed.where("version = 'unspecified'").select("_id", candidates.alias("c")).distinct().select("_id", F.posexplode("c").alias("pos", "candidate"))
-    known = reduce(DataFrame.unionByName, [t.groupBy("candidate").agg(F.min("version").alias("found")).withColumn("src", F.lit(i)) for i, t in enumerate(tables)])
-    best = asked.join(known, "candidate").groupBy("_id").agg(F.min_by("found", F.struct("pos", "src")).alias("_found"))
-    filled = F.when(F.col("version") == "unspecified", F.coalesce("_found", "version")).otherwise(F.col("version"))
-    return keyed.join(best, "_id", "left").withColumn("version", filled).select(components.columns)
+#: Packages that libraries named at a linker's command line come from; others are tried with and without 'lib'.
+LINKED_NAMES = {"z": "zlib", "ssl": "openssl", "crypto": "openssl", "ssh2": "libssh2", "pcap": "libpcap", "xml2": "libxml2", "nl": "libnl", "sqlite3": "sqlite", "pthread": "pthreads", "m": "libm", "dl": "libdl", "rt": "librt", "jpeg": "libjpeg", "png": "libpng"}
+
+
+def linked_candidates(name: Column) -> Column:
+    """Names under which makefile variables and shared objects may know a linked library, in the order they are tried."""
+    other = F.when(name.startswith("lib"), F.substring(name, F.lit(4), F.length(name))).otherwise(F.concat(F.lit("lib"), name))
+    for library, package in LINKED_NAMES.items():
+        other = F.when(name == library, package).otherwise(other)
+    return F.array(name, other)
+
+
+def resolve_versions(components: DataFrame, candidates: Column, *tables: DataFrame, within=(), notes: list[str] | None = None) -> DataFrame:
+    """Fills 'unspecified' versions from tables (candidate, version): the first candidate that any table has, earlier tables first.
+
+    Columns in within are part of the key on both sides; notes, one for each table, tell in source_file where a version came from.
+    """
+    key = [*within, "name", "ecosystem"]
+    asked = components.where("version = 'unspecified'").select(*key, candidates.alias("c")).distinct().select(*key, F.posexplode("c").alias("pos", "candidate"))
+    known = reduce(DataFrame.unionByName, [t.groupBy(*within, "candidate").agg(F.min("version").alias("found")).withColumn("src", F.lit(i)) for i, t in enumerate(tables)])
+    best = asked.join(known, [*within, "candidate"]).groupBy(*key).agg(F.min_by(F.struct("found", "src"), F.struct("pos", "src")).alias("_best"))
+    joined = components.join(best, key, "left")
+    hit = (F.col("version") == "unspecified") & F.col("_best").isNotNull()
+    filled = {"version": F.when(hit, F.col("_best.found")).otherwise(F.col("version"))}
+    if notes:
+        note = F.get(F.array(*map(F.lit, notes)), F.col("_best.src"))
+        filled["source_file"] = F.when(hit, F.concat("source_file", F.lit(" [version from "), note, F.lit(": "), F.col("_best.found"), F.lit("]"))).otherwise(F.col("source_file"))
+    return joined.withColumns(filled).select(components.columns)
+
+
+def resolve_ros_versions(components: DataFrame, known: DataFrame, distro: str) -> DataFrame:
+    """ros rows without a version take that of a distribution's table (name, version, repository_url): the first of five spellings that it has, and its repository."""
+    dashed = F.replace("name", F.lit("_"), F.lit("-"))
+    spellings = F.array(F.col("name"), F.concat(F.lit("python3-"), "name"), F.concat(F.lit(f"ros-{distro}-"), "name"), dashed, F.concat(F.lit("python3-"), dashed))
+    open_row = (F.col("ecosystem") == "ros") & F.col("version").isin("unspecified", "detected")
+    asked = components.where(open_row).select("name").distinct().select("name", F.posexplode(spellings).alias("pos", "spelt"))
+    table = known.groupBy(F.col("name").alias("spelt")).agg(F.min_by(F.struct("version", "repository_url"), "version").alias("told"))
+    best = asked.join(table, "spelt").groupBy("name").agg(F.min_by("told", "pos").alias("_told"))
+    hit = open_row & F.col("_told").isNotNull()
+    filled = {"version": F.when(hit, F.col("_told.version")).otherwise(F.col("version")), "repository_url": F.when(hit, F.coalesce("_told.repository_url", "repository_url")).otherwise(F.col("repository_url"))}
+    return components.join(best, "name", "left").withColumns(filled).select(components.columns)
 
 
 def lookup(components: DataFrame, table: DataFrame, key: Column, name: str, default: str | None = None) -> DataFrame:
@@ -122,6 +155,17 @@ def lookup(components: DataFrame, table: DataFrame, key: Column, name: str, defa
     return joined.select(*kept, (F.coalesce("_v", F.lit(default)) if default is not None else F.col("_v")).alias(name))
 
 
+def component_dirs(components: DataFrame, directories: DataFrame) -> DataFrame:
+    """components (project, parent, name, ...) with dir: the child of parent that has the name, else 'lib' and the name, else either in any case. directories: project, path."""
+    low = F.lower("name")
+    parts = directories.select("project", F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).otherwise("").alias("parent"), F.element_at(F.split("path", "/"), -1).alias("_child"), F.col("path").alias("_dir"))
+    asked = components.select("project", "parent", "name").distinct()
+    met = asked.withColumn("_low", F.explode(F.array(low, F.concat(F.lit("lib"), low)))).join(parts.withColumn("_low", F.lower("_child")), ["project", "parent", "_low"])
+    rank = F.when(F.col("_child") == F.col("name"), 0).when(F.col("_child") == F.concat(F.lit("lib"), "name"), 1).otherwise(2)
+    best = met.groupBy("project", "parent", "name").agg(F.min_by("_dir", F.struct(rank, "_child")).alias("dir"))
+    return components.join(best, ["project", "parent", "name"], "left")
+
+
 def fill_registry_metadata(components: DataFrame, metadata: DataFrame) -> DataFrame:
     """License, author, homepage and repository from a supplied table (ecosystem, name, version, ...), where a row has none."""
     fields = ["license", "author", "homepage_url", "repository_url"]

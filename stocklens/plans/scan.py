@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import classify, reconcile
-from ..sources import manifests, tree
+from ..operators import classify, graph, reconcile
+from ..sources import autosar, manifests, models, native, tree
 from .tables import stored
 
 KEYS = ("project", "name", "version", "ecosystem")
@@ -18,15 +18,96 @@ KEYS = ("project", "name", "version", "ecosystem")
 class Scan:
     components: DataFrame
     edges: DataFrame
+    ros: DataFrame  # packages of package.xml files with what they need, in no project without such files
 
 
-def scan(files: DataFrame, vendor: str = "skip", excludes: list[str] = (), imports: bool = True, scopes: str | None = None, production: bool = False) -> Scan:
-    """Components and edges of a table of files (project, path, text). Projects are reconciled apart from each other: their name is part of every key."""
-    kept = tree.suppress_siblings(tree.filter_entries(files.where("text is not null"), vendor, excludes)).select("project", "path", "text")
+def present(files: DataFrame):
+    """One row that tells which kinds of files there are, so that a scan joins no tables that would be empty."""
+    path, text = F.col("path"), F.coalesce("text", F.lit(""))
+    any_of = lambda condition, name: F.coalesce(F.bool_or(condition), F.lit(False)).alias(name)
+    return files.agg(
+        any_of(path.rlike(manifests.INSTALLED), "installed"),
+        any_of(path.rlike(r"\.(?:epd|arxml)$") | (path.rlike(r"\.[ch]$") & text.contains("SW Version")), "autosar"),
+        any_of(tree.name_of(path) == "Makefile", "linked"),
+        any_of(tree.name_of(path) == ".gitmodules", "submodules"),
+        any_of(path.rlike(r"\.(?:gguf|safetensors)$|(?:^|/)model\.safetensors\.index\.json$"), "models"),
+    ).first()
+
+
+def linked_versions(components: DataFrame, files: DataFrame, root: str | None, arch: str | None) -> DataFrame:
+    """Rows of Makefiles without a version take it from the .mk files, else from the shared objects, of the repository that the Makefile lies in."""
+    makefile = tree.name_of(F.col("source_path")) == "Makefile"
+    open_rows = F.coalesce(makefile & (F.col("version") == "unspecified"), F.lit(False))
+    asked = components.where(open_rows).withColumn("dir", tree.dir_of(F.col("source_path")))
+    placed = tree.repository_roots(files, asked)
+    repos = placed.select("project", "repo").distinct()
+    inside = lambda rows: rows.withColumn("repo", F.explode(tree.ancestors(tree.dir_of(F.col("path"))))).join(repos, ["project", "repo"], "left_semi")
+    mk = inside(manifests.mk_libraries(files.where(F.col("path").endswith(".mk") & F.col("text").isNotNull()), arch)).groupBy("project", "repo", F.col("name").alias("candidate")).agg(F.max_by("version", "path").alias("version"))
+    known, notes = [mk], [".mk file"]
+    if root is not None:
+        objects = inside(files.where(tree.name_of(F.col("path")).rlike(r"\.so$|\.so\.")))
+        known.append(native.shared_objects(objects, root, F.col("repo")).withColumnRenamed("name", "candidate"))
+        notes.append(".so file")
+    filled = reconcile.resolve_versions(placed, reconcile.linked_candidates(F.col("name")), *known, within=("project", "repo"), notes=notes)
+    return components.where(~open_rows).unionByName(filled.select(components.columns))
+
+
+def scan(
+    files: DataFrame,
+    vendor: str = "skip",
+    excludes: list[str] = (),
+    imports: bool = True,
+    scopes: str | None = None,
+    production: bool = False,
+    root: str | None = None,
+    arch: str | None = None,
+    metadata: DataFrame | None = None,
+    modules: DataFrame | None = None,
+    ros_versions: DataFrame | None = None,
+    distro: str = "jazzy",
+    max_hash_gb: int = 0,
+) -> Scan:
+    """Components and edges of a table of files (project, path, text). Projects are reconciled apart from each other: their name is part of every key.
+
+    With root, a folder that all executors see, and a listing from read_tree(), models, shared objects and commits of submodules are read
+    there. Tables that may be given: metadata of registries (fill_registry_metadata), AUTOSAR modules (classify_autosar), and versions
+    of a ROS distribution (resolve_ros_versions).
+    """
+    seen, listing = present(files), tree.filter_entries(files, vendor, excludes)
+    kept = tree.suppress_siblings(listing.where("text is not null")).select("project", "path", "text")
     # Stored by kind, so that the files are read once in all and each parser opens its own only.
     kept = stored(kept.withColumn("kind", manifests.kind_of(F.col("path"))).where("kind is not null"), "kind")
-    found = stored(manifests.components(kept, imports))
+    found = manifests.components(kept, imports, arch, listing)
+    if root is not None and seen.models:
+        found = found.unionByName(models.model_components(listing, root, max_hash_gb))
+    if root is not None and seen.submodules:
+        found = manifests.with_commits(found, kept, native.submodule_commits(listing, root))
+    found = stored(found)
+    ros = manifests.ros_packages(kept, found)
+    if seen.installed:
+        found = manifests.with_install_metadata(found, files)
+    if seen.linked:
+        found = linked_versions(found, files, root, arch)
+    if seen.autosar:
+        found = autosar.with_versions(found, files)
+    if modules is not None:
+        found = classify.classify_autosar(found, modules)
+    if metadata is not None:
+        found = reconcile.fill_registry_metadata(found, metadata)
+    if ros_versions is not None:
+        found = reconcile.resolve_ros_versions(found, ros_versions, distro)
     per_project = reconcile.suppress_unspecified(reconcile.suppress_lower_sources(reconcile.dedup_priority(found, KEYS), ("project", "name", "ecosystem")), ("project", "name", "ecosystem"))
     chained = reconcile.suppress_across_ecosystems(per_project, ("project",))
     scoped = classify.filter_scopes(reconcile.refine_by_links(classify.classify(chained), ("project",)), scopes, production)
-    return Scan(scoped, manifests.edges(kept))
+    return Scan(stored(scoped), manifests.edges(kept), ros)
+
+
+def scan_tree(spark: SparkSession, root: str, project: str | None = None, vendor: str = "skip", excludes: list[str] = (), installed: bool = True, **options) -> Scan:
+    """scan() of the tree below root. Directories that vendor and excludes leave out are never entered, but for the package.json of installed packages, unless installed is false."""
+    files = stored(tree.read_tree(spark, root, project, vendor, excludes, installed))
+    return scan(files, vendor, excludes, root=root, **options)
+
+
+def corrected(found: Scan) -> DataFrame:
+    """Components with is_direct_graph: the graph's word on which are direct, beside the manifests' own."""
+    return graph.correct_roots(found.components, graph.resolve_edges(found.components, found.edges, ("project",)), ("project",))

@@ -6,16 +6,21 @@ come from content, so that a scan of the same files gives the same documents; th
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import identity
+from ..functions import identity, models
 from ..functions.dictionaries import is_known_spdx
+from ..operators import graph, stats
+from ..operators.reconcile import lookup
 from ..operators.stats import SCOPES
 from ..schema import version_known
 
 NONE = "NOASSERTION"
 TOOL = "stocklens"
+LICENSE_LIST = "3.21"  # version of the SPDX licence list that the dictionaries follow
 
 
 def _or_none(c: Column) -> Column:
@@ -35,67 +40,153 @@ def _purl() -> Column:
     return identity.purl(F.col("name"), F.col("version"), F.col("ecosystem"), F.col("repository_url"))
 
 
-def spdx_packages(components: DataFrame) -> DataFrame:
-    """project, name, package: the SPDX package of each component."""
-    name, version, eco = F.col("name"), F.col("version"), F.col("ecosystem")
-    ref = lambda category, kind, value: F.when(value.isNotNull(), F.struct(F.lit(category).alias("referenceCategory"), F.lit(kind).alias("referenceType"), value.alias("referenceLocator")))
-    digest = lambda algorithm, value: F.when(value.isNotNull(), F.struct(F.lit(algorithm).alias("algorithm"), value.alias("checksumValue")))
-    package = F.struct(
-        _id().alias("SPDXID"),
+def with_suppliers(components: DataFrame, suppliers: DataFrame | None) -> DataFrame:
+    """components with autosar_supplier: what a table (key, value) says of an AUTOSAR module's name, else NOASSERTION; null for other rows."""
+    if suppliers is None:
+        return components.withColumn("autosar_supplier", F.when(F.col("autosar").isNotNull(), NONE))
+    found = lookup(components, suppliers, F.col("name"), "autosar_supplier", NONE)
+    return found.withColumn("autosar_supplier", F.when(F.col("autosar").isNotNull(), F.col("autosar_supplier")))
+
+
+def _sub_info(sub: Column) -> Column:
+    """What is known of a sub-model, as 'key=value' parts."""
+    part = lambda key: F.when(sub[key].isNotNull(), F.concat(F.lit(f"{key}="), sub[key].cast("string")))
+    return F.concat_ws("; ", *(part(k) for k in ("modality", "model_type", "num_hidden_layers", "hidden_size", "num_attention_heads", "num_key_value_heads", "max_position_embeddings", "vocab_size", "dtype", "intermediate_size", "patch_size")))
+
+
+def _package(spdx_id: Column, name: Column, **given: Column) -> Column:
+    """An SPDX package; fields that aren't given are NOASSERTION or left out."""
+    none = F.lit(None)
+    refs = "array<struct<referenceCategory:string,referenceType:string,referenceLocator:string>>"
+    of = lambda key, default: given.get(key, default)
+    return F.struct(
+        spdx_id.alias("SPDXID"),
         name.alias("name"),
-        F.when(version_known(version), version).alias("versionInfo"),
-        identity.supplier(eco).alias("supplier"),
-        identity.originator(F.col("author")).alias("originator"),
-        identity.download_location(name, version, eco, F.col("repository_url")).alias("downloadLocation"),
+        of("version", F.lit(NONE)).alias("versionInfo"),
+        of("supplier", none).cast("string").alias("supplier"),
+        of("originator", none).cast("string").alias("originator"),
+        of("download", F.lit(NONE)).alias("downloadLocation"),
         F.lit(False).alias("filesAnalyzed"),
         F.lit(NONE).alias("licenseConcluded"),
-        _or_none(F.col("license")).alias("licenseDeclared"),
+        of("license", F.lit(NONE)).alias("licenseDeclared"),
         F.lit(NONE).alias("copyrightText"),
-        F.col("homepage_url").alias("homepage"),
-        F.col("source_file").alias("sourceInfo"),
-        identity.spdx_purpose(F.col("scope"), F.col("ai").isNotNull()).alias("primaryPackagePurpose"),
-        _full(F.array_compact(F.array(digest("SHA256", F.col("checksum_sha256")), digest("SHA512", F.col("checksum_sha512"))))).alias("checksums"),
-        F.array_compact(F.array(ref("PACKAGE-MANAGER", "purl", _purl()), ref("SECURITY", "cpe23Type", identity.cpe23(name, version, eco)))).alias("externalRefs"),
+        of("homepage", none).cast("string").alias("homepage"),
+        of("source", none).cast("string").alias("sourceInfo"),
+        of("purpose", none).cast("string").alias("primaryPackagePurpose"),
+        of("checksums", none).cast("array<struct<algorithm:string,checksumValue:string>>").alias("checksums"),
+        of("refs", none).cast(refs).alias("externalRefs"),
+    )
+
+
+def _component_package(spdx_id: Column) -> Column:
+    """The SPDX package of a component row, which may have the column autosar_supplier."""
+    name, version, eco = F.col("name"), F.col("version"), F.col("ecosystem")
+    ref = lambda category, kind, value: F.when(value.isNotNull(), F.struct(F.lit(category).alias("referenceCategory"), F.lit(kind).alias("referenceType"), value.alias("referenceLocator")))
+    digest = lambda algorithm, value: F.when(value.isNotNull(), F.struct(F.lit(algorithm).alias("algorithm"), value.alias("checksumValue")))
+    supplied = F.concat(F.lit("autosar:supplier="), F.replace("autosar_supplier", F.lit(" "), F.lit("%20")))
+    return _package(
+        spdx_id,
+        name,
+        version=identity.version_info(version),
+        supplier=identity.supplier(eco),
+        originator=identity.originator(F.col("author")),
+        download=identity.download_location(name, version, eco, F.col("repository_url")),
+        license=_or_none(F.col("license")),
+        homepage=F.col("homepage_url"),
+        source=F.col("source_file"),
+        purpose=identity.spdx_purpose(F.col("scope"), F.col("ai").isNotNull()),
+        checksums=_full(F.array_compact(F.array(digest("SHA256", F.col("checksum_sha256")), digest("SHA512", F.col("checksum_sha512"))))),
+        refs=F.array_compact(F.array(ref("PACKAGE-MANAGER", "purl", _purl()), ref("SECURITY", "cpe23Type", identity.cpe23(name, version, eco)), ref("OTHER", "autosar-supplier", supplied))),
     )
-    return components.select(F.coalesce("project", F.lit("project")).alias("project"), name, package.alias("package"))
 
 
-def spdx(components: DataFrame, created: str) -> DataFrame:
-    """(project, document): SPDX 2.3 JSON. created is an RFC 3339 time in UTC."""
-    grouped = spdx_packages(components).groupBy("project").agg(F.array_sort(F.collect_list("package")).alias("packages"))
-    relation = lambda a, kind, b: F.struct(a.alias("spdxElementId"), F.lit(kind).alias("relationshipType"), b.alias("relatedSpdxElement"))
-    root = F.lit("SPDXRef-DOCUMENT")
+def spdx_packages(components: DataFrame, suppliers: DataFrame | None = None) -> DataFrame:
+    """project, name, package, parts: the SPDX package of each component, and those of a model's parts."""
+    rows = with_suppliers(components, suppliers).withColumn("_id", _id())
+    parts = F.transform(F.col("ai.sub_models"), lambda s, i: _package(F.concat("_id", F.lit("-sub-"), i.cast("string")), F.coalesce(s["model_type"], s["modality"]), source=_sub_info(s), purpose=F.lit("LIBRARY")))
+    return rows.select(F.coalesce("project", F.lit("project")).alias("project"), "name", _component_package(F.col("_id")).alias("package"), F.coalesce(parts, F.filter(F.array(_package(F.lit(""), F.lit(""))), lambda p: F.lit(False))).alias("parts"))
+
+
+def _relation(a: Column, kind: str, b: Column) -> Column:
+    return F.struct(a.alias("spdxElementId"), F.lit(kind).alias("relationshipType"), b.alias("relatedSpdxElement"))
+
+
+def _spdx_document(created: str, packages: Column, described: Column, relations: Column) -> Column:
     document = F.struct(
         F.lit("SPDX-2.3").alias("spdxVersion"),
         F.lit("CC0-1.0").alias("dataLicense"),
-        root.alias("SPDXID"),
+        F.lit("SPDXRef-DOCUMENT").alias("SPDXID"),
         F.col("project").alias("name"),
-        F.concat(F.lit("https://spdx.org/spdxdocs/"), identity.spdx_id(F.col("project")), F.lit("-"), F.substring(F.sha2(F.to_json("packages"), 256), 1, 32)).alias("documentNamespace"),
-        F.struct(F.lit(created).alias("created"), F.array(F.lit(f"Tool: {TOOL}")).alias("creators")).alias("creationInfo"),
-        F.col("packages"),
-        F.transform("packages", lambda p: relation(root, "DESCRIBES", p["SPDXID"])).alias("relationships"),
+        F.concat(F.lit("https://spdx.org/spdxdocs/"), identity.spdx_id(F.col("project")), F.lit("-"), F.substring(F.sha2(F.to_json(packages), 256), 1, 32)).alias("documentNamespace"),
+        F.struct(F.lit(created).alias("created"), F.array(F.lit(f"Tool: {TOOL}")).alias("creators"), F.lit(LICENSE_LIST).alias("licenseListVersion")).alias("creationInfo"),
+        described.alias("documentDescribes"),
+        packages.alias("packages"),
+        relations.alias("relationships"),
     )
-    return grouped.select("project", F.to_json(document).alias("document"))
+    return F.to_json(document)
+
+
+def _main_id() -> Column:
+    safe = identity.spdx_id(F.col("project"))
+    return F.concat(F.lit("SPDXRef-Package-root-"), F.when(safe == "", "package").otherwise(safe))
+
+
+def spdx(components: DataFrame, created: str, suppliers: DataFrame | None = None) -> DataFrame:
+    """(project, document): SPDX 2.3 JSON. The document describes one package, the project, which contains each component; models contain their parts. created is an RFC 3339 time in UTC."""
+    grouped = spdx_packages(components, suppliers).groupBy("project").agg(F.array_sort(F.collect_list(F.struct("package", "parts"))).alias("all"))
+    document, main = F.lit("SPDXRef-DOCUMENT"), _main_id()
+    packages = F.concat(F.array(_package(main, F.col("project"))), F.flatten(F.transform("all", lambda x: F.concat(F.array(x["package"]), x["parts"]))))
+    below = lambda x: F.concat(F.array(_relation(main, "CONTAINS", x["package"]["SPDXID"])), F.transform(x["parts"], lambda p: _relation(x["package"]["SPDXID"], "CONTAINS", p["SPDXID"])))
+    relations = F.concat(F.array(_relation(document, "DESCRIBES", main)), F.flatten(F.transform("all", below)))
+    return grouped.select("project", _spdx_document(created, packages, F.array(main), relations).alias("document"))
 
 
-def spdx_tag_value(components: DataFrame, created: str) -> DataFrame:
+def spdx_ros(packages: DataFrame, created: str) -> DataFrame:
+    """(project, document): SPDX of ROS packages (manifests.ros_packages): each is described and depends on what it names; a dependency that several share is one package."""
+    keyed = packages.withColumn("_pkg", F.concat(F.lit("SPDXRef-ROSPackage-"), identity.spdx_id(F.concat_ws("-", "package", "version", "source_path"))))
+    locator = F.concat(F.lit("pkg:ros/"), "package", F.lit("@"), "version")
+    purl = F.array(F.struct(F.lit("PACKAGE-MANAGER").alias("referenceCategory"), F.lit("purl").alias("referenceType"), locator.alias("referenceLocator")))
+    own = keyed.select("project", _package(F.col("_pkg"), F.col("package"), version=F.col("version"), purpose=F.lit("LIBRARY"), refs=purl).alias("package"))
+    used = keyed.select("project", "_pkg", F.explode("dependencies").alias("d")).select("_pkg", "d.*").withColumn("autosar_supplier", F.lit(None).cast("string"))
+    dep_id = F.concat(F.lit("SPDXRef-Dep-"), identity.spdx_id(F.concat_ws("-", "ecosystem", "name", "version")))
+    shared = used.select("project", _component_package(dep_id).alias("package"), dep_id.alias("_dep")).dropDuplicates(["project", "_dep"]).drop("_dep")
+    every = own.unionByName(shared).groupBy("project").agg(F.array_sort(F.collect_list("package")).alias("packages"))
+    links = used.select("project", _relation(F.col("_pkg"), "DEPENDS_ON", dep_id).alias("r")).groupBy("project").agg(F.array_sort(F.collect_set("r")).alias("links"))
+    described = own.groupBy("project").agg(F.array_sort(F.collect_list("package.SPDXID")).alias("described"))
+    joined = every.join(described, "project").join(links, "project", "left")
+    first = F.transform("described", lambda d: _relation(F.lit("SPDXRef-DOCUMENT"), "DESCRIBES", d))
+    relations = F.concat(first, F.coalesce("links", F.slice(first, F.lit(1), F.lit(0))))
+    return joined.select("project", _spdx_document(created, F.col("packages"), F.col("described"), relations).alias("document"))
+
+
+def spdx_tag_value(components: DataFrame, created: str, suppliers: DataFrame | None = None) -> DataFrame:
     """(project, document): the SPDX tag-value form."""
-    p = F.col("package")
     line = lambda tag, value: F.concat(F.lit(f"{tag}: "), value)  # noqa: E731  null values leave their line out
-    body = F.concat_ws(
-        "\n",
-        line("PackageName", p["name"]), line("SPDXID", p["SPDXID"]), line("PackageVersion", p["versionInfo"]), line("PackageSupplier", p["supplier"]), line("PackageOriginator", p["originator"]),
-        line("PackageDownloadLocation", p["downloadLocation"]), F.lit("FilesAnalyzed: false"), F.concat_ws("\n", F.transform(p["checksums"], lambda c: F.concat(F.lit("PackageChecksum: "), c["algorithm"], F.lit(": "), c["checksumValue"]))),
-        line("PackageLicenseConcluded", p["licenseConcluded"]), line("PackageLicenseDeclared", p["licenseDeclared"]), line("PackageCopyrightText", p["copyrightText"]),
-        F.concat_ws("\n", F.transform(p["externalRefs"], lambda r: F.concat_ws(" ", F.lit("ExternalRef:"), r["referenceCategory"], r["referenceType"], r["referenceLocator"]))),
-    )
-    grouped = spdx_packages(components).select("project", F.regexp_replace(body, "\n{2,}", "\n").alias("body")).groupBy("project").agg(F.array_sort(F.collect_list("body")).alias("packages"))
+
+    def body(p):
+        checksums = F.concat_ws("\n", F.transform(p["checksums"], lambda c: F.concat(F.lit("PackageChecksum: "), c["algorithm"], F.lit(": "), c["checksumValue"])))
+        refs = F.concat_ws("\n", F.transform(p["externalRefs"], lambda r: F.concat_ws(" ", F.lit("ExternalRef:"), r["referenceCategory"], r["referenceType"], r["referenceLocator"])))
+        fields = [("PackageName", "name"), ("SPDXID", "SPDXID"), ("PackageVersion", "versionInfo"), ("PackageSupplier", "supplier"), ("PackageOriginator", "originator"), ("PackageDownloadLocation", "downloadLocation")]
+        more = [("PackageLicenseConcluded", "licenseConcluded"), ("PackageLicenseDeclared", "licenseDeclared"), ("PackageCopyrightText", "copyrightText"), ("PackageSourceInfo", "sourceInfo"), ("PrimaryPackagePurpose", "primaryPackagePurpose")]
+        parts = [*(line(t, p[f]) for t, f in fields), F.lit("FilesAnalyzed: false"), F.nullif(checksums, F.lit("")), *(line(t, p[f]) for t, f in more), F.nullif(refs, F.lit(""))]
+        return F.concat_ws("\n", *parts)
+
+    grouped = spdx_packages(components, suppliers).groupBy("project").agg(F.array_sort(F.collect_list(F.struct("package", "parts"))).alias("all"))
+    packages = F.flatten(F.transform("all", lambda x: F.concat(F.array(x["package"]), x["parts"])))
     head = F.concat_ws("\n", F.lit("SPDXVersion: SPDX-2.3"), F.lit("DataLicense: CC0-1.0"), F.lit("SPDXID: SPDXRef-DOCUMENT"), line("DocumentName", F.col("project")), line("DocumentNamespace", F.concat(F.lit("https://spdx.org/spdxdocs/"), identity.spdx_id(F.col("project")))), F.lit(f"Creator: Tool: {TOOL}"), F.lit(f"Created: {created}"))
-    return grouped.select("project", F.concat(head, F.lit("\n\n"), F.array_join("packages", "\n\n"), F.lit("\n")).alias("document"))
+    main = _main_id()
+    relations = F.concat(F.array(F.concat(F.lit("Relationship: SPDXRef-DOCUMENT DESCRIBES "), main)), F.transform("all", lambda x: F.concat(F.lit("Relationship: "), main, F.lit(" CONTAINS "), x["package"]["SPDXID"])))
+    document = F.concat(head, F.lit("\n\n"), body(_package(main, F.col("project"))), F.lit("\n\n"), F.array_join(F.transform(packages, body), "\n\n"), F.lit("\n\n"), F.array_join(relations, "\n"), F.lit("\n"))
+    return grouped.select("project", document.alias("document"))
 
 
-def cyclonedx(components: DataFrame, created: str) -> DataFrame:
-    """(project, document): CycloneDX 1.5 JSON. The root depends on every component; components have no links of their own."""
+#: Properties of a model in a CycloneDX component: the fields of the AI struct that have one, lists joined by commas.
+MODEL_PROPERTIES = ["architecture", "model_type", "quantization", "parameter_count", "computed_parameter_count", "size_label", "tensor_count", "shard_count", "total_size_bytes", "safetensors_format", "torch_dtype", "transformers_version", "vocab_size", "num_hidden_layers", "hidden_size", "num_attention_heads", "context_length", "model_max_length", "finetune", "model_name", "pipeline_tag", "quantized_by", "prompt_template", "adapter_type", "has_vision", "has_audio", "has_video", "is_adapter", "hash_skipped"]
+
+
+def cyclonedx(components: DataFrame, created: str, suppliers: DataFrame | None = None) -> DataFrame:
+    """(project, document): CycloneDX 1.5 JSON. The root depends on every component; components have no links of their own, but models hold their parts and a model card."""
+    components = with_suppliers(components, suppliers)
     known = version_known(F.col("version"))
     ref = F.concat_ws("@", F.concat_ws(":", "ecosystem", "name"), "version")
     digest = lambda algorithm, value: F.when(value.isNotNull(), F.struct(F.lit(algorithm).alias("alg"), value.alias("content")))
@@ -103,6 +194,13 @@ def cyclonedx(components: DataFrame, created: str) -> DataFrame:
     one = F.struct(F.struct(F.when(given, F.col("license")).alias("id"), F.when(~given, F.col("license")).alias("name")).alias("license"))
     prop = lambda key, value: F.when(value.isNotNull(), F.struct(F.lit(f"{TOOL}:{key}").alias("name"), value.alias("value")))
     link = lambda kind, url: F.when(url.isNotNull(), F.struct(F.lit(kind).alias("type"), url.alias("url")))
+    ai = F.col("ai")
+    told = [prop(f"ai:{f}", F.col(f"ai.{f}").cast("string")) for f in MODEL_PROPERTIES] + [prop(f"ai:{f}", F.nullif(F.array_join(F.col(f"ai.{f}"), ","), F.lit(""))) for f in ("tags", "languages", "datasets")]
+    bases = F.transform("ai.base_models", lambda b, i: F.struct(F.concat(F.lit(f"{TOOL}:ai:base_model."), i.cast("string")).alias("name"), F.coalesce(b["name"], b["repo_url"], b["url"]).alias("value")))
+    warnings = F.transform(models.integrity_warnings(ai), lambda w: F.struct(F.lit(f"{TOOL}:ai:integrity_warning").alias("name"), w.alias("value")))
+    model = F.when(ai.isNotNull(), F.concat(F.array_compact(F.array(*told)), F.coalesce(bases, F.slice(warnings, 1, 0)), warnings))
+    parts = F.transform("ai.sub_models", lambda s: F.struct(F.lit("machine-learning-model").alias("type"), F.concat(ref, F.lit("#"), s["modality"]).alias("bom-ref"), F.coalesce(s["model_type"], s["modality"]).alias("name"), _sub_info(s).alias("description")))
+    parameters = F.struct(F.col("ai.pipeline_tag").alias("task"), F.col("ai.model_type").alias("architectureFamily"), F.col("ai.architecture").alias("modelArchitecture"))
     component = F.struct(
         F.when(F.col("ai").isNotNull(), "machine-learning-model").otherwise("library").alias("type"),
         ref.alias("bom-ref"),
@@ -114,8 +212,11 @@ def cyclonedx(components: DataFrame, created: str) -> DataFrame:
         identity.cpe23(F.col("name"), F.col("version"), F.col("ecosystem")).alias("cpe"),
         _full(F.array_compact(F.array(digest("SHA-256", F.col("checksum_sha256")), digest("SHA-512", F.col("checksum_sha512"))))).alias("hashes"),
         _full(F.array_compact(F.array(link("vcs", F.col("repository_url")), link("website", F.col("homepage_url"))))).alias("externalReferences"),
-        F.array_compact(F.array(prop("ecosystem", F.col("ecosystem")), prop("scope", F.col("scope")), prop("source", F.col("source_file")), prop("is_dev", F.col("is_dev").cast("string")), prop("is_direct", F.col("is_direct").cast("string")))).alias("properties"),
+        F.when(ai.isNotNull(), F.struct(parameters.alias("modelParameters"))).alias("modelCard"),
+        _full(parts).alias("components"),
+        F.array_compact(F.array(prop("ecosystem", F.col("ecosystem")), prop("scope", F.col("scope")), prop("source", F.col("source_file")), prop("is_dev", F.col("is_dev").cast("string")), prop("is_direct", F.col("is_direct").cast("string")), prop("autosar:supplier", F.col("autosar_supplier")))).alias("properties"),
     )
+    component = component.withField("properties", F.concat(component["properties"], F.coalesce(model, F.slice(component["properties"], 1, 0))))
     grouped = components.select(F.coalesce("project", F.lit("project")).alias("project"), component.alias("c")).groupBy("project").agg(F.array_sort(F.collect_list(F.struct(F.col("c.name").alias("k"), F.to_json("c").alias("j"), F.col("c").getField("bom-ref").alias("r"), "c"))).alias("all"))
     digest_all = F.sha2(F.to_json(F.col("all.r")), 256)
     part = lambda a, n: F.substring(digest_all, a, n)
@@ -153,6 +254,49 @@ def markdown(components: DataFrame, created: str, summary_only: bool = False) ->
     return joined.select("project", F.concat(F.concat_ws("\n\n", *parts), F.lit("\n")).alias("document"))
 
 
+RULE = "=" * 51
+
+
+def console(components: DataFrame, created: str, edges: DataFrame | None = None, style: str = "tree") -> DataFrame:
+    """(project, document): the summary, a section for each ecosystem, and an appendix with the trees of direct development rows and of rows that only others need.
+
+    style 'flat' lists the rows of an ecosystem; 'tree' shows direct rows that are no development ones with what they need, to graph.MAX_DEPTH
+    levels. edges (project, parent_id, child_name, ord) of a scan correct which rows are direct.
+    """
+    c = components.withColumn("project", F.coalesce("project", F.lit("project")))
+    if edges is None:
+        edges = c.limit(0).select("project", F.lit("").alias("parent_id"), F.lit("").alias("child_name"), F.lit(0).alias("ord"))
+    resolved = graph.resolve_edges(c, edges.withColumn("project", F.coalesce("project", F.lit("project"))), ("project",))
+    c = graph.correct_roots(c, resolved, ("project",)).withColumn("is_direct", F.col("is_direct_graph"))
+    direct, percent = F.col("is_direct") & ~F.col("is_dev"), lambda n: F.concat(F.round(100 * n / F.count(F.lit(1)), 0).cast("int").cast("string"), F.lit("%)"))
+    scopes = [F.concat(F.lit(f"  {s + ':':<16}"), F.count_if(F.col("scope") == s).cast("string"), F.lit(" ("), percent(F.count_if(F.col("scope") == s))) for s in SCOPES]
+    totals = F.concat(F.lit("Dependencies:     "), F.count(F.lit(1)).cast("string"), F.lit(" total ("), F.count_if(direct).cast("string"), F.lit(" direct, "), F.count_if(~F.col("is_direct")).cast("string"), F.lit(" transitive, "), F.count_if("is_dev").cast("string"), F.lit(" dev)"))
+    every = F.array_sort(F.collect_set("ecosystem"))
+    ecosystems = F.concat(F.lit("Ecosystems:       "), F.size(every).cast("string"), F.lit(" ("), F.array_join(every, ", "), F.lit(")"))
+    mean = F.concat(F.lit("  Avg Confidence: "), F.format_number(100 * F.avg("scope_confidence"), 1), F.lit("%"))
+    head = [F.lit(RULE), F.lit("SBOM SUMMARY"), F.lit(RULE), F.concat(F.lit("Project:          "), F.first("project")), F.lit(f"Generated At:     {created}"), totals, ecosystems, F.lit("Dependency Scopes:"), *scopes, mean]
+    summary = c.groupBy("project").agg(F.array(*head).alias("lines")).select("project", F.lit(0).alias("part"), F.lit("").alias("ecosystem"), F.lit(0).alias("block"), F.posexplode("lines").alias("n", "line"))
+    place = lambda part, block, rows, order: rows.select("project", F.lit(part).alias("part"), "ecosystem", F.lit(block).alias("block"), order.alias("n"), "line")
+    zero = F.lit(0)
+    titles = c.groupBy("project", "ecosystem").agg(F.concat(F.upper("ecosystem"), F.lit(" ("), F.count(F.lit(1)).cast("string"), F.lit(" packages)")).alias("line"))
+    counted = stats.ecosystem_counts(c, "stdout", ("project",)).withColumn("line", F.concat_ws(", ", F.concat("direct", F.lit(" direct")), F.concat("transitive", F.lit(" transitive")), F.concat("dev", F.lit(" dev"))))
+    listed = c.withColumn("line", F.concat(F.lit("  "), "name", F.lit(" @ "), "version", F.when(F.col("is_dev"), " [dev]").otherwise("")))
+    flat = listed.withColumn("n", F.row_number().over(Window.partitionBy("project", "ecosystem").orderBy("name", "version")))
+    blocks = [summary, place(1, 0, titles, zero), place(1, 1, counted, zero), place(1, 2, flat, F.col("n"))]
+    if style != "flat":
+        nodes = graph.node_ids(c).select("project", "ecosystem", F.col("id").alias("root"), "is_direct", "is_dev").dropDuplicates(["project", "root"])
+        lines = graph.tree_lines(graph.unfold(nodes, resolved, within=("project",)), resolved, within=("project",)).join(nodes, ["project", "root"])
+        numbered = lines.withColumn("block", F.when(~F.col("is_direct"), 6).when(F.col("is_dev"), 4).otherwise(3))
+        numbered = numbered.withColumn("n", F.row_number().over(Window.partitionBy("project", "ecosystem", "block").orderBy("path")))
+        tree = numbered.select("project", F.when(F.col("block") == 3, 1).otherwise(2).alias("part"), "ecosystem", "block", "n", F.concat(F.lit("  "), "line").alias("line"))
+        sections = numbered.where("block > 3").select("project", "ecosystem", "block").distinct()
+        title = F.concat(F.upper("ecosystem"), F.when(F.col("block") == 4, ": Development Dependencies").otherwise(": Other Transitive Dependencies"))
+        blocks += [tree, sections.select("project", F.lit(2).alias("part"), "ecosystem", "block", zero.alias("n"), title.alias("line"))]
+    rows = reduce(DataFrame.unionByName, blocks)
+    made = rows.groupBy("project").agg(F.array_sort(F.collect_list(F.struct("part", "ecosystem", "block", "n", "line"))).alias("l"))
+    return made.select("project", F.concat(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\n")).alias("document"))
+
+
 FORMATS = {"spdx": spdx, "spdx-tv": spdx_tag_value, "cyclonedx": cyclonedx, "markdown": markdown}
 
 

@@ -68,8 +68,8 @@ def parsed(files):
         ("pip", "six", ">=1.0"), ("pip", "tox", "unspecified"), ("pip", "attrs", "23.1"), ("pip", "flask", ">=2"), ("pip", "idna", "3.4"), ("go", "example.com/one", "v1.0.0"), ("go", "example.com/two", "v2.0.0"),
         ("rubygems", "rails", "~> 7"), ("rubygems", "puma", "unspecified"), ("composer", "a/b", "^1"), ("maven", "g:a", "1.0"), ("maven", "h:b", "2"), ("maven", "p:bom", "3"),
         ("ros", "me", "0.1"), ("ros", "rclcpp", "unspecified"), ("cmake", "fmt", "9.1.0"), ("cmake", "zz", "1.2.3"), ("conan", "boost", "1.80"), ("conan", "zlib", "1.2.13"), ("conan", "gtest", "1.14"), ("conan", "fmt", "9.1"),
-        ("vcpkg", "zlib", "1.3"), ("vcpkg", "curl", "8.0"), ("git-submodule", "s", "uninitialized"), ("autotools", "m", "unspecified"), ("pkg-config", "glib-2.0", "2.50"), ("pkg-config", "gio-2.0", "unspecified"),
-        ("system", "z", "unspecified"), ("pkg-config", "libfoo", "unspecified"), ("pkg-config", "foo", "1.5"), ("BUILD-CONFIG", "foo-bar", "1.4"), ("vendored", "esp", "3"),
+        ("vcpkg", "zlib", "1.3"), ("vcpkg", "curl", "8.0"), ("git-submodule", "o/s", "uninitialized"), ("autotools", "m", "unspecified"), ("pkg-config", "glib-2.0", "2.50"), ("pkg-config", "gio-2.0", "unspecified"),
+        ("system", "z", "unspecified"), ("pkg-config", "libfoo", "unspecified"), ("pkg-config", "foo", "1.5"), ("BUILD-CONFIG", "foo_bar", "1.4"), ("vendored", "esp", "3"),
         ("meson", "glib", "2.0"), ("system", "dl", "unspecified"), ("meson-subproject", "inner", "subproject"), ("meson-wrap", "w", "1.9"), ("bazel", "absl", "2023.1"), ("bazel-bzlmod", "rules_cc", "0.0.9"),
         ("pip", "numpy", "detected"), ("pip", "yaml", "detected"), ("npm", "react", "detected"), ("npm", "@x/y", "detected"), ("go", "github.com/o/r", "detected"),
     ],
@@ -96,7 +96,8 @@ def test_scan_and_documents(spark, files):
     assert {r.scope for r in found.where("name = 'jest'").collect()} == {"Development"}
     documents = {name: {r.project: r.document for r in make(found, "2024-01-01T00:00:00Z").collect()} for name, make in bom.FORMATS.items()}
     s, c = json.loads(documents["spdx"]["demo"]), json.loads(documents["cyclonedx"]["demo"])
-    assert len(s["packages"]) == len(c["components"]) == len(one) == len(c["dependencies"][0]["dependsOn"])
+    assert len(s["packages"]) - 1 == len(c["components"]) == len(one) == len(c["dependencies"][0]["dependsOn"])  # the project itself is a package of SPDX
+    assert s["documentDescribes"] == ["SPDXRef-Package-root-demo"] and sum(r["relationshipType"] == "CONTAINS" for r in s["relationships"]) == len(one)
     assert next(p for p in s["packages"] if p["name"] == "rails")["externalRefs"][0]["referenceLocator"] == "pkg:gem/rails@~> 7"
     assert "PackageName: rails" in documents["spdx-tv"]["demo"] and "| rails |" in documents["markdown"]["demo"]
 
