@@ -43,3 +43,23 @@ def test_word_count(spark):
     rows = [(" a\tb\x0bc d\u3000e ",), ("",), (None,), ("x " * 50_000,)]
     got = [r[0] for r in spark.createDataFrame(rows, "text string").select(word_count("text")).collect()]
     assert got == [4, 0, 0, 50_000]
+
+
+def test_optimal_above_4096(spark):
+    """Long lengths are told apart by single words, and pack() gives the least padding of all cuts."""
+    rng = random.Random(8)
+    lengths = [5001] * 10 + [5004] * 10 + [rng.choice([4097, 6000, 6001, 20_011, 20_012, 70_000]) for _ in range(80)]
+    rows = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, length long")
+    distinct = sorted(set(lengths))
+    for buckets in (1, 2, 3, 5):
+        best = min(sum(next(b for b in (*cut, distinct[-1]) if b >= n) - n for n in lengths) for k in range(min(buckets, len(distinct))) for cut in itertools.combinations(distinct[:-1], k))
+        got = pack(rows, n_buckets=buckets).collect()
+        assert sum(r.padding for r in got) == best
+        assert all(r.bucket_length - r.length == r.padding >= 0 for r in got)
+
+
+def test_many_rows_of_one_id(spark):
+    rows = spark.range(3000).selectExpr("cast(null as long) as doc_id", "cast(7 as long) as length", "id as batch")
+    got = pack(rows, rows_per_chunk=200, token_budget=70).collect()
+    places = sorted((r.batch, r.place) for r in got)
+    assert places == [(i // 10, i % 10) for i in range(3000)]
