@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def new_folder(spark: SparkSession) -> str:
-    """Path of a table that is not there yet, in the folder in spark.checkpoint.dir (one of our own only where that is unset)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tables-")
+    """Path of a table that is not there yet, in the folder in spark.checkpoint.dir. Where that is unset a local master gets a folder of its own; a cluster is an error, as executors share no local folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = folder or tempfile.mkdtemp(prefix="tables-")
     return f"{folder}/table-{uuid.uuid4().hex}"
 
 
