@@ -48,14 +48,15 @@ def correct_roots(components: DataFrame, resolved: DataFrame, within=()) -> Data
 def unfold(roots: DataFrame, resolved: DataFrame, depth: int = MAX_DEPTH, within=()) -> DataFrame:
     """(root, node, depth, path, cyclic) for every simple path from roots (root) of at most depth edges; a node that closes a cycle is listed once and not gone into.
 
-    One join per level. Paths multiply as the graph does, so depth bounds the work.
+    One join per level, each of which is stored, so that no level is made again for those below it. Paths multiply as the graph does, so
+    depth bounds the work.
     """
     level = roots.select(*within, "root", F.col("root").alias("node"), F.lit(0).alias("depth"), F.array("root").alias("path"), F.lit(False).alias("cyclic"))
-    below = resolved.select(*within, F.col("parent").alias("node"), "child")
+    below = stored(resolved.select(*within, F.col("parent").alias("node"), "child")) if depth else None
     out = level
     for d in range(1, depth + 1):
         step = level.where("not cyclic").join(below, [*within, "node"])
-        level = step.select(*within, "root", F.col("child").alias("node"), F.lit(d).alias("depth"), F.concat("path", F.array("child")).alias("path"), F.array_contains("path", F.col("child")).alias("cyclic"))
+        level = stored(step.select(*within, "root", F.col("child").alias("node"), F.lit(d).alias("depth"), F.concat("path", F.array("child")).alias("path"), F.array_contains("path", F.col("child")).alias("cyclic")))
         out = out.unionByName(level)
     return out
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SCOPES = ["Runtime", "Build", "Test", "Development", "Optional", "Provided"]
@@ -16,8 +16,9 @@ def scope_statistics(components: DataFrame) -> DataFrame:
 
 def scope_percentages(components: DataFrame) -> DataFrame:
     """scope, count, percentage of all rows (one decimal)."""
-    total = components.agg(F.count(F.lit(1)).alias("total"))
-    return components.groupBy("scope").agg(F.count(F.lit(1)).alias("count")).join(F.broadcast(total)).select("scope", "count", F.round(100.0 * F.col("count") / F.col("total"), 1).alias("percentage"))
+    counts = components.groupBy("scope").agg(F.count(F.lit(1)).alias("count"))
+    total = F.sum("count").over(Window.partitionBy(F.lit(0)))  # over a row for each scope
+    return counts.select("scope", "count", F.round(100.0 * F.col("count") / total, 1).alias("percentage"))
 
 
 def direct_counts(components: DataFrame) -> DataFrame:

@@ -98,8 +98,8 @@ def scan(
         found = reconcile.resolve_ros_versions(found, ros_versions, distro)
     per_project = reconcile.suppress_unspecified(reconcile.suppress_lower_sources(reconcile.dedup_priority(found, KEYS), ("project", "name", "ecosystem")), ("project", "name", "ecosystem"))
     chained = reconcile.suppress_across_ecosystems(per_project, ("project",))
-    scoped = classify.filter_scopes(reconcile.refine_by_links(classify.classify(chained), ("project",)), scopes, production)
-    return Scan(stored(scoped), manifests.edges(kept), ros)
+    scoped = classify.filter_scopes(reconcile.refine_by_links(stored(classify.classify(chained)), ("project",)), scopes, production)
+    return Scan(scoped, manifests.edges(kept), ros)
 
 
 def scan_tree(spark: SparkSession, root: str, project: str | None = None, vendor: str = "skip", excludes: list[str] = (), installed: bool = True, **options) -> Scan:

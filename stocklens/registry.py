@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from . import registry_branches
 from .functions import dictionaries, identity
 from .operators import classify, graph, reconcile, stats
+from .plans.tables import stored
 from .schema import as_components, version_known
 
 ECOSYSTEMS = {"STANDARD": "npm", "ECONOMY": "system", "MEDIUM": "BUILD-CONFIG", "SMALL": "VENDORED", "LARGE": "pkg-config", "PROMO": "autosar"}
@@ -126,7 +127,8 @@ def classified(spark, sf_dir) -> DataFrame:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reconcile.refine_by_links(classified(spark, sf_dir)).select(SCOPED)
+    # Read three times, so it is written once.
+    return reconcile.refine_by_links(stored(classified(spark, sf_dir))).select(SCOPED)
 
 
 # Nodes and edges: a heap-shaped tree over part keys, with some edges back to the top that make cycles.

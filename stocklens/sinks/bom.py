@@ -54,6 +54,12 @@ def _sub_info(sub: Column) -> Column:
     return F.concat_ws("; ", *(part(k) for k in ("modality", "model_type", "num_hidden_layers", "hidden_size", "num_attention_heads", "num_key_value_heads", "max_position_embeddings", "vocab_size", "dtype", "intermediate_size", "patch_size")))
 
 
+def _model_info() -> list[Column]:
+    """What is known of a model, as 'key=value' parts; null for what isn't."""
+    part = lambda f, value: F.when(value.isNotNull(), F.concat(F.lit(f"{f}="), value))
+    return [part(f, F.col(f"ai.{f}").cast("string")) for f in MODEL_PROPERTIES if f != "prompt_template"]
+
+
 def _package(spdx_id: Column, name: Column, **given: Column) -> Column:
     """An SPDX package; fields that aren't given are NOASSERTION or left out."""
     none = F.lit(None)
@@ -93,7 +99,7 @@ def _component_package(spdx_id: Column) -> Column:
         download=identity.download_location(name, version, eco, F.col("repository_url")),
         license=_or_none(F.col("license")),
         homepage=F.col("homepage_url"),
-        source=F.col("source_file"),
+        source=F.concat_ws("; ", "source_file", *_model_info()),
         purpose=identity.spdx_purpose(F.col("scope"), F.col("ai").isNotNull()),
         checksums=_full(F.array_compact(F.array(digest("SHA256", F.col("checksum_sha256")), digest("SHA512", F.col("checksum_sha512"))))),
         refs=F.array_compact(F.array(ref("PACKAGE-MANAGER", "purl", _purl()), ref("SECURITY", "cpe23Type", identity.cpe23(name, version, eco)), ref("OTHER", "autosar-supplier", supplied))),
