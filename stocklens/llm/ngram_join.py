@@ -25,7 +25,7 @@ from .common import WordHash, components, discard, gram_hashes, materialize, wor
 
 SPARE = 10  # k(size) is this percentage of the size
 PIECE = 100_000  # shingles of a block's sets that one task holds as one side
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 250_000
 
 
 def shingles(text: str | None, n: int, words: WordHash) -> np.ndarray:
@@ -222,21 +222,27 @@ def searched(plan: DataFrame, sets: DataFrame, keys: list[str], percent: int) ->
 
 def first_plan(met: DataFrame) -> DataFrame:
     """Each block's leader against its members. Many members are dealt to several groups, and the leader goes to each of them."""
-    many = met.groupBy("leader").agg(F.ceil(F.sum("size") / F.lit(PIECE)).cast("int").alias("pieces"))
+    many = met.groupBy("leader").agg(F.ceil(F.sum("size") / F.lit(PIECE)).cast("int").alias("pieces")).where("pieces > 1")
     leads = F.col("leader") == F.col("cid")
+    met = met.join(few(many), "leader", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
     piece = F.when(leads, F.sequence(F.lit(0), F.col("pieces") - 1)).otherwise(F.array(F.pmod(F.xxhash64("cid"), F.col("pieces")).cast("int")))
-    return met.join(many, "leader").select("leader", F.explode(piece).alias("piece"), "cid", F.col("cid").alias("comp"), leads.alias("indexed"), (~leads).alias("probing"))
+    return met.select("leader", F.explode(piece).alias("piece"), "cid", F.col("cid").alias("comp"), leads.alias("indexed"), (~leads).alias("probing"))
 
 
-def second_plan(met: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs still open have a side apart from the leader's component: pieces of such sets, against all pieces of the block."""
+def with_components(met: DataFrame, found: DataFrame) -> DataFrame:
+    """(leader, cid, size, comp, apart): members of blocks with their components so far, and whether that is another than the leader's."""
     label = lambda c: found.select(F.col("v").alias(c), F.col("component").alias(f"{c}_comp"))
     comp = F.coalesce("cid_comp", "cid")
-    named = met.join(label("cid"), "cid", "left").join(label("leader"), "leader", "left").select("leader", "cid", "size", comp.alias("comp"), (comp != F.coalesce("leader_comp", "leader")).alias("apart"))
+    joined = met.join(few(label("cid")), "cid", "left").join(few(label("leader")), "leader", "left")
+    return joined.select("leader", "cid", "size", comp.alias("comp"), (comp != F.coalesce("leader_comp", "leader")).alias("apart"))
+
+
+def second_plan(named: DataFrame) -> DataFrame:
+    """Pairs still open have a side apart from the leader's component: pieces of such sets, against all pieces of the block."""
     total = lambda mask: F.ceil(F.sum(F.when(mask, F.col("size")).otherwise(0)) / F.lit(PIECE)).cast("int")
     count = named.groupBy("leader").agg(total(F.col("apart")).alias("far"), total(~F.col("apart")).alias("near")).where("far > 0")
     own = F.pmod(F.xxhash64("cid"), F.when(F.col("apart"), F.col("far")).otherwise(F.col("near"))).cast("int")
-    pieces = named.join(count, "leader").withColumn("own", own)
+    pieces = named.join(few(count), "leader").withColumn("own", own)
     near = pieces.where("not apart").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("far") - 1)))
     near = near.select("leader", "cid", "comp", "i", (-1 - F.col("own")).alias("j"), F.lit(True).alias("indexed"), F.lit(False).alias("probing"))
     probing = pieces.where("apart and near > 0").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("near") - 1)))
@@ -269,8 +275,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
     links = searched(first_plan(met), sets, ["leader", "piece"], percent)
     found = components(links)
-    more = searched(second_plan(met, found), sets, ["leader", "i", "j"], percent)
-    discard(met, sets, repeated)
+    named = materialize(with_components(met, found))
+    more = searched(second_plan(named), sets, ["leader", "i", "j"], percent)
+    discard(met, named, sets, repeated)
     found = components(links.unionByName(more))
     linked = classes.join(found.select(F.col("v").alias("cid"), "component"), "cid", "left").select("high", "low", "rep", F.coalesce("component", "cid").alias("component"), "copies")
     least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))

@@ -69,3 +69,19 @@ def test_empty_table_and_long_text(spark):
     long = " ".join(str(i) for i in range(60_000))
     rows = [(1, long, 0, 0), (2, long + " end", 0, 0), (3, "short", 0, 0)]
     assert sorted((r.doc_id, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()) == [(1, 1), (2, 1), (3, 3)]
+
+
+def test_texts_that_share_a_doc_id(spark):
+    """Two texts of one id, each with a near copy of its own: both links are kept, whatever the order of the rows."""
+    rng = random.Random(9)
+    a, b = (" ".join(rng.choice("abcdefghij") + str(rng.randint(0, 99)) for _ in range(200)) for _ in range(2))
+    rows = [(1, a, 0, 0), (1, b, 0, 0), (2, a + " z", 0, 0), (3, b + " z", 0, 0), (4, b, 0, 0)]
+    for some in (rows, rows[::-1]):
+        got = near_duplicates(spark.createDataFrame(some, SCHEMA), 4, 85).collect()
+        assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 1)]
+
+
+def test_many_copies_are_dealt_over_tasks(spark):
+    rows = [(i, "one text that many share", 0, 0) for i in range(2000)] + [(5000 + i, f"text of row {i} alone", 0, 0) for i in range(50)]
+    got = near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.component_id for r in got if r.doc_id < 5000} == {0} and all(r.component_id == r.doc_id for r in got if r.doc_id >= 5000)
