@@ -1,6 +1,9 @@
+import hashlib
 import random
 import zlib
 
+import pytest
+
 from stocklens.llm.sharding import shard_by_bytes
 
 SCHEMA = "doc_id long, text string, shard int"
@@ -43,3 +46,35 @@ def test_empty_and_tiny(spark):
     df = spark.createDataFrame([(1, "x", 0)], SCHEMA)
     assert shard_by_bytes(df.limit(0)).count() == 0
     assert [(r.shard, r.slot) for r in shard_by_bytes(df).collect()] == [(0, 0)]
+
+
+def brute(rows, n_shards, whole_share=1 / 64):
+    """The law written out: records in the order of (text digest, size, crc, doc_id) share the bytes; small groups of one text are not cut."""
+    made = []
+    for i, t, _ in rows:
+        raw = None if t is None else t.encode()
+        made.append((-1 if raw is None else int(hashlib.md5(raw).hexdigest()[:15], 16), len(raw or b"") + 8, None if raw is None else zlib.crc32(raw), i))
+    made.sort(key=lambda r: (r[0], r[1], r[2] or 0, r[3] is not None, r[3] or 0))
+    total, at, out = sum(r[1] for r in made), 0, []
+    groups = {}
+    for r in made:
+        groups.setdefault(r[:3], []).append(r)
+    for members in groups.values():
+        size, first = sum(r[1] for r in members), at
+        for r in members:
+            place = first if size <= int(total / n_shards * whole_share) else at
+            out.append((r[3], r[2], min(n_shards - 1, place * n_shards // total)))
+            at += r[1]
+    return out
+
+
+@pytest.mark.parametrize("rows_per_range", [1_000_000, 40])
+def test_placement_against_brute_force(spark, rows_per_range):
+    """Copies that share a doc_id, or have none, are dealt over ranges like others."""
+    rng = random.Random(6)
+    rows = [(i, "".join(rng.choice("abé ") for _ in range(rng.randint(0, 40))), 1) for i in range(500)] + [(None, "x y", 1)] * 700 + [(9, "z", 1)] * 300 + [(9, None, 1)] * 200
+    got = shard_by_bytes(spark.createDataFrame(rows, SCHEMA), 7, ranges_per_shard=4, rows_per_range=rows_per_range).collect()
+    key = lambda r: str(r)
+    assert sorted(((r.doc_id, r.text_crc32, r.shard) for r in got), key=key) == sorted(brute(rows, 7), key=key)
+    for s in range(7):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
