@@ -209,3 +209,17 @@ def near_vectors(rows: DataFrame, cosine: float = 0.9) -> DataFrame:
 
 def op10_embedding_dedup(spark, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
+#: All pairs by brute force, so equality also means that no link was missed.
+SQL = """
+with recursive good as (
+  select vec_id, embedding::double[] as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (
+  select a.vec_id as x, b.vec_id as y from good a join good b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(vec_id, other) as (select vec_id, vec_id from embeddings union select r.vec_id, l.y from reach r join links l on l.x = r.other),
+least as (select vec_id, min(other) as component_id from reach group by vec_id),
+counted as (select x as vec_id, count(*) as n from links group by x)
+select vec_id, coalesce(n, 0)::bigint as n_links, component_id, vec_id = component_id as kept from least left join counted using (vec_id)
+"""

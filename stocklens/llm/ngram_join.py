@@ -313,3 +313,18 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
 def op7_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=4, percent=85)
+
+
+SQL = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sets as (
+  select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) end) as s from words),
+grams as (select doc_id, unnest(s) as gram from sets),
+shared as (select a.doc_id as x, b.doc_id as y, count(*) as n from grams a join grams b on a.gram = b.gram and a.doc_id < b.doc_id group by all),
+near as (select x, y from shared join sets p on p.doc_id = x join sets q on q.doc_id = y where 100 * n >= 85 * (len(p.s) + len(q.s) - n)),
+links as (select x, y from near union all select y, x from near),
+reach(doc_id, other) as (select doc_id, doc_id from sets union select r.doc_id, l.y from reach r join links l on l.x = r.other)
+select doc_id, len(s)::bigint as n_shingles, min(other) as component_id from sets join reach using (doc_id) group by doc_id, s
+"""
