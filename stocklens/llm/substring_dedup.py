@@ -1,8 +1,8 @@
 """Removal of repeated word windows: compressed FM-indexes per shard, searched backwards through wavelet matrices.
 
 A window is `width` consecutive words. Each has a minimizer, the least hash among its word 8-grams, so equal windows have
-equal minimizers. Runs of windows with one minimizer are cut out as segments and grouped by (minimizer, content), which
-settles all equal segments by their smallest doc_id. Segments that differ but share a minimizer may still share windows:
+equal minimizers. Runs of windows with one minimizer are cut out as segments and grouped by (minimizer, content), so that each
+content is searched once, for all segments that hold it: those of later documents than its first go whole. Segments that differ but share a minimizer may still share windows:
 their words go to shards, each shard builds an FM-index of its distinct segments, and every segment is searched in it
 backwards, window by window. A failed search tells how far the next window may jump; a found one is extended along the
 matching text. Reported are the intervals whose windows also start in a document with a smaller doc_id.
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MIX, WordHash, gram_hashes, materialize, words_of
+from .common import MIX, WordHash, discard, gram_hashes, materialize, words_of
 
 GRAM = 8
 LAST = 2**63 - 1  # stands for a null doc_id, after all others
@@ -260,7 +260,7 @@ def keyed_texts(docs: DataFrame) -> DataFrame:
 
 
 def repeated_intervals(docs: DataFrame, width: int = 50) -> DataFrame:
-    """(d, th, parts): for each document with something to remove, the intervals [lo, hi) of its words."""
+    """(d, th, parts): for each document with something to remove, the intervals [lo, hi) of its words, as a written table."""
     keyed = keyed_texts(docs)
     cut = materialize(segments(keyed, width))
     groups = cut.groupBy("m", "h").agg(F.min("d").alias("d0"), F.max("d").alias("d1"), F.max("len").alias("len"))
@@ -274,7 +274,7 @@ def repeated_intervals(docs: DataFrame, width: int = 50) -> DataFrame:
     one = materialize(one)
     total = one.agg(F.coalesce(F.sum("len"), F.lit(0)).alias("n")).first()["n"]
     shards = max(1, -(-total // SHARD_WORDS))
-    # A minimizer with more words than a shard holds is split: pieces in the order of d0, each searched in those before it and itself.
+    # A minimizer with more words than a shard holds is split into pieces by content, and each piece is searched in all of them.
     pieces = F.greatest(F.lit(1), F.ceil(F.col("words") / F.lit(SHARD_WORDS)).cast("int"))
     spread = one.withColumn("pieces", pieces).withColumn("own", F.pmod(F.xxhash64("h"), F.col("pieces")).cast("int"))
     told = spread.select("m", "h", F.col("d").alias("d0"), "low", "pieces", "own").join(segment_texts(keyed, one), ["m", "h"])
@@ -287,7 +287,9 @@ def repeated_intervals(docs: DataFrame, width: int = 50) -> DataFrame:
     found = whole.unionByName(as_index).unionByName(as_query).groupBy("shard", "i", "j").applyInPandas(_search_shard(width), f"m long, h long, parts {INTERVALS}")
     moved = F.transform("parts", lambda p: F.struct((p["lo"] + F.col("start")).alias("lo"), (p["hi"] + F.col("start")).alias("hi")))
     near = first.select("m", "h", "d", "th", "start").join(found, ["m", "h"]).select("d", "th", moved.alias("parts"))
-    return copies.unionByName(near).groupBy("d", "th").agg(F.flatten(F.collect_list("parts")).alias("parts"))
+    out = materialize(copies.unionByName(near).groupBy("d", "th").agg(F.flatten(F.collect_list("parts")).alias("parts")))
+    discard(cut, hits, one)
+    return out
 
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -316,12 +318,12 @@ def with_intervals(docs: DataFrame, found: DataFrame) -> list[DataFrame]:
 def digests(docs: DataFrame, width: int = 50) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, one row per input row.
 
-    Words are exact. A word goes if a window of `width` words over it also starts in a document with a smaller doc_id, judged on
+    Segments are compared by two 64-bit hashes, of their minimizer and of all their words; in an index, word by word. A word goes if a window of `width` words over it also starts in a document with a smaller doc_id, judged on
     the input. A null doc_id counts as greater than all others; rows that share a doc_id don't remove each other's words.
     Null texts have no words. Extra columns are ignored.
     """
     docs = docs.select("doc_id", "text")
-    frames = with_intervals(docs, materialize(repeated_intervals(docs, width)))
+    frames = with_intervals(docs, repeated_intervals(docs, width))
     joined = reduce(DataFrame.unionByName, frames)
 
     def run(batches):
@@ -344,7 +346,7 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     """docs with the repeated words cut from their texts, each with the white space after it; other columns as they were."""
     names = docs.columns
     packed = docs.select("doc_id", "text", F.struct(*[c for c in names if c not in ("doc_id", "text")]).alias("_rest"))
-    frames = with_intervals(packed, materialize(repeated_intervals(docs.select("doc_id", "text"), width)))
+    frames = with_intervals(packed, repeated_intervals(docs.select("doc_id", "text"), width))
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, parts: pd.Series) -> pd.Series:
@@ -365,3 +367,18 @@ def remove_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+SQL = r"""
+with words as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+windows as (
+  select doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) as h from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from words where len(w) >= 50)),
+firsts as (select h, min(doc_id) as d from windows group by h),
+gone as (select distinct doc_id, unnest(range(i, i + 50)) as p from windows join firsts using (h) where doc_id > d),
+places as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as p from words),
+kept as (
+  select doc_id, string_agg(word, ' ' order by p) as t, count(*) as n from places
+  where not exists (select 1 from gone where gone.doc_id = places.doc_id and gone.p = places.p) group by doc_id)
+select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from words left join kept using (doc_id)
+"""
