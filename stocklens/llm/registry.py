@@ -16,4 +16,11 @@ QUERIES = {
     "op9_shards": sharding.op9_shards,
     "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
 }
-ORACLES = {"op8_url_rules": url_rules.SQL}
+ORACLES = {
+    "op1_divergence": divergence.SQL,
+    "op4_substring_dedup": substring_dedup.SQL,
+    "op7_ngram_jaccard": ngram_join.SQL,
+    "op8_url_rules": url_rules.SQL,
+    "op9_shards": sharding.SQL,
+    "op10_embedding_dedup": embedding_dedup.SQL,
+}
