@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stocklens.llm import ngram_join, packing, rule_ensemble, substring_dedup, toxicity
-from stocklens.llm.common import materialize
+from stocklens.llm.common import discard, materialize
 
 #: Trained models and optimal buckets have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -51,8 +51,9 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
+    """All stages over documents, each written to the shared folder and read again; what a stage has read is deleted when its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir))
+        before, docs = docs, materialize(stage(spark, docs, sf_dir))
+        discard(before)
     return docs
