@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, divergence, embedding_dedup, ngram_join, packing, rule_ensemble, sharding, substring_dedup, toxicity, url_rules
+from . import byte_bpe, divergence, embedding_dedup, fill_middle, ngram_join, packing, rule_ensemble, sharding, substring_dedup, toxicity, url_rules
 
 QUERIES = {
     "op1_divergence": divergence.op1_divergence,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_url_rules": url_rules.op8_url_rules,
     "op9_shards": sharding.op9_shards,
     "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
+    "op11_fill_in_middle": fill_middle.op11_fill_in_middle,
 }
 ORACLES = {
     "op1_divergence": divergence.SQL,
@@ -23,4 +24,5 @@ ORACLES = {
     "op8_url_rules": url_rules.SQL,
     "op9_shards": sharding.SQL,
     "op10_embedding_dedup": embedding_dedup.SQL,
+    "op11_fill_in_middle": fill_middle.SQL,
 }
