@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, divergence, embedding_dedup, fill_middle, ngram_join, packing, rule_ensemble, sharding, substring_dedup, toxicity, url_rules
+from . import byte_bpe, divergence, embedding_dedup, fill_middle, ngram_join, packing, rule_ensemble, sharding, source_audit, substring_dedup, toxicity, url_rules
 
 QUERIES = {
     "op1_divergence": divergence.op1_divergence,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_shards": sharding.op9_shards,
     "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
     "op11_fill_in_middle": fill_middle.op11_fill_in_middle,
+    "op12_source_audit": source_audit.op12_source_audit,
 }
 ORACLES = {
     "op1_divergence": divergence.SQL,
@@ -25,4 +26,5 @@ ORACLES = {
     "op9_shards": sharding.SQL,
     "op10_embedding_dedup": embedding_dedup.SQL,
     "op11_fill_in_middle": fill_middle.SQL,
+    "op12_source_audit": source_audit.SQL,
 }
