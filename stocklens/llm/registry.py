@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, divergence, embedding_dedup, fill_middle, ngram_join, packing, rule_ensemble, sharding, source_audit, substring_dedup, toxicity, url_rules
+from . import byte_bpe, divergence, embedding_dedup, fill_middle, ngram_join, packing, rule_ensemble, sharding, source_audit, substring_dedup, syncmers, toxicity, url_rules
 
 QUERIES = {
     "op1_divergence": divergence.op1_divergence,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
     "op11_fill_in_middle": fill_middle.op11_fill_in_middle,
     "op12_source_audit": source_audit.op12_source_audit,
+    "op13_syncmer_fingerprints": syncmers.op13_syncmer_fingerprints,
 }
 ORACLES = {
     "op1_divergence": divergence.SQL,
