@@ -1,7 +1,8 @@
 """Parsers of manifests, lock files, build scripts and imports, as column expressions over a table of files.
 
-Each parser takes files (project, path, text) and returns component rows; a file that can't be read as its format gives no rows. TOML,
-which Spark has no reader for, is turned into JSON by one small Arrow UDF and then read like JSON.
+Each parser takes files (project, path, text) and returns component rows; a file that can't be read as its format gives no rows, but
+parse_errors() tells it. TOML, which Spark has no reader for, is turned into JSON by one small Arrow UDF and then read like JSON; another
+finds the end of calls, whose brackets nest to any depth.
 """
 
 from __future__ import annotations
@@ -10,17 +11,19 @@ import json
 import re
 import sys
 import tomllib
+from collections.abc import Callable
 from functools import partial, reduce
+from xml.parsers import expat
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StringType, StructType
 
 from ..functions.dictionaries import library_license, ros_license
 from ..functions.identity import git_parts, js_root, python_name, python_root, source_info
 from ..schema import as_components
-from .tree import MAX_BYTES, dir_of, name_of
+from .tree import INSTALLED, MAX_BYTES, dir_of, name_of
 
 NONE = "unspecified"
 M = "map<string,string>"
@@ -31,12 +34,58 @@ def toml_json(text: pd.Series) -> pd.Series:
     def one(t):
         try:
             return json.dumps(tomllib.loads(t), default=str)
-        except (tomllib.TOMLDecodeError, TypeError):
+        except (tomllib.TOMLDecodeError, TypeError, RecursionError):
             return None
 
     return text.map(one)
 
 
+def calls(head: str, marks: str) -> Callable[[Column], Column]:
+    """Of a text the calls whose start fits head: an array of (call, body), in order. A call ends where its bracket closes, whatever nests in it; one that is never closed is left out.
+
+    head ends with the opening bracket, and its first group is the call's name. marks is a pattern of what may hold brackets that don't
+    count, as strings and comments.
+    """
+    start, mark = re.compile(head), re.compile(rf"{marks}|[()]", re.S)
+
+    @F.pandas_udf(ArrayType(StructType().add("call", StringType()).add("body", StringType())))
+    def found(text: pd.Series) -> pd.Series:
+        def one(t):
+            out = []
+            for begun in start.finditer(t):
+                depth = 1
+                for m in mark.finditer(t, begun.end()):
+                    depth += (m[0] == "(") - (m[0] == ")")
+                    if not depth:
+                        out.append({"call": begun[1], "body": t[begun.end() : m.start()]})
+                        break
+            return out
+
+        return text.map(one)
+
+    return found
+
+
+#: Strings and comments between which brackets count; a string that never ends runs to the end of the text.
+CMAKE_DECLARE = calls(r"(?i)\b(FetchContent_Declare)\s*\(", r"""#[^\n]*|"(?:[^"\\]|\\.)*(?:"|\Z)|'(?:[^'\\]|\\.)*(?:'|\Z)""")
+CMAKE_ADD = calls(r"(?i)\b(ExternalProject_Add)\s*\(", r"""#[^\n]*|"(?:[^"\\]|\\.)*(?:"|\Z)""")
+MESON_CALL = calls(r"(?<![\w.])(dependency)\s*\(", r"'(?:[^'\\\n]|\\.)*'")
+BAZEL_CALL = calls(r"\b(http_archive|git_repository|local_repository|bazel_dep)\s*\(", r"""#[^\n]*|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'""")
+
+
+def called(files: DataFrame, *finders: Callable[[Column], Column], text: Column | None = None) -> DataFrame:
+    """A row for each call that any of the finders finds: call, body and its place among those of its finder."""
+    text = F.col("text") if text is None else text
+    rows = [files.select("project", "path", F.posexplode(find(text)).alias("ordinal", "c")).select("project", "path", "ordinal", "c.call", "c.body") for find in finders]
+    return union(*rows)
+
+
+def first_of(rows: DataFrame, *keys: str, order: tuple = ("ordinal",)) -> DataFrame:
+    """The first row of each key in a file, by order."""
+    w = Window.partitionBy("project", *keys).orderBy(*order)
+    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
 def emit(rows: DataFrame, label: str, ecosystem: str | Column, **values: Column) -> DataFrame:
     """Component rows of a parser; empty names go, empty versions are unspecified."""
     version = values.pop("version", F.lit(NONE))
@@ -71,7 +120,7 @@ def package_json(files):
     sections = [("dependencies", False), ("devDependencies", True), ("peerDependencies", False), ("optionalDependencies", False)]
     j = json_of(files, ", ".join(f"{s} {M}" for s, _ in sections))
     direct = ~F.col("path").contains("node_modules")
-    return union(*(emit(entries(j, f"j.{s}"), "npm", "npm", name=F.col("k"), version=F.col("v"), is_dev=F.lit(dev), is_direct=direct) for s, dev in sections))
+    return union(*(emit(entries(j, f"j.{s}"), "npm", "npm", name=F.col("k"), version=F.col("v"), is_dev=F.lit(dev), is_direct=direct, ordinal=F.lit(i)) for i, (s, dev) in enumerate(sections)))
 
 
 LOCKED = f"packages map<string, struct<version string, integrity string, dev boolean, license string, resolved string, dependencies {M}>>"
@@ -82,30 +131,27 @@ LOCK_V1 = ArrayType(StructType().add("name", StringType()).add("version", String
 
 @F.pandas_udf(LOCK_V1)
 def nested_packages(text: pd.Series) -> pd.Series:
-    """Packages of a lock file of version 1, whose dependencies nest to any depth; those below the first level are transitive."""
+    """Packages of a lock file of version 1, whose dependencies nest to any depth; those below the first level are transitive. Each is followed by those below it, names in order."""
 
     def one(t):
         try:
             lock = json.loads(t)
-            todo, found = [] if "packages" in lock else [(lock.get("dependencies"), True)], []
+            level = lambda d, direct: [(n, i, direct) for n, i in sorted((d or {}).items(), reverse=True)]
+            todo, found = [] if "packages" in lock else level(lock.get("dependencies"), True), []
             while todo:
-                level, direct = todo.pop()
-                for name, info in (level or {}).items():
-                    found.append({"name": name, "version": info.get("version") or "unknown", "dev": info.get("dev") is True, "direct": direct})
-                    todo.append((info.get("dependencies"), False))
+                name, info, direct = todo.pop()
+                found.append({"name": name, "version": info.get("version") or "unknown", "dev": info.get("dev") is True, "direct": direct})
+                todo += level(info.get("dependencies"), False)
             return found
-        except (ValueError, AttributeError):
+        except (ValueError, AttributeError, RecursionError):
             return []
 
     return text.map(one)
 
 
 def package_lock_v1(files):
-    rows = files.select("project", "path", F.explode(nested_packages("text")).alias("p"))
-    return emit(rows, "npm lock", "npm", name=F.col("p.name"), version=F.col("p.version"), source=F.lit("LockFile"), is_dev=F.col("p.dev"), is_direct=F.col("p.direct")).dropDuplicates(["project", "source_path", "name", "version"])
-
-
-INSTALLED = r"^(?:(.*)/)?node_modules/((?:@[^/]+/)?[^/]+)/package\.json$"
+    rows = files.select("project", "path", F.posexplode(nested_packages("text")).alias("ordinal", "p")).withColumns({"name": F.col("p.name"), "version": F.col("p.version")})
+    return emit(first_of(rows, "path", "name", "version"), "npm lock", "npm", version=F.col("version"), source=F.lit("LockFile"), is_dev=F.col("p.dev"), is_direct=F.col("p.direct"))
 
 
 def json_text(column: str, key: str, *inner: str) -> Column:
@@ -140,16 +186,17 @@ def with_install_metadata(components: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def package_lock(files):
-    """Lock files of versions 2 and 3, and of version 1. The name follows the last node_modules/; one level of it is a direct dependency."""
+    """Lock files of versions 2 and 3, and of version 1. The name follows the last node_modules/; one level of it is a direct dependency. Of a name and version the entry of the smallest path stays."""
     return package_lock_v2(files).unionByName(package_lock_v1(files))
 
 
 def package_lock_v2(files):
-    rows = entries(json_of(files, LOCKED), "j.packages").where("k <> ''")
+    rows = entries(json_of(files, LOCKED), "j.packages").where("k <> ''").withColumns({"name": F.regexp_replace("k", "^.*node_modules/", ""), "version": F.coalesce("v.version", F.lit("unknown"))})
+    rows = first_of(rows, "path", "name", "version", order=("k",))
     levels = F.size(F.split("k", "node_modules/")) - 1
     algorithm, digest = F.split_part("v.integrity", F.lit("-"), F.lit(1)), F.regexp_extract("v.integrity", "^[^-]+-(.*)$", 1)
     sha = lambda n: F.when(F.col("v.integrity").isNotNull() & (algorithm == n), digest)
-    return emit(rows, "npm lock", "npm", name=F.regexp_replace("k", "^.*node_modules/", ""), version=F.col("v.version"), source=F.lit("LockFile"), is_dev=F.coalesce("v.dev", F.lit(False)), is_direct=levels == 1, license=F.col("v.license"), checksum_sha256=sha("sha256"), checksum_sha512=sha("sha512")).dropDuplicates(["project", "source_path", "name", "version"])
+    return emit(rows, "npm lock", "npm", version=F.col("version"), source=F.lit("LockFile"), is_dev=F.coalesce("v.dev", F.lit(False)), is_direct=levels == 1, license=F.col("v.license"), checksum_sha256=sha("sha256"), checksum_sha512=sha("sha512"))
 
 
 def package_lock_edges(files):
@@ -188,6 +235,8 @@ def pip_exact(spec: Column) -> Column:
 
 
 REQUIREMENT = r"^\s*([A-Za-z0-9][A-Za-z0-9._-]*)\s*(?:\[[^\]]*\])?\s*\(?([^;)]*)"
+#: Extras that are for development.
+DEV_EXTRAS = ["test", "tests", "testing", "dev", "development", "doc", "docs"]
 
 
 def requirement_rows(rows: DataFrame, column: str) -> DataFrame:
@@ -200,11 +249,12 @@ def requirements_txt(files):
 
 
 def setup_py(files):
-    dev = F.array(*map(F.lit, ["dev", "test", "tests", "testing", "develop"]))
-    install = each(files, r"(?s)install_requires\s*=\s*\[(.*?)\]", "body")
-    extras = each(files, r"(?s)['\"](\w+)['\"]\s*:\s*\[(.*?)\]", "extra", "body").where(F.array_contains(dev, F.col("extra")))
-    rows = install.withColumn("dev", F.lit(False)).unionByName(extras.withColumn("dev", F.lit(True)).drop("extra"))
-    strings = rows.select("project", "path", "dev", F.posexplode(F.regexp_extract_all("body", F.lit(r"['\"]([^'\"]+)['\"]"), F.lit(1))).alias("ordinal", "line"))
+    """The first install list, in brackets of either kind, and the lists of extras for development."""
+    install = each(files, r"(?s)install_requires\s*=\s*([\[(])(.*?)[\])]", "bracket", "body").where("ordinal = 0").drop("bracket", "_m").withColumn("dev", F.lit(False))
+    extras = each(files, r"(?s)['\"]([^'\"]+)['\"]\s*:\s*\[(.*?)\]", "extra", "body").where(F.col("extra").isin(DEV_EXTRAS)).drop("extra", "_m").withColumn("dev", F.lit(True))
+    rows = install.unionByName(extras)
+    strings = rows.select("project", "path", "dev", (F.col("ordinal") * 1000 + F.col("dev").cast("int")).alias("list"), F.posexplode(F.regexp_extract_all("body", F.lit(r"['\"]([^'\"]+)['\"]"), F.lit(1))).alias("at", "line"))
+    strings = strings.withColumn("ordinal", F.row_number().over(Window.partitionBy("project", "path").orderBy("dev", "list", "at")))
     return emit(requirement_rows(strings, "line"), "setup.py", "pip", version=F.col("spec"), is_dev=F.col("dev"))
 
 
@@ -290,14 +340,16 @@ def gradle_scope(configuration: Column) -> Column:
 
 
 def build_gradle(files):
-    """Coordinates in string, map and platform forms, comments apart; the first form of a (name, version) stays."""
+    """Coordinates in map, platform and string forms, comments apart; of a (name, version) the first stays, in that order of forms."""
     # Strings are matched first and put back, so that comment marks inside them stay.
     plain = F.regexp_replace("text", r"""("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?s:/\*.*?\*/)|//[^\n]*""", "$1")
     conf = "(" + "|".join(c for names in GRADLE.values() for c in names) + ")"
     strings = each(files, rf"""\b{conf}\s*\(?\s*(?:(?:platform|enforcedPlatform)\s*\(\s*)?['"]([^:'"]+):([^:'"]+)(?::([^'":@]+))?""", "conf", "g", "n", "v", text=plain)
     maps = each(files, rf"""\b{conf}\s*\(?\s*group\s*[:=]\s*['"]([^'"]+)['"]\s*,\s*name\s*[:=]\s*['"]([^'"]+)['"](?:\s*,\s*version\s*[:=]\s*['"]([^'"]+)['"])?""", "conf", "g", "n", "v", text=plain)
     scope = gradle_scope(F.col("conf"))
-    return emit(strings.unionByName(maps), "gradle", "maven", name=F.concat_ws(":", "g", "n"), version=F.col("v"), scope=scope, scope_confidence=F.lit(1.0), scope_reason=F.concat(F.lit("Gradle configuration: "), F.col("conf"))).dropDuplicates(["project", "source_path", "name", "version"])
+    rows = maps.withColumn("form", F.lit(0)).unionByName(strings.withColumn("form", F.when(F.col("_m").contains("latform"), 1).otherwise(2))).withColumn("name", F.concat_ws(":", "g", "n"))
+    rows = first_of(rows, "path", "name", "v", order=("form", "ordinal"))
+    return emit(rows, "gradle", "maven", version=F.col("v"), scope=scope, scope_confidence=F.lit(1.0), scope_reason=F.concat(F.lit("Gradle configuration: "), F.col("conf")), ordinal=F.col("form") * 100_000 + F.col("ordinal"))
 
 
 def package_xml(files):
@@ -379,14 +431,16 @@ def url_version(url: Column) -> Column:
 
 
 def argument(text: Column, key: str) -> Column:
-    return F.nullif(F.regexp_extract(text, rf'\b{key}\s+"?([^\s")]+)', 1), F.lit(""))
+    """What follows a keyword, with or without quotes; only quoted text may have spaces."""
+    groups = [F.nullif(F.regexp_extract(text, rf'\b{key}\s+(?:"([^"]*)"|([^\s)"]+))', i), F.lit("")) for i in (1, 2)]
+    return F.coalesce(*groups)
 
 
 def cmake(files):
-    found = each(files, r"(?is)\b(FetchContent_Declare|ExternalProject_Add)\s*\(\s*([^\s()]+)((?:[^()]|\([^()]*\))*)\)", "call", "name", "body")
+    found = called(files, CMAKE_DECLARE, CMAKE_ADD).withColumns({"name": F.regexp_extract("body", r"^\s*(\w+)", 1), "body": F.regexp_replace("body", r"^\s*\w+", "")})
     repo, tag, url = argument(F.col("body"), "GIT_REPOSITORY"), argument(F.col("body"), "GIT_TAG"), argument(F.col("body"), "URL")
     rows = found.where((repo.isNotNull() | url.isNotNull()) & ~F.coalesce(F.concat_ws(" ", repo, tag, url).contains("${"), F.lit(False)))
-    return emit(rows, "cmake", "cmake", version=F.coalesce(tag, url_version(url)), repository_url=F.coalesce(repo, url), checksum_sha256=F.nullif(F.regexp_extract("body", "SHA256=([0-9a-fA-F]{64})", 1), F.lit("")))
+    return emit(rows, "cmake", "cmake", version=F.coalesce(tag, url_version(url)), repository_url=F.coalesce(url, repo), checksum_sha256=F.nullif(F.regexp_extract("body", r"\b(?i:SHA256)=([0-9a-fA-F]{64})", 1), F.lit("")))
 
 
 def conan_row(rows, column, label, **values):
@@ -423,24 +477,43 @@ def vcpkg_json(files):
     return emit(rows.join(overrides, ["project", "path", "name"], "left"), "vcpkg", "vcpkg", version=F.coalesce("forced", "own"), is_dev=F.col("dev"))
 
 
-def gitmodules(files):
-    found = each(files, r'(?s)\[submodule "([^"]+)"\]((?:(?!\[submodule).)*)', "n", "body")
-    key = lambda k: F.nullif(F.trim(F.regexp_extract("body", rf"(?m)^\s*{k}\s*=\s*(.+)$", 1)), F.lit(""))
-    repo = git_parts(key("url"))
-    named = F.coalesce(F.concat_ws("/", F.nullif(repo["owner"], F.lit("")), repo["repo"]), F.col("n"))
-    return emit(found.where(key("path").isNotNull() & key("url").isNotNull()), "git submodule", "git-submodule", name=F.when(repo["repo"].isNotNull(), named).otherwise(F.col("n")), version=F.lit("uninitialized"), repository_url=key("url"))
+SUBMODULE_DEPTH = 3
 
 
 def submodule_paths(files):
-    """project, dir, sub_path, url of the submodules that .gitmodules files list."""
-    found = each(files.where(name_of(F.col("path")) == ".gitmodules"), r'(?s)\[submodule "([^"]+)"\]((?:(?!\[submodule).)*)', "n", "body")
+    """project, path, dir, ordinal, sub_name, sub_path, url of the submodules that .gitmodules files list; those without a path or url are left out."""
+    found = each(files.where(name_of(F.col("path")) == ".gitmodules"), r'(?s)\[submodule "([^"]+)"\]((?:(?!\[submodule).)*)', "sub_name", "body")
     key = lambda k: F.nullif(F.trim(F.regexp_extract("body", rf"(?m)^\s*{k}\s*=\s*(.+)$", 1)), F.lit(""))
-    return found.select("project", dir_of(F.col("path")).alias("dir"), F.regexp_replace(key("path"), "/+$", "").alias("sub_path"), key("url").alias("url")).where("sub_path is not null and url is not null")
+    path = F.regexp_replace(F.regexp_replace(key("path"), r"^(?:\./)+|/+$", ""), r"/(?:\./)+", "/")
+    return found.select("project", "path", dir_of(F.col("path")).alias("dir"), "ordinal", "sub_name", path.alias("sub_path"), key("url").alias("url")).where("sub_path is not null and url is not null")
+
+
+def gitmodules(files, depth: int = SUBMODULE_DEPTH):
+    """Submodules, and those of their folders' own .gitmodules files, whether inside the vendor mode or not, to depth levels below the first; each level names the submodules that hold it in source_file.
+
+    A file is taken where its folder is first reached: at the top only if no file above it names its folder. Folders on the way to one aren't
+    gone into again.
+    """
+    listed = submodule_paths(files)
+    folder = F.when(F.col("dir") == "", F.col("sub_path")).otherwise(F.concat_ws("/", "dir", "sub_path"))
+    inside = files.where("inside") if "inside" in files.columns else files
+    named = listed.select("project", folder.alias("_folder"), "dir").where("_folder <> dir").select("project", F.col("_folder").alias("dir")).distinct()
+    level = submodule_paths(inside).join(named, ["project", "dir"], "left_anti").withColumns({"held_by": F.lit(""), "seen": F.array("dir")})
+    levels = [level]
+    for _ in range(depth):
+        above = level.select("project", folder.alias("dir"), F.concat(F.lit(" (submodule: "), "sub_name", F.lit(")"), "held_by").alias("held_by"), F.array_append("seen", folder).alias("seen")).where(~F.array_contains(F.slice("seen", 1, F.size("seen") - 1), F.col("dir")))
+        level = listed.join(above, ["project", "dir"]).select(*listed.columns, "held_by", "seen")
+        levels.append(level)
+    rows = union(*levels)
+    repo = git_parts(F.col("url"))
+    named = F.coalesce(F.concat_ws("/", F.nullif(repo["owner"], F.lit("")), repo["repo"]), F.col("sub_name"))
+    source = F.concat(source_info(F.lit("git submodule"), F.col("path")), "held_by")
+    return emit(rows, "git submodule", "git-submodule", name=F.when(repo["repo"].isNotNull(), named).otherwise(F.col("sub_name")), version=F.lit("uninitialized"), repository_url=F.col("url"), source_file=source)
 
 
 def with_commits(components: DataFrame, files: DataFrame, commits: DataFrame) -> DataFrame:
     """Submodule rows with their commits (project, dir, sub_path, commit) as versions; those without stay uninitialized."""
-    known = submodule_paths(files).join(commits, ["project", "dir", "sub_path"]).groupBy("project", F.col("dir").alias("_dir"), F.col("url").alias("repository_url")).agg(F.min("commit").alias("_commit")).withColumn("ecosystem", F.lit("git-submodule"))
+    known = submodule_paths(files).drop("path").join(commits, ["project", "dir", "sub_path"]).groupBy("project", F.col("dir").alias("_dir"), F.col("url").alias("repository_url")).agg(F.min("commit").alias("_commit")).withColumn("ecosystem", F.lit("git-submodule"))
     joined = components.withColumn("_dir", dir_of(F.col("source_path"))).join(known, ["project", "_dir", "repository_url", "ecosystem"], "left")
     return joined.withColumn("version", F.coalesce("_commit", "version")).select(components.columns)
 
@@ -450,16 +523,19 @@ PKG_CALL = r"pkg-config\s+(?:--[\w-]+(?:=\S+)?\s+)*([A-Za-z0-9][\w.+-]*)"
 
 
 def flags(files, label, ecosystem):
-    return emit(each(files, FLAG, "name"), label, ecosystem, license=library_license(F.col("name"))).dropDuplicates(["project", "source_path", "name"])
+    return emit(first_of(each(files, FLAG, "name"), "path", "name"), label, ecosystem, license=library_license(F.col("name")))
 
 
 def configure_ac(files):
-    checked = each(files, r"AC_CHECK_LIB\s*\(\s*\[?([\w.+-]+)", "name")
-    searched = each(files, r"(?s)AC_SEARCH_LIBS\s*\(\s*\[?[\w.+-]+\]?\s*,\s*\[?([\w.+\s-]+)", "list").select("project", "path", F.explode(F.split(F.trim("list"), r"\s+")).alias("name"))
+    """pkg-config modules, checked libraries and searched ones, in this order; of a name the first stays."""
+    checked = each(files, r"AC_CHECK_LIB\s*\(\s*\[?([\w.+-]+)", "name").withColumn("form", F.lit(1))
+    searched = each(files, r"(?s)AC_SEARCH_LIBS\s*\(\s*\[?[\w.+-]+\]?\s*,\s*\[?([\w.+\s-]+)", "list").select("project", "path", "ordinal", F.explode(F.split(F.trim("list"), r"\s+")).alias("name"), F.lit(2).alias("form"))
     modules = each(files, r"(?s)PKG_CHECK_MODULES\s*\(\s*\[?\w+\]?\s*,\s*\[?([^\])]+)", "list")
-    specs = modules.select("project", "path", F.explode(F.regexp_extract_all("list", F.lit(r"[A-Za-z][\w.+-]*(?:\s*[<>=]+\s*[\w.]+)?"), F.lit(0))).alias("spec"))
-    pkg = emit(specs, "autotools", "pkg-config", name=F.regexp_extract("spec", r"^([A-Za-z][\w.+-]*)", 1), version=F.regexp_extract("spec", r"[<>=]\s*([\w.]+)$", 1))
-    return union(emit(checked, "autotools", "autotools"), emit(searched, "autotools", "autotools"), pkg).dropDuplicates(["project", "source_path", "name"])
+    specs = modules.select("project", "path", "ordinal", F.explode(F.regexp_extract_all("list", F.lit(r"[A-Za-z][\w.+-]*(?:\s*[<>=]+\s*[\w.]+)?"), F.lit(0))).alias("spec"), F.lit(0).alias("form"))
+    specs = specs.withColumns({"name": F.regexp_extract("spec", r"^([A-Za-z][\w.+-]*)", 1), "v": F.regexp_extract("spec", r"[<>=]\s*([\w.]+)$", 1)})
+    every = reduce(partial(DataFrame.unionByName, allowMissingColumns=True), (specs, checked, searched))
+    rows = first_of(every, "path", "name", order=("form", "ordinal", "v"))
+    return emit(rows, "autotools", F.when(F.col("form") == 0, "pkg-config").otherwise("autotools"), version=F.col("v"), ordinal=F.col("form") * 100_000 + F.col("ordinal"))
 
 
 def makefile_am(files):
@@ -467,7 +543,7 @@ def makefile_am(files):
 
 
 def makefile(files):
-    return union(flags(files, "Makefile", "system"), emit(each(files, PKG_CALL, "name"), "Makefile", "pkg-config").dropDuplicates(["project", "source_path", "name"]))
+    return union(flags(files, "Makefile", "system"), emit(first_of(each(files, PKG_CALL, "name"), "path", "name"), "Makefile", "pkg-config"))
 
 
 def pc_file(files):
@@ -479,38 +555,45 @@ def pc_file(files):
 #: Variables of tools, toolchains and platforms, and ends of such names.
 MK_TOOLS = ["make", "cmake", "gcc", "clang", "python", "perl", "ruby", "autoconf", "automake", "libtool", "pkg_config", "pkgconfig", "ninja", "meson", "bash", "sh", "awk", "sed", "toolchain", "toolchains", "kl", "ndk", "raspbian", "ub_x86_64", "nvidia_jetson_orin"]
 MK_ENDS = r"_(?:toolchains?|kl)$"
-MK_SET = re.compile(r"(\w+(?:_VERSION|_LIB_VER|_VER))\s*(?:\?=|:=|=)\s*([^\s#]+)")
-MK_IF = re.compile(r"ifeq\s*\((.*)\)")
-MK_FILTER = re.compile(r"\$\(filter\s+\$\((\w+)\),\s*([^)]+)\)")
-MK_REFERENCE = re.compile(r"\$\((\w+)\)")
+MK_VARIABLES = ("_VERSION", "_LIB_VER", "_VER")
+
+
+def mk_assigned(line: str) -> tuple[str, str] | None:
+    """Name and value of a version variable that a line sets, whichever way; only the value's first word counts."""
+    left, equals, right = line.partition("=")
+    name = re.search(r"\w+$", left.rstrip("?:").rstrip())
+    words = right.partition("#")[0].split()
+    return (name[0], words[0]) if equals and words and name and name[0].endswith(MK_VARIABLES) else None
+
+
+def mk_holds(condition: str, look: Callable[[str], str]) -> bool:
+    """Whether the inside of an ifeq holds: a $(filter) call over a variable and a list, or two equal sides. look gives a variable's value."""
+    inside = condition.partition("$(filter")[2]
+    if inside:
+        variable, _, names = inside.partition(",")
+        return look(variable.strip().removeprefix("$(").removesuffix(")")) in names.partition(")")[0].split()
+    left, comma, right = (part.strip() for part in condition.partition(","))
+    if not comma or "," in right:
+        return False
+    value = look("ARCH") if left == "$(ARCH)" else left
+    return value == (look(right[2:-1]) if right.startswith("$(") and right.endswith(")") else right)
 
 
 def mk_versions(text: str, arch: str | None) -> dict[str, str]:
     """Version variables of a makefile fragment. With an architecture only branches taken under it count, in their order; without one, a variable whose last value lies in a conditional has none."""
     values, unsure, branches = {}, set(), []
     look = lambda name: (arch or "") if name == "ARCH" else values.get(name, "")
-
-    def holds(condition: str) -> bool:
-        if found := MK_FILTER.search(condition):
-            return look(found[1]) in found[2].split()
-        sides = [s.strip() for s in condition.split(",")]
-        if len(sides) != 2:
-            return False
-        left = look("ARCH") if sides[0] == "$(ARCH)" else sides[0]
-        right = MK_REFERENCE.fullmatch(sides[1])
-        return left == (look(right[1]) if right else sides[1])
-
     for line in map(str.strip, text.splitlines()):
         if line.startswith("#"):
             continue
-        if found := MK_IF.match(line):
-            branches.append(arch is None or holds(found[1]))
+        if line.startswith("ifeq") and line[4:].lstrip().startswith("(") and ")" in line:
+            branches.append(arch is None or mk_holds(line[line.index("(") + 1 : line.rindex(")")], look))
         elif line == "else":
             branches[-1:] = [not b for b in branches[-1:]]
         elif line == "endif":
             branches[-1:] = []
-        elif (found := MK_SET.search(line)) and (arch is None or all(branches)):
-            name, value = found[1], found[2].strip()
+        elif (found := mk_assigned(line)) and (arch is None or all(branches)):
+            name, value = found
             if branches and arch is None:
                 if "$(" not in value:
                     unsure.add(name)
@@ -558,25 +641,48 @@ VENDORED_NAMES = {"paho-embedded-c": "paho.mqtt.embedded-c", "paho_mqtt_embedded
 VENDORED = r"^((?:.*/)?(?:3rd_party|3rdparty)/([^/]+))/([^/]+)$"
 
 
+def cmake_words(command: str) -> Column:
+    """The words of each call of a command without brackets in it: an array of arrays, quotes gone."""
+    bodies = F.regexp_extract_all("text", F.lit(rf"\b{command}\s*\(([^()]*)\)"), F.lit(1))
+    return F.transform(bodies, lambda b: F.transform(F.regexp_extract_all(b, F.lit(r'"[^"]*"|[^\s"]+'), F.lit(0)), lambda w: F.replace(w, F.lit('"'), F.lit(""))))
+
+
+DOTTED = r"^[0-9]+(?:\.[0-9]+){0,3}"
+
+
+def cmake_version() -> Column:
+    """The version of a project() call, else of variables that are set for its parts: X_MAJOR_VERSION, or X_VERSION_MAJOR, and so on."""
+    leading = lambda c: F.nullif(F.regexp_extract(c, DOTTED, 0), F.lit(""))
+    projects = F.filter(cmake_words("(?i:project)"), lambda w: (F.get(w, F.lit(1)) == "VERSION") & F.get(w, F.lit(2)).rlike(DOTTED))
+    given = F.filter(cmake_words("set"), lambda w: (F.size(w) == 2) & F.get(w, F.lit(1)).rlike("^[0-9]+$"))
+
+    def part(end: str) -> Column:
+        hits = F.filter(given, lambda w: F.get(w, F.lit(0)).rlike(rf"^\w+{end}$"))
+        return F.get(F.element_at(F.when(F.size(hits) > 0, hits), -1), F.lit(1))
+
+    last = {p: part(f"_{p}_VERSION") for p in ("MAJOR", "MINOR", "PATCH")}
+    other = {p: part(f"_VERSION_{p}") for p in last}
+    major, minor, patch = (F.coalesce(last[p], other[p]) if p == "MAJOR" else F.when(last["MAJOR"].isNotNull(), last[p]).otherwise(F.coalesce(other[p], last[p])) for p in last)
+    parts = F.when(major.isNotNull() & ~(minor.isNull() & patch.isNotNull()), F.concat_ws(".", major, minor, patch))
+    return F.coalesce(leading(F.get(F.get(projects, F.lit(0)), F.lit(2))), parts)
+
+
 def vendored_libraries(files: DataFrame) -> DataFrame:
     """Children of 3rd_party and 3rdparty: the version that their CMakeLists.txt gives, else their library.properties; a child with C sources and neither has none."""
-    rows = files.where(F.col("path").rlike(VENDORED)).select("project", "path", F.regexp_extract("path", VENDORED, 1).alias("root"), F.regexp_extract("path", VENDORED, 2).alias("child"), F.regexp_extract("path", VENDORED, 3).alias("file"), "text")
-    rows = rows.where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, NOT_SEARCHED))) & ~F.lower("child").isin(NO_LIBRARIES) & ~F.lower("child").rlike(TEST_NAMES))
-    part = lambda pattern: F.nullif(F.regexp_extract("text", pattern, 1), F.lit(""))
-    project = part(r"(?i)\bproject\s*\(\s*(?:\"[^\"]+\"|[^\s)]+)\s+VERSION\s+([0-9]+(?:\.[0-9]+){0,3})")
-    suffix = [part(rf'set\s*\(\s*\w+_{p}_VERSION\s+"?([0-9]+)"?\s*\)') for p in ("MAJOR", "MINOR", "PATCH")]
-    infix = [part(rf'set\s*\(\s*\w+_VERSION_{p}\s+"?([0-9]+)"?\s*\)') for p in ("MAJOR", "MINOR", "PATCH")]
-    dotted = lambda p: F.when(p[0].isNotNull(), F.concat_ws(".", p[0], p[1], F.when(p[1].isNotNull(), p[2])))
-    cmake = F.struct("path", F.coalesce(project, dotted(suffix), dotted(infix), F.lit(NONE)).alias("version"))
-    properties = F.struct("path", part(r"(?m)^version\s*=\s*([0-9]+(?:\.[0-9]+){0,3})").alias("version"))
-    named = rows.withColumn("told", F.when(F.col("file") == "CMakeLists.txt", cmake).when((F.col("file") == "library.properties") & properties["version"].isNotNull(), properties))
-    source = F.col("file").rlike(r"\.(?:c|cpp|cxx|cc|h|hpp|hxx)$")
-    best = named.groupBy("project", "root", "child").agg(F.min_by("told", F.when(F.col("told").isNotNull(), F.col("file") != "CMakeLists.txt")).alias("told"), F.bool_or(source).alias("sources"))
-    best = best.where("told is not null or sources").select("project", F.coalesce("told.path", "root").alias("path"), F.coalesce("told.version", F.lit(NONE)).alias("v"), "child")
-    name = F.col("child")
-    for other, meant in VENDORED_NAMES.items():
-        name = F.when(F.col("child") == other, meant).otherwise(name)
-    return emit(best, "vendored-3rdparty", "VENDORED", name=name, version=F.col("v"))
+    child, name = F.regexp_extract("path", VENDORED, 2), name_of(F.col("path"))
+    inside = files.where(F.col("path").rlike(VENDORED) & ~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, NOT_SEARCHED))) & ~F.lower(child).isin(NO_LIBRARIES) & ~F.lower(child).rlike(TEST_NAMES))
+    place = ["project", F.regexp_extract("path", VENDORED, 1).alias("root"), child.alias("child")]
+    properties = F.nullif(F.regexp_extract(F.regexp_extract("text", r"(?m)^version\s*=\s*(\S+)", 1), DOTTED, 0), F.lit(""))
+    cmake, told = name == "CMakeLists.txt", F.struct("path", F.when(name == "CMakeLists.txt", F.coalesce(cmake_version(), F.lit(NONE))).otherwise(properties).alias("version"))
+    # Texts of the two names only; of all other files the path is enough.
+    texts = inside.where(name.isin("CMakeLists.txt", "library.properties") & F.col("text").isNotNull()).select(*place, told.alias("told"), F.when(cmake, 0).otherwise(1).alias("rank"), F.lit(False).alias("source")).where("told.version is not null")
+    sources = inside.where(name.rlike(r"\.(?:c|cpp|cxx|cc|h|hpp|hxx)$")).select(*place, F.lit(None).cast(texts.schema["told"].dataType).alias("told"), F.lit(None).cast("int").alias("rank"), F.lit(True).alias("source"))
+    best = texts.unionByName(sources).groupBy("project", "root", "child").agg(F.min_by("told", "rank").alias("told"))
+    best = best.select("project", F.coalesce("told.path", "root").alias("path"), F.coalesce("told.version", F.lit(NONE)).alias("v"), "child")
+    meant = F.col("child")
+    for other, library in VENDORED_NAMES.items():
+        meant = F.when(F.col("child") == other, library).otherwise(meant)
+    return emit(best, "vendored-3rdparty", "VENDORED", name=meant, version=F.col("v"))
 
 
 #: Elements whose short names are components.
@@ -585,22 +691,24 @@ COMPONENT_TAGS = ["SW-COMPONENT-PROTOTYPE", "BSW-MODULE-DESCRIPTION", "APPLICATI
 
 def arxml(files):
     found = each(files, rf"(?is)<(?:{'|'.join(COMPONENT_TAGS)})(?:\s[^>]*)?>(?:\s|<!--.*?-->)*<SHORT-NAME[^>]*>\s*([^<]+?)\s*</", "name")
-    return emit(found, "autosar/arxml", "autosar").dropDuplicates(["project", "name"])
+    return emit(first_of(found, "name", order=("path", "ordinal")), "autosar/arxml", "autosar")
 
 
 def meson_build(files):
+    """dependency(), find_library() and subproject() calls; of a name and kind the first stays."""
     plain = F.regexp_replace("text", r"(?m)#[^\n]*", "")
-    deps = each(files, r"""(?s)(?<![\w.])dependency\(\s*'([^']+)'((?:[^()]|\([^()]*\))*)\)""", "name", "rest", text=plain)
-    libs = each(files, r"""\.find_library\(\s*'([^']+)'""", "name", text=plain)
-    subs = each(files, r"""(?<!\w)subproject\(\s*'([^']+)'""", "name", text=plain)
-    version = F.regexp_replace(F.regexp_extract("rest", r"version\s*:\s*\[?\s*'([^']+)'", 1), r"^[<>=!\s]+", "")
-    return union(emit(deps, "meson", "meson", version=version), emit(libs, "meson", "system", license=library_license(F.col("name"))), emit(subs, "meson", "meson-subproject", version=F.lit("subproject"))).dropDuplicates(["project", "source_path", "name", "ecosystem"])
+    bare = r"""^\s*['"]([^'"]+)['"]"""
+    deps = called(files, MESON_CALL, text=plain).withColumns({"name": F.regexp_extract("body", bare, 1), "v": F.regexp_replace(F.regexp_extract("body", r"""version\s*:\s*\[?\s*['"]([^'"]+)['"]""", 1), r"^[<>=!\s]+", "")})
+    kinds = {"meson": deps, "system": each(files, r"""\bfind_library\s*\(\s*['"]([^'"]+)['"]""", "name", text=plain), "meson-subproject": each(files, r"""(?<!\w)subproject\s*\(\s*['"]([^'"]+)['"]""", "name", text=plain)}
+    rows = [(kind, first_of(found.where("name <> ''"), "path", "name")) for kind, found in kinds.items()]
+    more = {"meson": {"version": F.col("v")}, "system": {"license": library_license(F.col("name"))}, "meson-subproject": {"version": F.lit("subproject")}}
+    return union(*(emit(found, "meson", kind, **more[kind]) for kind, found in rows))
 
 
 def wrap(files):
     key = lambda k: F.nullif(F.trim(F.regexp_extract("text", rf"(?m)^\s*{k}\s*=\s*(.+)$", 1)), F.lit(""))
     version = F.coalesce(F.nullif(F.regexp_extract(key("directory"), r"-v?([0-9][\w.]*)$", 1), F.lit("")), url_version(key("source_url")), key("revision"))
-    rows = files.where(F.col("text").rlike(r"\[wrap-(?:file|git)\]"))
+    rows = files.where(F.col("text").rlike(r"\[wrap-(?:file|git)\]") & F.col("path").rlike(r"(?:^|/)subprojects/[^/]+$"))
     return emit(rows, "meson wrap", "meson-wrap", name=F.regexp_replace(name_of(F.col("path")), r"\.wrap$", ""), version=version, repository_url=F.coalesce(key("url"), key("source_url")), checksum_sha256=key("source_hash"))
 
 
@@ -609,16 +717,21 @@ def bazel_value(body: str, key: str) -> Column:
 
 
 def workspace(files):
+    """Archives, git repositories and local ones, in this order; of a name the first stays. An archive's version is the first number of strip_prefix, else of its URL."""
     plain = F.regexp_replace("text", r"(?m)^\s*#[^\n]*", "")
-    found = each(files, r"(?s)\b(http_archive|git_repository|new_git_repository|local_repository)\(((?:[^()]|\([^()]*\))*)\)", "call", "body", text=plain)
+    found = called(files, BAZEL_CALL, text=plain).where("call <> 'bazel_dep'")
     val = lambda k: bazel_value("body", k)
     url = F.coalesce(val("remote"), val("urls?"))
-    version = F.when(F.col("call") == "local_repository", "local").otherwise(F.coalesce(val("tag"), F.substring(val("commit"), 1, 7), url_version(url)))
-    return emit(found, "bazel", "bazel", name=val("name"), version=version, repository_url=url, checksum_sha256=val("sha256")).dropDuplicates(["project", "source_path", "name"])
+    number = lambda c: F.nullif(F.regexp_extract(c, r"([0-9]+(?:\.[0-9]+)*)", 1), F.lit(""))
+    archive = F.coalesce(number(val("strip_prefix")), number(url))
+    version = F.when(F.col("call") == "local_repository", "local").when(F.col("call") == "http_archive", archive).otherwise(F.coalesce(val("tag"), F.substring(val("commit"), 1, 7)))
+    form = F.when(F.col("call") == "http_archive", 0).when(F.col("call") == "local_repository", 2).otherwise(1)
+    rows = first_of(found.withColumns({"name": val("name"), "form": form}).where("name is not null"), "path", "name", order=("form", "ordinal"))
+    return emit(rows, "bazel", "bazel", version=version, repository_url=F.when(F.col("call") != "local_repository", url), checksum_sha256=val("sha256"), ordinal=F.col("form") * 100_000 + F.col("ordinal"))
 
 
 def module_bazel(files):
-    found = each(files, r"(?s)\bbazel_dep\(([^)]*)\)", "body")
+    found = called(files, BAZEL_CALL).where("call = 'bazel_dep'")
     return emit(found.where(bazel_value("body", "version").isNotNull()), "bazel module", "bazel-bzlmod", name=bazel_value("body", "name"), version=bazel_value("body", "version"))
 
 
@@ -631,7 +744,7 @@ MICRO = ["machine", "micropython", "utime", "ujson", "uos", "network", "esp", "e
 
 
 def imported(rows, label, ecosystem):
-    return emit(rows, label, ecosystem, version=F.lit("detected"), source=F.lit("ImportScan")).dropDuplicates(["project", "source_path", "name"])
+    return emit(first_of(rows, "path", "name"), label, ecosystem, version=F.lit("detected"), source=F.lit("ImportScan"))
 
 
 def python_imports(files):
@@ -661,7 +774,7 @@ PARSERS = {
     r"requirements\.txt": requirements_txt, r"pip-report\.json": pip_report, r"setup\.py": setup_py, r"poetry\.lock": poetry_lock, r"Pipfile\.lock": pipfile_lock, r"Pipfile": pipfile,
     r"pyproject\.toml": pyproject_toml, r"go\.mod": go_mod, r"Gemfile": gemfile, r"composer\.json": composer_json, r"build\.gradle(?:\.kts)?": build_gradle,
     r"package\.xml": package_xml, r"CMakeLists\.txt|.*\.cmake": cmake, r"conan\.lock": conan_lock, r"conanfile\.txt": conanfile_txt, r"conanfile\.py": conanfile_py,
-    r"vcpkg\.json": vcpkg_json, r"\.gitmodules": gitmodules, r"configure\.(?:ac|in)": configure_ac, r"Makefile\.am": makefile_am, r"Makefile": makefile,
+    r"vcpkg\.json": vcpkg_json, r"\.gitmodules": gitmodules, r"configure\.(?:ac|in)": configure_ac, r"Makefile\.am": makefile_am, r"[Mm]akefile": makefile,
     r".*\.pc": pc_file, r".*\.mk": mk_file, r"library\.json": library_json, r".*\.arxml": arxml, r"meson\.build": meson_build,
     r".*\.wrap": wrap, r"WORKSPACE(?:\.bazel)?": workspace, r"MODULE\.bazel": module_bazel,
 }
@@ -669,6 +782,18 @@ SOURCES = {r".*\.py": python_imports, r".*\.(?:js|jsx|ts|tsx|mjs|cjs)": js_impor
 EDGES = {r"package-lock\.json": package_lock_edges, r"Cargo\.lock": cargo_lock_edges, r"poetry\.lock": poetry_lock_edges, r"pip-report\.json": pip_report_edges}
 
 
+#: Formats that a file either is in or not, and the kinds of files that must be in them.
+JSON = [r"package\.json", r"package-lock\.json", r"pip-report\.json", r"Pipfile\.lock", r"composer\.json", r"conan\.lock", r"vcpkg\.json", r"library\.json"]
+TOML = [r"Cargo\.toml", r"Cargo\.lock", r"poetry\.lock", "Pipfile", r"pyproject\.toml"]
+XML = [r"package\.xml", r".*\.arxml"]
+INI = [r"\.gitmodules", r".*\.wrap"]
+#: Parsers whose rows depend on files outside the vendor mode too.
+EVERYWHERE = [r".*\.mk", r"\.gitmodules"]
+#: Kinds that tree.silenced() may take out, and those that silence them.
+SILENCED = [r"pyproject\.toml", "Pipfile", r"conanfile\.txt", r"conanfile\.py", "[Mm]akefile"]
+SILENCING = [r"poetry\.lock", r"Pipfile\.lock", r"conan\.lock", r"configure\.(?:ac|in)", r"Makefile\.am"]
+
+
 def kind_of(path: Column) -> Column:
     """The pattern in PARSERS or SOURCES that a file's name fits, else null; each file has one."""
     name, out = name_of(path), F.lit(None).cast("string")
@@ -677,11 +802,57 @@ def kind_of(path: Column) -> Column:
     return out
 
 
-def _parsed(files: DataFrame, table: dict, kinds: set[str], empty: DataFrame) -> DataFrame:
-    return union(empty, *(parse(files.where(F.col("kind") == kind)) for kind, parse in table.items() if kind in kinds))
+@F.pandas_udf(StringType())
+def toml_fault(text: pd.Series) -> pd.Series:
+    def one(t):
+        try:
+            tomllib.loads(t)
+        except (tomllib.TOMLDecodeError, RecursionError) as fault:
+            return f"TOML: {fault}"
+
+    return text.map(one)
 
 
-def _kinds(files: DataFrame) -> set[str]:
+@F.pandas_udf(StringType())
+def xml_fault(text: pd.Series) -> pd.Series:
+    def one(t):
+        try:
+            expat.ParserCreate(encoding="utf-8").Parse(t.encode(), True)
+        except expat.ExpatError as fault:
+            return f"XML: {fault}"
+
+    return text.map(one)
+
+
+def ini_fault(text: Column) -> Column:
+    """The first line that is neither a section, a comment, a setting nor part of the one before it, or stands before any section."""
+    lines = F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: F.rtrim(x)), lambda x: (x != "") & ~x.rlike(r"^\s*[#;]"))
+    odd = F.get(F.filter(lines, lambda x: ~x.rlike(r"^\s*\[[^\]]+\]\s*(?:[#;].*)?$|^\s*[\w.-]+\s*(?:[=:]|$)|^\s+\S")), F.lit(0))
+    first = F.get(lines, F.lit(0))
+    bad = F.when(first.isNotNull() & ~first.rlike(r"^\s*\["), first).otherwise(odd)
+    return F.when(bad.isNotNull(), F.concat(F.lit("INI: "), F.substring(bad, 1, 80)))
+
+
+def parse_errors(files: DataFrame, kinds: set[str] | None = None, counted: Observation | None = None) -> DataFrame:
+    """(project, path, parser, reason) of manifests that aren't in their parser's format, or couldn't be read. Parsers give no rows of such files, or those before the fault.
+
+    JSON must be an object. counted takes the number of errors as 'errors' when the table is first computed.
+    """
+    files = files.select("project", "path", "text", F.coalesce(F.col("kind") if "kind" in files.columns else F.lit(None), kind_of(F.col("path"))).alias("parser"))
+    read = files.where("text is not null")
+    json_fault = F.when(F.try_parse_json("text").isNull(), "JSON: malformed").when(~F.ltrim("text").startswith("{"), "JSON: not an object")
+    checks = ((JSON, json_fault), (TOML, toml_fault("text")), (XML, xml_fault("text")), (INI, ini_fault(F.col("text"))))
+    rows = [read.where(F.col("parser").isin(names)).select("project", "path", "parser", fault.alias("reason")) for names, fault in checks if kinds is None or kinds & set(names)]
+    missing = files.where(F.col("text").isNull() & F.col("parser").isin([*PARSERS])).select("project", "path", "parser", F.lit("not read").alias("reason"))
+    found = union(missing, *rows).where("reason is not null")
+    return found.observe(counted, F.count(F.lit(1)).alias("errors")) if counted is not None else found
+
+
+def _parsed(pick: Callable[[str], DataFrame], table: dict, kinds: set[str], empty: DataFrame) -> DataFrame:
+    return union(empty, *(parse(pick(kind)) for kind, parse in table.items() if kind in kinds))
+
+
+def kinds_of(files: DataFrame) -> set[str]:
     """Kinds that there are: as many rows as patterns at most. Parsers of the others stay out of the plan."""
     return {r.kind for r in files.select("kind").distinct().collect()}
 
@@ -691,29 +862,40 @@ def _with_kind(files: DataFrame) -> DataFrame:
     return (kept if "kind" in files.columns else kept.withColumn("kind", kind_of(F.col("path")))).where("kind is not null")
 
 
-def components(files: DataFrame, imports: bool = True, arch: str | None = None, listing: DataFrame | None = None) -> DataFrame:
+def components(files: DataFrame, imports: bool = True, arch: str | None = None, listing: DataFrame | None = None, kinds: set[str] | None = None, silenced: DataFrame | None = None, depth: int = SUBMODULE_DEPTH) -> DataFrame:
     """Component rows of all manifests, and of the imports of source files up to MAX_BYTES. Files with null text give none.
 
-    files may bring a column kind (kind_of), best as a partition column: then each parser reads its own files only. arch is the target
-    architecture of conditionals in .mk files. listing has the tree's other files too, which tell libraries without manifests.
+    files may bring a column kind (kind_of), best as a partition column: then each parser reads its own files only, and none where kinds,
+    those that there are, leaves it out. Rows outside the vendor mode (a column inside that is false) give version tables only. arch is the
+    target architecture of conditionals in .mk files, depth how many levels of nested submodules are followed. listing has the files that tell
+    libraries without manifests; silenced (project, path) names manifests that aren't parsed.
     """
     libraries = vendored_libraries(files if listing is None else listing)
     files = _with_kind(files)
-    kinds = _kinds(files)
+    kinds = kinds_of(files) if kinds is None else kinds
+    within = files.where("inside") if "inside" in files.columns else files
+
+    def pick(kind: str) -> DataFrame:
+        rows = (files if kind in EVERYWHERE else within).where(F.col("kind") == kind)
+        return rows.join(silenced, ["project", "path"], "left_anti") if silenced is not None and kind in SILENCED else rows
+
     empty = as_components(files.limit(0).select("project", F.lit("").alias("name"), F.lit("").alias("ecosystem")))
-    found = _parsed(files, PARSERS | {r".*\.mk": partial(mk_file, arch=arch)}, kinds, empty).unionByName(libraries)
+    found = _parsed(pick, PARSERS | {r".*\.mk": partial(mk_file, arch=arch), r"\.gitmodules": partial(gitmodules, depth=depth)}, kinds, empty).unionByName(libraries)
     if {r"package\.xml", r"setup\.py"} <= kinds:
         found = with_setup_versions(found)
     if r"pip-report\.json" in kinds:
         found = with_report_requirements(found)
     if not imports:
         return found
-    scripts = files.where(F.octet_length("text") <= MAX_BYTES)
-    more = [python_imports(scripts.where(F.col("kind").isin(r"setup\.py", r"conanfile\.py")))] if kinds & {r"setup\.py", r"conanfile\.py"} else []
+    scripts = lambda *names: within.where(F.col("kind").isin(*names) & (F.octet_length("text") <= MAX_BYTES))
+    also = sorted(kinds & {r"setup\.py", r"conanfile\.py"})
+    more = [python_imports(scripts(*also))] if also else []
     return union(_parsed(scripts, SOURCES, kinds, found), *more)
 
 
-def edges(files: DataFrame) -> DataFrame:
+def edges(files: DataFrame, kinds: set[str] | None = None) -> DataFrame:
     files = _with_kind(files)
+    if "inside" in files.columns:
+        files = files.where("inside")
     empty = files.limit(0).select("project", F.lit("").alias("parent_id"), F.lit("").alias("child_name"), F.lit(0).alias("ord"))
-    return _parsed(files, EDGES, _kinds(files), empty)
+    return _parsed(lambda kind: files.where(F.col("kind") == kind), EDGES, kinds_of(files) if kinds is None else kinds, empty)

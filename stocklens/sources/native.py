@@ -19,8 +19,6 @@ from .tree import dir_of, name_of
 #: Folders below a repository's root in which shared objects are looked for, and how deep.
 LIBRARY_DIRS = ["lib", "lib64", "build", "build/lib", "toolchains/install/lib", "usr/lib", "usr/lib64", "usr/local/lib", ".libs"]
 LIBRARY_DEPTH = 5
-SO_VERSION = r"\.so\.([0-9.]+)$"
-SO_NAME = r"^lib([a-zA-Z0-9_+.-]+?)\.so"
 PRINTED = re.compile(rb"[\x20-\x7e]{4,}")
 DOTTED = re.compile(rb"\d+\.\d+\.\d+")
 
@@ -53,19 +51,24 @@ def soname(data: bytes) -> str | None:
     return None
 
 
+def numbered(name: str) -> str | None:
+    """The version at the end of a shared object's name, after '.so.'."""
+    tail = name.rpartition(".so.")[2] if ".so." in name else ""
+    return tail if tail and not tail.strip("0123456789.") else None
+
+
 def so_version(path: str) -> str | None:
     """Version of a shared object: in its name, else in its soname, else the first dotted number that it prints."""
-    found = re.search(SO_VERSION, os.path.basename(path))
-    if found:
-        return found[1]
+    if found := numbered(os.path.basename(path)):
+        return found
     with open(path, "rb") as f:
         data = f.read()
     try:
-        found = re.search(SO_VERSION, soname(data) or "")
+        found = numbered(soname(data) or "")
     except (struct.error, ValueError, IndexError):
         found = None
     if found:
-        return found[1]
+        return found
     return next((m[0].decode() for part in PRINTED.finditer(data) if (m := DOTTED.search(part[0]))), None)
 
 
@@ -93,8 +96,9 @@ def shared_objects(files: DataFrame, root: str, repo: Column | None = None) -> D
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([(c, pa.string()) for c in ("project", "repo", "real", "version", "name")]))
 
     found = listed.select("project", "repo", "path").mapInArrow(run, "project string, repo string, real string, version string, name string").dropDuplicates(["project", "repo", "real"])
-    name = F.regexp_extract("name", SO_NAME, 1)
-    named = found.where((name != "") & F.col("version").isNotNull()).select("project", "repo", name.alias("name"), "version", "real")
+    stem = F.split_part("name", F.lit(".so"), F.lit(1))
+    name = F.when(stem.startswith("lib") & (F.length(stem) > 3), F.substring(stem, F.lit(4), F.length(stem)))
+    named = found.where(name.isNotNull() & F.col("version").isNotNull()).select("project", "repo", name.alias("name"), "version", "real")
     return named.groupBy("project", "repo", "name").agg(F.min_by("version", "real").alias("version")).where(version_known(F.col("version")))
 
 

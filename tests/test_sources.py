@@ -24,18 +24,24 @@ def write(top, files):
 
 
 def test_pruned_directories_are_never_opened(spark, tmp_path):
-    write(tmp_path, {"package.json": "{}", "src/a/b/c.py": "import x", "node_modules/p/package.json": '{"license": "MIT"}', "node_modules/p/deep/package.json": "{}", "node_modules/@s/q/package.json": "{}", "out/x.py": ""})
+    write(tmp_path, {"package.json": "{}", "src/a/b/c.py": "import x", "node_modules/p/package.json": '{"license": "MIT"}', "node_modules/p/deep/package.json": "{}", "node_modules/p/v.mk": "", "node_modules/@s/q/package.json": "{}", "out/x.py": "", "out/d.epd": ""})
     (tmp_path / "node_modules" / "p" / "locked").mkdir()
-    paths = lambda *a: {r.path for r in tree.read_tree(spark, str(tmp_path), "demo", *a).where("not is_dir").collect()}
-    assert paths("skip", ["out"]) == {"package.json", "src/a/b/c.py"}
-    assert paths("skip", ["out"], True) == {"package.json", "src/a/b/c.py", "node_modules/p/package.json", "node_modules/@s/q/package.json"}
-    assert paths("only") == {"package.json", "node_modules/p/package.json", "node_modules/p/deep/package.json", "node_modules/@s/q/package.json"}
-    reader = tree.TreeReader({"path": str(tmp_path), "vendor": "skip", "partitions": "3"})
+
+    def walked(companions, opened=None, **options):
+        reader = tree.TreeReader({"path": str(tmp_path), "partitions": "3", "companions": str(companions).lower(), **options})
+        if opened is not None:
+            entries = reader.entries
+            reader.entries = lambda at: (opened.append(at), entries(at))[1]
+        return {r[1]: r[4] for p in reader.partitions() for r in reader.walk(p) if not r[3]}
+
+    inside, skip = {"package.json": True, "src/a/b/c.py": True}, {"vendor": "skip", "excludes": "out"}
+    installed = {"node_modules/p/package.json": False, "node_modules/@s/q/package.json": False}
     opened = []
-    inside = reader.inside
-    reader.inside = lambda at: (opened.append(at), inside(at))[1]
-    rows = [r for p in reader.partitions() for r in reader.read(p)]
-    assert sorted(r[1] for r in rows if not r[3]) == ["out/x.py", "package.json", "src/a/b/c.py"] and not any("node_modules" in o for o in opened)
+    assert walked(False, opened, **skip) == inside and not any("node_modules" in o or o == "out" for o in opened)
+    assert walked(False, **skip, installed="true") == inside | installed
+    assert walked(True, **skip) == inside | {"node_modules/p/v.mk": False, "out/d.epd": False}
+    assert walked(True, **skip, installed="true") == inside | installed | {"node_modules/p/v.mk": False, "out/d.epd": False}
+    assert walked(False, vendor="only") == {p: True for p in ("node_modules/p/package.json", "node_modules/p/deep/package.json", "node_modules/p/v.mk", "node_modules/@s/q/package.json")}
 
 
 def test_partitions_follow_the_tree(tmp_path):
@@ -43,10 +49,24 @@ def test_partitions_follow_the_tree(tmp_path):
     for parts in (1, 4, 20, 1000):
         reader = tree.TreeReader({"path": str(tmp_path), "partitions": str(parts)})
         split = reader.partitions()
-        assert sorted(r[1] for p in split for r in reader.read(p) if not r[3]) == sorted(f"src/d{i}/e{j}/f.txt" for i in range(6) for j in range(6))
+        rows = [r for p in split for batch in reader.read(p) for r in batch.to_pylist()]
+        assert sorted(r["path"] for r in rows if not r["is_dir"]) == sorted(f"src/d{i}/e{j}/f.txt" for i in range(6) for j in range(6))
         assert len(split) >= min(parts, 44)
 
 
+def test_one_folder_is_read_by_many_tasks(spark, tmp_path):
+    """A flat folder is listed by one task, and its texts are read by as many as it has files and bytes for; a file that can't be read has null text."""
+    write(tmp_path, {f"m{i}.py": f"import m{i}" for i in range(300)} | {"c.c": "x\n" * 100, "notes.txt": "no parser reads it"})
+    (tmp_path / "gone.py").symlink_to(tmp_path / "m1.py")
+    listing = tree.list_tree(spark, str(tmp_path), "demo")
+    assert listing.rdd.getNumPartitions() == 1
+    (tmp_path / "gone.py").unlink()
+    files = tree.with_texts(listing, str(tmp_path))
+    assert files.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    texts = {r.path: r.text for r in files.collect()}
+    assert len(texts) == 302 and texts["m7.py"] == "import m7" and texts["c.c"] == "x\n" * 50 and texts["notes.txt"] is None
+
+
 LOCK = {"lockfileVersion": 1, "dependencies": {"a": {"version": "1", "dev": True, "dependencies": {"b": {"version": "2", "dependencies": {"c": {}}}}}, "d": {"version": "3"}}}
 
 
