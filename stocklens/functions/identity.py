@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schema import contains_any, version_known
 
+#: Parts of URLs that aren't repositories, ecosystems with their package-URL types, and suppliers by ecosystem.
 ARCHIVE_PARTS = ["/releases/download/", "/archive/", "/download/"]
 ARCHIVE_ENDS = [".tar.gz", ".tgz", ".zip", ".tar.bz2", ".tar.xz"]
 PAGE_PARTS = ["/tree/", "/blob/", "/raw/", "/commit/", "/commits/", "/issues/", "/pull/", "/pulls/", "/merge_requests/", "/compare/", "/releases/", "/tags/"]
@@ -63,13 +64,6 @@ def huggingface_parts(url: Column) -> Column:
     return F.when(ok, F.struct(F.get(parts, F.lit(0)).alias("namespace"), F.get(parts, F.lit(1)).alias("name")))
 
 
-def huggingface_url(name: Column, hint: Column) -> Column:
-    """The page of a model: the tokenizer's hint if it names one, else the model's own org/name."""
-    model = r"^[A-Za-z0-9._-]+/[A-Za-z0-9._-]+$"
-    page = lambda c: F.concat(F.lit("https://huggingface.co/"), c)
-    return F.when(hint.rlike(model), page(hint)).when(name.rlike(model), page(name))
-
-
 def _with_version(base: Column, version: Column, suffix: str = "") -> Column:
     return F.concat(base, F.when(version_known(version), F.concat(F.lit("@"), version)).otherwise(""), F.lit(suffix))
 

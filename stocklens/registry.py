@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import registry_branches
+from . import registry_branches, registry_files
 from .functions import dictionaries, identity
 from .operators import classify, graph, reconcile, stats
 from .plans.tables import stored
@@ -352,7 +352,7 @@ QUERIES = {
     "graph_tree": lambda s, d: graph.tree_lines(*unfolded(s, d)).select("root", F.concat_ws(">", "path").alias("path"), "depth", "line"),
     "graph_chains": graph_chains,
 }
-QUERIES |= registry_branches.QUERIES
+QUERIES |= registry_branches.QUERIES | registry_files.QUERIES
 _scoped_cols = ", ".join(SCOPED)
 _counts = ", ".join(f"count(*) filter (scope = '{s}') as {s.lower()}_count" for s in stats.SCOPES)
 ORACLES = {
@@ -388,4 +388,4 @@ ORACLES = {
     "graph_tree": f"{UNFOLD_SQL}, below as (select parent, count(*) as n from resolved group by parent) select root, array_to_string(path, '>') as path, depth, repeat('  ', depth) || node || case when cyclic then ' (cycle)' when depth = 5 and n > 0 then ' (' || n || ' more)' else '' end as line from tree left join below on parent = node",
     "graph_chains": f"{CHAINS_SQL} select id as target, coalesce(array_to_string(path, ' -> '), id) as chain from nodes left join tree on node = id and not cyclic",
 }
-ORACLES |= registry_branches.ORACLES
+ORACLES |= registry_branches.ORACLES | registry_files.ORACLES

@@ -455,9 +455,13 @@ def conan_lock(files):
 
 
 def conanfile_txt(files):
-    found = each(files, r"(?s)\[(requires|build_requires|tool_requires|test_requires)\]([^\[]*(?:\[[^\]\n]*\][^\[\n]*\n?[^\[]*)*?)(?=\n\[|\z)", "section", "body")
-    lines = found.select("project", "path", "section", F.explode(F.split("body", r"\r?\n")).alias("line")).where("trim(line) <> '' and not ltrim(line) like '#%'")
-    return conan_row(lines, "line", "conanfile.txt", is_dev=F.col("section") != "requires")
+    """References line by line, each under the section header before it; a header is a name alone in brackets, so that version ranges are none."""
+    lines = files.select("project", "path", F.posexplode(F.split("text", r"\r?\n")).alias("ordinal", "line")).withColumn("line", F.trim("line"))
+    header = F.nullif(F.regexp_extract("line", r"^\[([A-Za-z_]+)\]$", 1), F.lit(""))
+    above = Window.partitionBy("project", "path").orderBy("ordinal")
+    held = lines.withColumns({"header": header, "section": F.last(header, ignorenulls=True).over(above)})
+    rows = held.where(F.col("header").isNull() & F.col("section").isin("requires", "build_requires", "tool_requires", "test_requires") & (F.col("line") != "") & ~F.col("line").startswith("#"))
+    return conan_row(rows, "line", "conanfile.txt", is_dev=F.col("section") != "requires")
 
 
 def conanfile_py(files):
@@ -505,7 +509,7 @@ def gitmodules(files, depth: int = SUBMODULE_DEPTH):
         level = listed.join(above, ["project", "dir"]).select(*listed.columns, "held_by", "seen")
         levels.append(level)
     rows = union(*levels)
-    repo = git_parts(F.col("url"))
+    repo = F.get(F.transform(F.array("url"), git_parts), F.lit(0))  # bound once, as filters on the name would copy all of it
     named = F.coalesce(F.concat_ws("/", F.nullif(repo["owner"], F.lit("")), repo["repo"]), F.col("sub_name"))
     source = F.concat(source_info(F.lit("git submodule"), F.col("path")), "held_by")
     return emit(rows, "git submodule", "git-submodule", name=F.when(repo["repo"].isNotNull(), named).otherwise(F.col("sub_name")), version=F.lit("uninitialized"), repository_url=F.col("url"), source_file=source)
@@ -794,12 +798,20 @@ SILENCED = [r"pyproject\.toml", "Pipfile", r"conanfile\.txt", r"conanfile\.py",
 SILENCING = [r"poetry\.lock", r"Pipfile\.lock", r"conan\.lock", r"configure\.(?:ac|in)", r"Makefile\.am"]
 
 
+#: Names that a pattern of several names stands for; all others are one name, or one suffix after '.*'.
+NAMES = {r"build\.gradle(?:\.kts)?": ["build.gradle", "build.gradle.kts"], r"CMakeLists\.txt|.*\.cmake": ["CMakeLists.txt"], r"configure\.(?:ac|in)": ["configure.ac", "configure.in"], "[Mm]akefile": ["Makefile", "makefile"], r"WORKSPACE(?:\.bazel)?": ["WORKSPACE", "WORKSPACE.bazel"]}
+
+
 def kind_of(path: Column) -> Column:
-    """The pattern in PARSERS or SOURCES that a file's name fits, else null; each file has one."""
-    name, out = name_of(path), F.lit(None).cast("string")
-    for pattern in reversed([*PARSERS, *SOURCES]):
-        out = F.when(name.rlike(f"^(?:{pattern})$"), pattern).otherwise(out)
-    return out
+    """The pattern in PARSERS or SOURCES that a file's name fits, else null; each file has one. Whole names are looked up, so that only suffixes are tried as patterns."""
+    patterns = [*PARSERS, *SOURCES]
+    known = {name: p for p in patterns for name in NAMES.get(p, [] if p.startswith(".*") else [p.replace("\\", "")])}
+    table = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
+    out = F.lit(None).cast("string")
+    for p in patterns:
+        if ".*" in p:
+            out = F.when(path.rlike(f"(?:^|/)[^/]*{p.rpartition('.*')[2]}$"), p).otherwise(out)
+    return F.coalesce(F.try_element_at(table, name_of(path)), out)
 
 
 @F.pandas_udf(StringType())

@@ -163,7 +163,8 @@ class TreeSource(DataSource):
 def list_tree(spark: SparkSession, root: str, project: str | None = None, vendor: str = "include", excludes: list[str] = (), installed: bool = False, companions: bool = True) -> DataFrame:
     """The files and directories below root, without texts. vendor, excludes, installed and companions: see TreeReader and filter_entries()."""
     spark.dataSource.register(TreeSource)
-    options = {"project": project, "vendor": vendor, "excludes": ",".join(excludes), "installed": str(installed).lower(), "companions": str(companions).lower()}
+    parts = max(PARTITIONS // 4, 2 * spark.sparkContext.defaultParallelism)
+    options = {"partitions": str(parts), "project": project, "vendor": vendor, "excludes": ",".join(excludes), "installed": str(installed).lower(), "companions": str(companions).lower()}
     return spark.read.format("tree").options(**{k: v for k, v in options.items() if v}).load(root)
 
 
