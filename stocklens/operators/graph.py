@@ -81,6 +81,26 @@ def unfold_all(roots: DataFrame, resolved: DataFrame) -> DataFrame:
     return spark.read.schema(schema.add("depth", IntegerType())).parquet(path).select("root", "node", "depth", "path", "cyclic")
 
 
+def reaching(targets: DataFrame, resolved: DataFrame) -> DataFrame:
+    """(node) of the targets and of every node that a target can be reached from: parents are joined level by level until no new one is found, so that the work is that of the targets' ancestors."""
+    up = stored(resolved.select("parent", "child"))
+    level = stored(targets.select(F.col("target").alias("node")).distinct())
+    known = level
+    while not level.isEmpty():
+        above = level.join(up, level["node"] == up["child"]).select(F.col("parent").alias("node")).distinct()
+        level = stored(above.join(known, "node", "left_anti"))
+        known = known.unionByName(level)
+    return known
+
+
+def chains_to(targets: DataFrame, roots: DataFrame, resolved: DataFrame) -> DataFrame:
+    """chains() of the targets asked for, over their ancestors only: no path is begun or continued that can't end in a target."""
+    near = stored(reaching(targets, resolved))
+    inside = lambda rows, column: rows.join(near.select(F.col("node").alias(column)), column, "left_semi")
+    paths = unfold_all(inside(roots, "root"), inside(inside(resolved.select("parent", "child"), "parent"), "child"))
+    return chains(targets, paths)
+
+
 def tree_lines(unfolded: DataFrame, resolved: DataFrame, depth: int = MAX_DEPTH, within=()) -> DataFrame:
     """Indented lines of the tree with the path that orders them; a node cut off by depth tells how many children it has."""
     below = resolved.groupBy(*within, F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("children"))

@@ -1,22 +1,21 @@
-"""Bills of materials: SPDX 2.3 as JSON and tag-value, CycloneDX 1.5, and a Markdown report.
+"""Bills of materials: SPDX 2.3 as JSON and tag-value, and CycloneDX 1.5, each also for ROS packages.
 
-Every document is one row per project, (project, document), made by grouping; a project's rows are gathered only into its own document. Ids
-come from content, so that a scan of the same files gives the same documents; the time is given by the caller.
+Documents are made of fragments (documents.py), a row for each package, component and relationship, so that a project of any size is written
+by many tasks. Functions named after a format give (project, document) with each document as one string. Ids come from content, so that
+a scan of the same files gives the same documents; the time is given by the caller.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import identity, models
 from ..functions.dictionaries import is_known_spdx
-from ..operators import graph, stats
 from ..operators.reconcile import lookup
-from ..operators.stats import SCOPES
 from ..schema import version_known
+from . import report
+from .documents import assembled, fragment, together, write_files
 
 NONE = "NOASSERTION"
 TOOL = "stocklens"
@@ -27,8 +26,10 @@ def _or_none(c: Column) -> Column:
     return F.coalesce(F.nullif(c, F.lit("")), F.lit(NONE))
 
 
-def _id() -> Column:
-    return F.concat(F.lit("SPDXRef-Package-"), identity.spdx_id(F.concat_ws("-", "ecosystem", "name", "version")))
+def _id(kind: str = "Package") -> Column:
+    """An SPDX id of a component: readable, and with a hash of the raw key, since names that differ may become one in SPDX's letters."""
+    raw = F.concat_ws("-", "ecosystem", "name", "version")
+    return F.concat(F.lit(f"SPDXRef-{kind}-"), identity.spdx_id(raw), F.lit("-"), F.substring(F.sha2(F.concat_ws("\n", "ecosystem", "name", "version"), 256), 1, 8))
 
 
 def _full(c: Column) -> Column:
@@ -117,19 +118,31 @@ def _relation(a: Column, kind: str, b: Column) -> Column:
     return F.struct(a.alias("spdxElementId"), F.lit(kind).alias("relationshipType"), b.alias("relatedSpdxElement"))
 
 
-def _spdx_document(created: str, packages: Column, described: Column, relations: Column) -> Column:
-    document = F.struct(
-        F.lit("SPDX-2.3").alias("spdxVersion"),
-        F.lit("CC0-1.0").alias("dataLicense"),
-        F.lit("SPDXRef-DOCUMENT").alias("SPDXID"),
-        F.col("project").alias("name"),
-        F.concat(F.lit("https://spdx.org/spdxdocs/"), identity.spdx_id(F.col("project")), F.lit("-"), F.substring(F.sha2(F.to_json(packages), 256), 1, 32)).alias("documentNamespace"),
-        F.struct(F.lit(created).alias("created"), F.array(F.lit(f"Tool: {TOOL}")).alias("creators"), F.lit(LICENSE_LIST).alias("licenseListVersion")).alias("creationInfo"),
-        described.alias("documentDescribes"),
-        packages.alias("packages"),
-        relations.alias("relationships"),
+def _content(rows: DataFrame, text: Column) -> DataFrame:
+    """(project, content): a hash of a project's texts, whatever their order."""
+    number = F.xxhash64(text)
+    digest = F.concat_ws("-", F.count(F.lit(1)).cast("string"), F.sum(number.cast("decimal(38,0)")).cast("string"), F.bit_xor(number).cast("string"))
+    return rows.groupBy("project").agg(F.sha2(digest, 256).alias("content"))
+
+
+def _open(document: Column) -> Column:
+    """The JSON of a struct without its closing brace."""
+    text = F.to_json(document)
+    return F.substring(text, F.lit(1), F.length(text) - 1)
+
+
+def _spdx_head(created: str, *more: Column) -> Column:
+    return _open(
+        F.struct(
+            F.lit("SPDX-2.3").alias("spdxVersion"),
+            F.lit("CC0-1.0").alias("dataLicense"),
+            F.lit("SPDXRef-DOCUMENT").alias("SPDXID"),
+            F.col("project").alias("name"),
+            F.concat(F.lit("https://spdx.org/spdxdocs/"), identity.spdx_id(F.col("project")), F.lit("-"), F.substring("content", 1, 32)).alias("documentNamespace"),
+            F.struct(F.lit(created).alias("created"), F.array(F.lit(f"Tool: {TOOL}")).alias("creators"), F.lit(LICENSE_LIST).alias("licenseListVersion")).alias("creationInfo"),
+            *more,
+        )
     )
-    return F.to_json(document)
 
 
 def _main_id() -> Column:
@@ -137,37 +150,72 @@ def _main_id() -> Column:
     return F.concat(F.lit("SPDXRef-Package-root-"), F.when(safe == "", "package").otherwise(safe))
 
 
+COMMA = ","
+
+
+def spdx_fragments(components: DataFrame, created: str, suppliers: DataFrame | None = None) -> DataFrame:
+    """The document describes one package, the project, which contains each component; models contain their parts. created is an RFC 3339 time in UTC."""
+    rows = spdx_packages(components, suppliers)
+    every = rows.select("project", F.explode(F.concat(F.array("package"), "parts")).alias("p"))
+    heads = _content(every, F.to_json("p"))
+    main, document = _main_id(), F.lit("SPDXRef-DOCUMENT")
+    head = F.concat(_spdx_head(created, F.array(main).alias("documentDescribes")), F.lit(',"packages":['), F.to_json(_package(main, F.col("project"))))
+    contains = F.concat(F.array(_relation(main, "CONTAINS", F.col("package.SPDXID"))), F.transform("parts", lambda p: _relation(F.col("package.SPDXID"), "CONTAINS", p["SPDXID"])))
+    links = rows.select("project", F.explode(contains).alias("r"))
+    return together(
+        fragment(heads, 0, head),
+        fragment(every, 1, F.concat(F.lit(","), F.to_json("p")), F.concat_ws("\n", "p.name", "p.SPDXID")),
+        fragment(heads, 2, F.concat(F.lit('],"relationships":['), F.to_json(_relation(document, "DESCRIBES", main)))),
+        fragment(links, 3, F.concat(F.lit(","), F.to_json("r")), F.concat_ws("\n", "r.spdxElementId", "r.relatedSpdxElement")),
+        fragment(heads, 4, F.lit("]}")),
+    )
+
+
 def spdx(components: DataFrame, created: str, suppliers: DataFrame | None = None) -> DataFrame:
-    """(project, document): SPDX 2.3 JSON. The document describes one package, the project, which contains each component; models contain their parts. created is an RFC 3339 time in UTC."""
-    grouped = spdx_packages(components, suppliers).groupBy("project").agg(F.array_sort(F.collect_list(F.struct("package", "parts"))).alias("all"))
-    document, main = F.lit("SPDXRef-DOCUMENT"), _main_id()
-    packages = F.concat(F.array(_package(main, F.col("project"))), F.flatten(F.transform("all", lambda x: F.concat(F.array(x["package"]), x["parts"]))))
-    below = lambda x: F.concat(F.array(_relation(main, "CONTAINS", x["package"]["SPDXID"])), F.transform(x["parts"], lambda p: _relation(x["package"]["SPDXID"], "CONTAINS", p["SPDXID"])))
-    relations = F.concat(F.array(_relation(document, "DESCRIBES", main)), F.flatten(F.transform("all", below)))
-    return grouped.select("project", _spdx_document(created, packages, F.array(main), relations).alias("document"))
+    return assembled(spdx_fragments(components, created, suppliers))
 
 
-def spdx_ros(packages: DataFrame, created: str) -> DataFrame:
-    """(project, document): SPDX of ROS packages (manifests.ros_packages): each is described and depends on what it names; a dependency that several share is one package."""
-    keyed = packages.withColumn("_pkg", F.concat(F.lit("SPDXRef-ROSPackage-"), identity.spdx_id(F.concat_ws("-", "package", "version", "source_path"))))
+def _shared(packages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of ROS packages with _pkg, what they use: a row for each use, and one for each (name, version, ecosystem), which is for development only if all its uses are."""
+    used = packages.select("project", "_pkg", F.explode("dependencies").alias("d"))
+    uses = used.select(F.col("project").alias("_project"), "_pkg", "d.*").drop("project").withColumnRenamed("_project", "project").withColumn("autosar_supplier", F.lit(None).cast("string"))
+    columns = [c for c in uses.columns if c not in ("_pkg", "project", "name", "version", "ecosystem", "is_dev")]
+    first = F.min_by(F.struct(*columns), F.struct("is_dev", "source_path", "ordinal"))
+    one = uses.groupBy("project", "name", "version", "ecosystem").agg(F.bool_and("is_dev").alias("is_dev"), first.alias("_one"))
+    return uses, one.select("project", "name", "version", "ecosystem", "is_dev", *(F.col(f"_one.{c}").alias(c) for c in columns))
+
+
+def spdx_ros_fragments(packages: DataFrame, created: str) -> DataFrame:
+    """ROS packages (manifests.ros_packages): each is described and depends on what it names; a dependency that several share is one package."""
+    raw = F.concat_ws("-", "package", "version", "source_path")
+    keyed = packages.withColumn("_pkg", F.concat(F.lit("SPDXRef-ROSPackage-"), identity.spdx_id(raw), F.lit("-"), F.substring(F.sha2(raw, 256), 1, 8)))
     locator = F.concat(F.lit("pkg:ros/"), "package", F.lit("@"), "version")
     purl = F.array(F.struct(F.lit("PACKAGE-MANAGER").alias("referenceCategory"), F.lit("purl").alias("referenceType"), locator.alias("referenceLocator")))
-    own = keyed.select("project", _package(F.col("_pkg"), F.col("package"), version=F.col("version"), purpose=F.lit("LIBRARY"), refs=purl).alias("package"))
-    used = keyed.select("project", "_pkg", F.explode("dependencies").alias("d")).select("_pkg", "d.*").withColumn("autosar_supplier", F.lit(None).cast("string"))
-    dep_id = F.concat(F.lit("SPDXRef-Dep-"), identity.spdx_id(F.concat_ws("-", "ecosystem", "name", "version")))
-    shared = used.select("project", _component_package(dep_id).alias("package"), dep_id.alias("_dep")).dropDuplicates(["project", "_dep"]).drop("_dep")
-    every = own.unionByName(shared).groupBy("project").agg(F.array_sort(F.collect_list("package")).alias("packages"))
-    links = used.select("project", _relation(F.col("_pkg"), "DEPENDS_ON", dep_id).alias("r")).groupBy("project").agg(F.array_sort(F.collect_set("r")).alias("links"))
-    described = own.groupBy("project").agg(F.array_sort(F.collect_list("package.SPDXID")).alias("described"))
-    joined = every.join(described, "project").join(links, "project", "left")
-    first = F.transform("described", lambda d: _relation(F.lit("SPDXRef-DOCUMENT"), "DESCRIBES", d))
-    relations = F.concat(first, F.coalesce("links", F.slice(first, F.lit(1), F.lit(0))))
-    return joined.select("project", _spdx_document(created, F.col("packages"), F.col("described"), relations).alias("document"))
+    own = keyed.select("project", _package(F.col("_pkg"), F.col("package"), version=F.col("version"), purpose=F.lit("LIBRARY"), refs=purl).alias("p"))
+    uses, shared = _shared(keyed)
+    every = own.unionByName(shared.select("project", _component_package(_id("Dep")).alias("p")))
+    links = uses.select("project", _relation(F.col("_pkg"), "DEPENDS_ON", _id("Dep")).alias("r")).distinct()
+    heads, document = _content(every, F.to_json("p")), F.lit("SPDXRef-DOCUMENT")
+    place = F.concat_ws("\n", "p.name", "p.SPDXID")
+    return together(
+        fragment(heads, 0, F.concat(_spdx_head(created), F.lit(',"documentDescribes":['))),
+        fragment(own, 1, F.concat(F.lit('"'), "p.SPDXID", F.lit('"')), place, COMMA),
+        fragment(heads, 2, F.lit('],"packages":[')),
+        fragment(every, 3, F.to_json("p"), place, COMMA),
+        fragment(heads, 4, F.lit('],"relationships":[')),
+        fragment(own.select("project", "p", _relation(document, "DESCRIBES", F.col("p.SPDXID")).alias("r")), 5, F.to_json("r"), F.concat(F.lit("0"), place), COMMA),
+        fragment(links, 5, F.to_json("r"), F.concat_ws("\n", F.lit("1"), "r.spdxElementId", "r.relatedSpdxElement"), COMMA),
+        fragment(heads, 6, F.lit("]}")),
+    )
 
 
-def spdx_tag_value(components: DataFrame, created: str, suppliers: DataFrame | None = None) -> DataFrame:
-    """(project, document): the SPDX tag-value form."""
-    line = lambda tag, value: F.concat(F.lit(f"{tag}: "), value)  # noqa: E731  null values leave their line out
+def spdx_ros(packages: DataFrame, created: str) -> DataFrame:
+    return assembled(spdx_ros_fragments(packages, created))
+
+
+def spdx_tag_value_fragments(components: DataFrame, created: str, suppliers: DataFrame | None = None) -> DataFrame:
+    """The SPDX tag-value form; null values leave their line out."""
+    line = lambda tag, value: F.concat(F.lit(f"{tag}: "), value)
 
     def body(p):
         checksums = F.concat_ws("\n", F.transform(p["checksums"], lambda c: F.concat(F.lit("PackageChecksum: "), c["algorithm"], F.lit(": "), c["checksumValue"])))
@@ -177,24 +225,34 @@ def spdx_tag_value(components: DataFrame, created: str, suppliers: DataFrame | N
         parts = [*(line(t, p[f]) for t, f in fields), F.lit("FilesAnalyzed: false"), F.nullif(checksums, F.lit("")), *(line(t, p[f]) for t, f in more), F.nullif(refs, F.lit(""))]
         return F.concat_ws("\n", *parts)
 
-    grouped = spdx_packages(components, suppliers).groupBy("project").agg(F.array_sort(F.collect_list(F.struct("package", "parts"))).alias("all"))
-    packages = F.flatten(F.transform("all", lambda x: F.concat(F.array(x["package"]), x["parts"])))
+    rows = spdx_packages(components, suppliers)
+    every = rows.select("project", F.explode(F.concat(F.array("package"), "parts")).alias("p"))
+    heads, main = rows.select("project").distinct(), _main_id()
     head = F.concat_ws("\n", F.lit("SPDXVersion: SPDX-2.3"), F.lit("DataLicense: CC0-1.0"), F.lit("SPDXID: SPDXRef-DOCUMENT"), line("DocumentName", F.col("project")), line("DocumentNamespace", F.concat(F.lit("https://spdx.org/spdxdocs/"), identity.spdx_id(F.col("project")))), F.lit(f"Creator: Tool: {TOOL}"), F.lit(f"Created: {created}"))
-    main = _main_id()
-    relations = F.concat(F.array(F.concat(F.lit("Relationship: SPDXRef-DOCUMENT DESCRIBES "), main)), F.transform("all", lambda x: F.concat(F.lit("Relationship: "), main, F.lit(" CONTAINS "), x["package"]["SPDXID"])))
-    document = F.concat(head, F.lit("\n\n"), body(_package(main, F.col("project"))), F.lit("\n\n"), F.array_join(F.transform(packages, body), "\n\n"), F.lit("\n\n"), F.array_join(relations, "\n"), F.lit("\n"))
-    return grouped.select("project", document.alias("document"))
+    return together(
+        fragment(heads, 0, F.concat(head, F.lit("\n\n"), body(_package(main, F.col("project"))))),
+        fragment(every, 1, F.concat(F.lit("\n\n"), body(F.col("p"))), F.concat_ws("\n", "p.name", "p.SPDXID")),
+        fragment(heads, 2, F.concat(F.lit("\n\nRelationship: SPDXRef-DOCUMENT DESCRIBES "), main)),
+        fragment(rows, 3, F.concat(F.lit("\nRelationship: "), main, F.lit(" CONTAINS "), F.col("package.SPDXID")), F.col("package.SPDXID")),
+        fragment(heads, 4, F.lit("\n")),
+    )
+
+
+def spdx_tag_value(components: DataFrame, created: str, suppliers: DataFrame | None = None) -> DataFrame:
+    return assembled(spdx_tag_value_fragments(components, created, suppliers))
 
 
 #: Properties of a model in a CycloneDX component: the fields of the AI struct that have one, lists joined by commas.
 MODEL_PROPERTIES = ["architecture", "model_type", "quantization", "parameter_count", "computed_parameter_count", "size_label", "tensor_count", "shard_count", "total_size_bytes", "safetensors_format", "torch_dtype", "transformers_version", "vocab_size", "num_hidden_layers", "hidden_size", "num_attention_heads", "context_length", "model_max_length", "finetune", "model_name", "pipeline_tag", "quantized_by", "prompt_template", "adapter_type", "has_vision", "has_audio", "has_video", "is_adapter", "hash_skipped"]
 
 
-def cyclonedx(components: DataFrame, created: str, suppliers: DataFrame | None = None) -> DataFrame:
-    """(project, document): CycloneDX 1.5 JSON. The root depends on every component; components have no links of their own, but models hold their parts and a model card."""
-    components = with_suppliers(components, suppliers)
+def _bom_ref() -> Column:
+    return F.concat_ws("@", F.concat_ws(":", "ecosystem", "name"), "version")
+
+
+def _cyclonedx_component() -> Column:
+    """The CycloneDX component of a component row with autosar_supplier; models hold their parts and a model card."""
     known = version_known(F.col("version"))
-    ref = F.concat_ws("@", F.concat_ws(":", "ecosystem", "name"), "version")
     digest = lambda algorithm, value: F.when(value.isNotNull(), F.struct(F.lit(algorithm).alias("alg"), value.alias("content")))
     given = is_known_spdx(F.col("license"))
     one = F.struct(F.struct(F.when(given, F.col("license")).alias("id"), F.when(~given, F.col("license")).alias("name")).alias("license"))
@@ -205,11 +263,12 @@ def cyclonedx(components: DataFrame, created: str, suppliers: DataFrame | None =
     bases = F.transform("ai.base_models", lambda b, i: F.struct(F.concat(F.lit(f"{TOOL}:ai:base_model."), i.cast("string")).alias("name"), F.coalesce(b["name"], b["repo_url"], b["url"]).alias("value")))
     warnings = F.transform(models.integrity_warnings(ai), lambda w: F.struct(F.lit(f"{TOOL}:ai:integrity_warning").alias("name"), w.alias("value")))
     model = F.when(ai.isNotNull(), F.concat(F.array_compact(F.array(*told)), F.coalesce(bases, F.slice(warnings, 1, 0)), warnings))
-    parts = F.transform("ai.sub_models", lambda s: F.struct(F.lit("machine-learning-model").alias("type"), F.concat(ref, F.lit("#"), s["modality"]).alias("bom-ref"), F.coalesce(s["model_type"], s["modality"]).alias("name"), _sub_info(s).alias("description")))
-    parameters = F.struct(F.col("ai.pipeline_tag").alias("task"), F.col("ai.model_type").alias("architectureFamily"), F.col("ai.architecture").alias("modelArchitecture"))
+    parts = F.transform("ai.sub_models", lambda s: F.struct(F.lit("machine-learning-model").alias("type"), F.concat(_bom_ref(), F.lit("#"), s["modality"]).alias("bom-ref"), F.coalesce(s["model_type"], s["modality"]).alias("name"), _sub_info(s).alias("description")))
+    datasets = F.transform("ai.datasets", lambda d: F.struct(F.lit("dataset").alias("type"), d.alias("name")))
+    parameters = F.struct(F.col("ai.pipeline_tag").alias("task"), F.col("ai.model_type").alias("architectureFamily"), F.col("ai.architecture").alias("modelArchitecture"), _full(datasets).alias("datasets"))
     component = F.struct(
         F.when(F.col("ai").isNotNull(), "machine-learning-model").otherwise("library").alias("type"),
-        ref.alias("bom-ref"),
+        _bom_ref().alias("bom-ref"),
         F.col("name"),
         F.when(known, F.col("version")).alias("version"),
         F.when(F.col("scope").isin("Runtime", "Provided"), "required").otherwise("optional").alias("scope"),
@@ -222,91 +281,97 @@ def cyclonedx(components: DataFrame, created: str, suppliers: DataFrame | None =
         _full(parts).alias("components"),
         F.array_compact(F.array(prop("ecosystem", F.col("ecosystem")), prop("scope", F.col("scope")), prop("source", F.col("source_file")), prop("is_dev", F.col("is_dev").cast("string")), prop("is_direct", F.col("is_direct").cast("string")), prop("autosar:supplier", F.col("autosar_supplier")))).alias("properties"),
     )
-    component = component.withField("properties", F.concat(component["properties"], F.coalesce(model, F.slice(component["properties"], 1, 0))))
-    grouped = components.select(F.coalesce("project", F.lit("project")).alias("project"), component.alias("c")).groupBy("project").agg(F.array_sort(F.collect_list(F.struct(F.col("c.name").alias("k"), F.to_json("c").alias("j"), F.col("c").getField("bom-ref").alias("r"), "c"))).alias("all"))
-    digest_all = F.sha2(F.to_json(F.col("all.r")), 256)
-    part = lambda a, n: F.substring(digest_all, a, n)
+    return component.withField("properties", F.concat(component["properties"], F.coalesce(model, F.slice(component["properties"], 1, 0))))
+
+
+def _cyclonedx_head(created: str) -> Column:
+    part = lambda a, n: F.substring("content", a, n)
     serial = F.concat(F.lit("urn:uuid:"), F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("4"), part(14, 3)), F.concat(F.lit("a"), part(18, 3)), part(21, 12)))
-    root = F.concat(F.lit("root:"), F.col("project"))
-    document = F.struct(
-        F.lit("CycloneDX").alias("bomFormat"),
-        F.lit("1.5").alias("specVersion"),
-        serial.alias("serialNumber"),
-        F.lit(1).alias("version"),
-        F.struct(F.lit(created).alias("timestamp"), F.array(F.struct(F.lit(TOOL).alias("name"))).alias("tools"), F.struct(F.lit("application").alias("type"), root.alias("bom-ref"), F.col("project").alias("name")).alias("component")).alias("metadata"),
-        F.col("all.c").alias("components"),
-        F.array(F.struct(root.alias("ref"), F.col("all.r").alias("dependsOn"))).alias("dependencies"),
+    root = F.struct(F.lit("application").alias("type"), _root().alias("bom-ref"), F.col("project").alias("name"))
+    metadata = F.struct(F.lit(created).alias("timestamp"), F.array(F.struct(F.lit(TOOL).alias("name"))).alias("tools"), root.alias("component"))
+    head = F.struct(F.lit("CycloneDX").alias("bomFormat"), F.lit("1.5").alias("specVersion"), serial.alias("serialNumber"), F.lit(1).alias("version"), metadata.alias("metadata"))
+    return F.concat(_open(head), F.lit(',"components":['))
+
+
+def _root() -> Column:
+    return F.concat(F.lit("root:"), F.col("project"))
+
+
+def _text(value: Column) -> Column:
+    """A string as JSON."""
+    pair = F.to_json(F.struct(value.alias("v")))
+    return F.substring(pair, F.lit(6), F.length(pair) - 6)
+
+
+def cyclonedx_fragments(components: DataFrame, created: str, suppliers: DataFrame | None = None) -> DataFrame:
+    """The root depends on every component; components have no links of their own."""
+    rows = with_suppliers(components, suppliers).withColumn("project", F.coalesce("project", F.lit("project")))
+    rows = rows.select("project", "name", _bom_ref().alias("_ref"), F.to_json(_cyclonedx_component()).alias("_json"))
+    heads, place = _content(rows, F.col("_ref")), F.concat_ws("\n", "name", "_ref")
+    return together(
+        fragment(heads, 0, _cyclonedx_head(created)),
+        fragment(rows, 1, F.col("_json"), place, COMMA),
+        fragment(heads, 2, F.concat(F.lit('],"dependencies":[{"ref":'), _text(_root()), F.lit(',"dependsOn":['))),
+        fragment(rows, 3, _text(F.col("_ref")), place, COMMA),
+        fragment(heads, 4, F.lit("]}]}")),
     )
-    return grouped.select("project", F.to_json(document).alias("document"))
 
 
-def markdown(components: DataFrame, created: str, summary_only: bool = False) -> DataFrame:
-    """(project, document): totals, scopes, ecosystems, and unless summary_only a table for each of the three lists."""
-    c = components.withColumn("project", F.coalesce("project", F.lit("project")))
-    direct = F.col("is_direct") & ~F.col("is_dev")
-    totals = c.groupBy("project").agg(F.concat_ws("\n", F.concat(F.lit("- Components: "), F.count(F.lit(1))), F.concat(F.lit("- Direct: "), F.count_if(direct)), F.concat(F.lit("- Transitive: "), F.count_if(~F.col("is_direct"))), F.concat(F.lit("- Development: "), F.count_if("is_dev")), *(F.concat(F.lit(f"- Scope {s}: "), F.count_if(F.col("scope") == s)) for s in SCOPES)).alias("totals"))
-    eco = c.groupBy("project", "ecosystem").agg(F.count(F.lit(1)).alias("n"), F.count_if(direct).alias("d"), F.count_if(~F.col("is_direct")).alias("t"))
-    eco = eco.select("project", F.struct("ecosystem", F.concat(F.lit("| "), F.concat_ws(" | ", "ecosystem", "n", "d", "t"), F.lit(" |")).alias("line")).alias("e")).groupBy("project").agg(F.array_join(F.array_sort(F.collect_list("e"))["line"], "\n").alias("ecosystems"))
-    parts = [F.concat(F.lit("# Bill of materials: "), F.col("project")), F.lit(f"Generated {created}"), F.lit("## Summary"), F.col("totals"), F.lit("## Ecosystems"), F.concat(F.lit("| Ecosystem | Total | Direct | Transitive |\n| --- | --- | --- | --- |\n"), F.col("ecosystems"))]
-    joined = totals.join(eco, "project")
-    if not summary_only:
-        group = F.when(~F.col("is_direct"), 3).when(F.col("is_dev"), 2).otherwise(1)
-        row = F.concat(F.lit("| "), F.concat_ws(" | ", "name", identity.version_info(F.col("version")), "ecosystem", "scope"), F.lit(" |"))
-        rows = c.select("project", F.struct(group.alias("g"), F.col("name").alias("n"), row.alias("line")).alias("r")).groupBy("project").agg(F.array_sort(F.collect_list("r")).alias("rows"))
-        joined = joined.join(rows, "project")
-        for g, title in ((1, "Direct"), (2, "Direct, development"), (3, "Transitive")):
-            own = F.expr(f"filter(rows, r -> r.g = {g})")
-            parts.append(F.when(F.size(own) > 0, F.concat(F.lit(f"## {title}\n\n| Name | Version | Ecosystem | Scope |\n| --- | --- | --- | --- |\n"), F.array_join(F.transform(own, lambda r: r["line"]), "\n"))))
-    return joined.select("project", F.concat(F.concat_ws("\n\n", *parts), F.lit("\n")).alias("document"))
+def cyclonedx(components: DataFrame, created: str, suppliers: DataFrame | None = None) -> DataFrame:
+    return assembled(cyclonedx_fragments(components, created, suppliers))
+
+
+def cyclonedx_ros_fragments(packages: DataFrame, created: str) -> DataFrame:
+    """ROS packages as applications that the root depends on, each with links to what it needs. A dependency that several share is one component, marked for development only where all its uses are."""
+    keyed = packages.withColumn("_pkg", F.concat(F.lit("ros-package:"), F.concat_ws("@", "package", "version"), F.lit("#"), "source_path"))
+    purl = F.concat(F.lit("pkg:ros/"), "package", F.lit("@"), "version")
+    own = keyed.select("project", F.col("_pkg").alias("_ref"), F.to_json(F.struct(F.lit("application").alias("type"), F.col("_pkg").alias("bom-ref"), F.col("package").alias("name"), "version", purl.alias("purl"))).alias("_json"))
+    uses, shared = _shared(keyed)
+    every = own.unionByName(shared.select("project", _bom_ref().alias("_ref"), F.to_json(_cyclonedx_component()).alias("_json")))
+    links = uses.select("project", "_pkg", _bom_ref().alias("_ref")).groupBy("project", "_pkg").agg(F.array_join(F.transform(F.array_sort(F.collect_set("_ref")), _text), ",").alias("_needs"))
+    linked = own.join(links.withColumnRenamed("_pkg", "_ref"), ["project", "_ref"], "left")
+    heads, ref = _content(every, F.col("_json")), F.col("_ref")
+    return together(
+        fragment(heads, 0, _cyclonedx_head(created)),
+        fragment(every, 1, F.col("_json"), ref, COMMA),
+        fragment(heads, 2, F.concat(F.lit('],"dependencies":[{"ref":'), _text(_root()), F.lit(',"dependsOn":['))),
+        fragment(own, 3, _text(ref), ref, COMMA),
+        fragment(heads, 4, F.lit("]}")),
+        fragment(linked, 5, F.concat(F.lit(',{"ref":'), _text(ref), F.lit(',"dependsOn":['), F.coalesce("_needs", F.lit("")), F.lit("]}")), ref),
+        fragment(heads, 6, F.lit("]}")),
+    )
 
 
-RULE = "=" * 51
+def cyclonedx_ros(packages: DataFrame, created: str) -> DataFrame:
+    return assembled(cyclonedx_ros_fragments(packages, created))
 
 
-def console(components: DataFrame, created: str, edges: DataFrame | None = None, style: str = "tree") -> DataFrame:
-    """(project, document): the summary, a section for each ecosystem, and an appendix with the trees of direct development rows and of rows that only others need.
+def markdown(components: DataFrame, created: str, summary_only: bool = False, edges: DataFrame | None = None, style: str = "tree") -> DataFrame:
+    """(project, document): the report in Markdown; of a large project better written by write()."""
+    return assembled(report.markdown_fragments(components, created, edges, style, summary_only))
 
-    style 'flat' lists the rows of an ecosystem; 'tree' shows direct rows that are no development ones with what they need, to graph.MAX_DEPTH
-    levels. edges (project, parent_id, child_name, ord) of a scan correct which rows are direct.
-    """
-    c = components.withColumn("project", F.coalesce("project", F.lit("project")))
-    if edges is None:
-        edges = c.limit(0).select("project", F.lit("").alias("parent_id"), F.lit("").alias("child_name"), F.lit(0).alias("ord"))
-    resolved = graph.resolve_edges(c, edges.withColumn("project", F.coalesce("project", F.lit("project"))), ("project",))
-    c = graph.correct_roots(c, resolved, ("project",)).withColumn("is_direct", F.col("is_direct_graph"))
-    direct, percent = F.col("is_direct") & ~F.col("is_dev"), lambda n: F.concat(F.round(100 * n / F.count(F.lit(1)), 0).cast("int").cast("string"), F.lit("%)"))
-    scopes = [F.concat(F.lit(f"  {s + ':':<16}"), F.count_if(F.col("scope") == s).cast("string"), F.lit(" ("), percent(F.count_if(F.col("scope") == s))) for s in SCOPES]
-    totals = F.concat(F.lit("Dependencies:     "), F.count(F.lit(1)).cast("string"), F.lit(" total ("), F.count_if(direct).cast("string"), F.lit(" direct, "), F.count_if(~F.col("is_direct")).cast("string"), F.lit(" transitive, "), F.count_if("is_dev").cast("string"), F.lit(" dev)"))
-    every = F.array_sort(F.collect_set("ecosystem"))
-    ecosystems = F.concat(F.lit("Ecosystems:       "), F.size(every).cast("string"), F.lit(" ("), F.array_join(every, ", "), F.lit(")"))
-    mean = F.concat(F.lit("  Avg Confidence: "), F.format_number(100 * F.avg("scope_confidence"), 1), F.lit("%"))
-    head = [F.lit(RULE), F.lit("SBOM SUMMARY"), F.lit(RULE), F.concat(F.lit("Project:          "), F.first("project")), F.lit(f"Generated At:     {created}"), totals, ecosystems, F.lit("Dependency Scopes:"), *scopes, mean]
-    summary = c.groupBy("project").agg(F.array(*head).alias("lines")).select("project", F.lit(0).alias("part"), F.lit("").alias("ecosystem"), F.lit(0).alias("block"), F.posexplode("lines").alias("n", "line"))
-    place = lambda part, block, rows, order: rows.select("project", F.lit(part).alias("part"), "ecosystem", F.lit(block).alias("block"), order.alias("n"), "line")
-    zero = F.lit(0)
-    titles = c.groupBy("project", "ecosystem").agg(F.concat(F.upper("ecosystem"), F.lit(" ("), F.count(F.lit(1)).cast("string"), F.lit(" packages)")).alias("line"))
-    counted = stats.ecosystem_counts(c, "stdout", ("project",)).withColumn("line", F.concat_ws(", ", F.concat("direct", F.lit(" direct")), F.concat("transitive", F.lit(" transitive")), F.concat("dev", F.lit(" dev"))))
-    listed = c.withColumn("line", F.concat(F.lit("  "), "name", F.lit(" @ "), "version", F.when(F.col("is_dev"), " [dev]").otherwise("")))
-    flat = listed.withColumn("n", F.row_number().over(Window.partitionBy("project", "ecosystem").orderBy("name", "version")))
-    blocks = [summary, place(1, 0, titles, zero), place(1, 1, counted, zero), place(1, 2, flat, F.col("n"))]
-    if style != "flat":
-        nodes = graph.node_ids(c).select("project", "ecosystem", F.col("id").alias("root"), "is_direct", "is_dev").dropDuplicates(["project", "root"])
-        lines = graph.tree_lines(graph.unfold(nodes, resolved, within=("project",)), resolved, within=("project",)).join(nodes, ["project", "root"])
-        numbered = lines.withColumn("block", F.when(~F.col("is_direct"), 6).when(F.col("is_dev"), 4).otherwise(3))
-        numbered = numbered.withColumn("n", F.row_number().over(Window.partitionBy("project", "ecosystem", "block").orderBy("path")))
-        tree = numbered.select("project", F.when(F.col("block") == 3, 1).otherwise(2).alias("part"), "ecosystem", "block", "n", F.concat(F.lit("  "), "line").alias("line"))
-        sections = numbered.where("block > 3").select("project", "ecosystem", "block").distinct()
-        title = F.concat(F.upper("ecosystem"), F.when(F.col("block") == 4, ": Development Dependencies").otherwise(": Other Transitive Dependencies"))
-        blocks += [tree, sections.select("project", F.lit(2).alias("part"), "ecosystem", "block", zero.alias("n"), title.alias("line"))]
-    rows = reduce(DataFrame.unionByName, blocks)
-    made = rows.groupBy("project").agg(F.array_sort(F.collect_list(F.struct("part", "ecosystem", "block", "n", "line"))).alias("l"))
-    return made.select("project", F.concat(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\n")).alias("document"))
+
+def console(components: DataFrame, created: str, edges: DataFrame | None = None, style: str = "tree", summary_only: bool = False) -> DataFrame:
+    """(project, document): the report as plain text."""
+    return assembled(report.console_fragments(components, created, edges, style, summary_only))
 
 
 FORMATS = {"spdx": spdx, "spdx-tv": spdx_tag_value, "cyclonedx": cyclonedx, "markdown": markdown}
+#: Endings of the files of a project.
+ENDINGS = {"spdx": "_spdx.json", "spdx-tv": "_spdx.spdx", "cyclonedx": "_cyclonedx.json", "markdown": "_report.md"}
 
 
-def write(components: DataFrame, path: str, created: str, formats: list[str] | None = None) -> None:
-    """One folder of text documents per format below path, partitioned by project; all formats unless some are named."""
+def write(components: DataFrame, path: str, created: str, formats: list[str] | None = None, suppliers: DataFrame | None = None, edges: DataFrame | None = None, ros: DataFrame | None = None) -> None:
+    """Files <project>_spdx.json, _spdx.spdx, _cyclonedx.json and _report.md below path, which all executors see; all formats unless some are named.
+
+    Projects with ROS packages (ros) get the ROS form of SPDX JSON and CycloneDX, which lists those and what they need, instead of the flat one.
+    """
+    flat = components if ros is None else components.join(ros.select("project").distinct(), "project", "left_anti")
     for name in formats or FORMATS:
-        FORMATS[name](components, created).write.mode("overwrite").partitionBy("project").text(f"{path}/{name}")
+        if name == "spdx":
+            made = spdx_fragments(flat, created, suppliers) if ros is None else spdx_fragments(flat, created, suppliers).unionByName(spdx_ros_fragments(ros, created))
+        elif name == "cyclonedx":
+            made = cyclonedx_fragments(flat, created, suppliers) if ros is None else cyclonedx_fragments(flat, created, suppliers).unionByName(cyclonedx_ros_fragments(ros, created))
+        else:
+            made = spdx_tag_value_fragments(components, created, suppliers) if name == "spdx-tv" else report.markdown_fragments(components, created, edges)
+        write_files(made, path, ENDINGS[name])
