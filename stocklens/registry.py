@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import registry_branches, registry_files
+from . import registry_branches, registry_documents, registry_files
 from .functions import dictionaries, identity
 from .operators import classify, graph, reconcile, stats
 from .plans.tables import stored
@@ -165,6 +165,14 @@ def graph_chains(spark, sf_dir) -> DataFrame:
     return graph.chains(ids.select(F.col("id").alias("target")), paths).select("target", graph.chain_text("path").alias("chain"))
 
 
+def graph_chains_to(spark, sf_dir) -> DataFrame:
+    """Chains to every hundredth node."""
+    nodes, edges = graph_tables(spark, sf_dir)
+    ids = graph.node_ids(nodes)
+    targets, roots = ids.where("ordinal % 100 = 0").select(F.col("id").alias("target")), ids.where("is_direct").select(F.col("id").alias("root"))
+    return graph.chains_to(targets, roots, graph.resolve_edges(nodes, edges)).select("target", graph.chain_text("path").alias("chain"))
+
+
 UNFOLD_SQL = f"""with recursive {GRAPH_SQL},
 tree(root, node, depth, path, cyclic) as (
   select id, id, 0, [id], false from nodes where is_direct
@@ -351,8 +359,9 @@ QUERIES = {
     "graph_unfold": lambda s, d: unfolded(s, d)[0].select("root", "node", "depth", F.concat_ws(">", "path").alias("path"), "cyclic"),
     "graph_tree": lambda s, d: graph.tree_lines(*unfolded(s, d)).select("root", F.concat_ws(">", "path").alias("path"), "depth", "line"),
     "graph_chains": graph_chains,
+    "graph_chains_to": graph_chains_to,
 }
-QUERIES |= registry_branches.QUERIES | registry_files.QUERIES
+QUERIES |= registry_branches.QUERIES | registry_files.QUERIES | registry_documents.QUERIES
 _scoped_cols = ", ".join(SCOPED)
 _counts = ", ".join(f"count(*) filter (scope = '{s}') as {s.lower()}_count" for s in stats.SCOPES)
 ORACLES = {
@@ -387,5 +396,6 @@ ORACLES = {
     "graph_unfold": f"{UNFOLD_SQL} select root, node, depth, array_to_string(path, '>') as path, cyclic from tree",
     "graph_tree": f"{UNFOLD_SQL}, below as (select parent, count(*) as n from resolved group by parent) select root, array_to_string(path, '>') as path, depth, repeat('  ', depth) || node || case when cyclic then ' (cycle)' when depth = 5 and n > 0 then ' (' || n || ' more)' else '' end as line from tree left join below on parent = node",
     "graph_chains": f"{CHAINS_SQL} select id as target, coalesce(array_to_string(path, ' -> '), id) as chain from nodes left join tree on node = id and not cyclic",
+    "graph_chains_to": f"{CHAINS_SQL} select id as target, coalesce(array_to_string(path, ' -> '), id) as chain from nodes left join tree on node = id and not cyclic where k % 100 = 0",
 }
-ORACLES |= registry_branches.ORACLES | registry_files.ORACLES
+ORACLES |= registry_branches.ORACLES | registry_files.ORACLES | registry_documents.ORACLES

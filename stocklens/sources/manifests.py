@@ -101,6 +101,11 @@ def each(files: DataFrame, pattern: str, *names: str, text: Column | None = None
     return found.select("project", "path", "ordinal", "_m", *(F.regexp_extract("_m", pattern, i + 1).alias(n) for i, n in enumerate(names)))
 
 
+def distinct_names(files: DataFrame, names: Column, **more: Column) -> DataFrame:
+    """A row for each different name of an array, in the order of first places: no shuffle, as a file is one row."""
+    return files.select("project", "path", *(v.alias(n) for n, v in more.items()), F.posexplode(F.array_distinct(names)).alias("ordinal", "name"))
+
+
 def json_of(files: DataFrame, schema: str, toml: bool = False) -> DataFrame:
     text = toml_json("text") if toml else F.col("text")
     return files.select("project", "path", F.from_json(text, schema).alias("j")).where("j is not null")
@@ -112,7 +117,10 @@ def entries(rows: DataFrame, column: str, **more: Column) -> DataFrame:
 
 
 def union(*frames: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+    """All frames, two at a time: each step is analyzed anew, so that a chain of many would cost the square of their number."""
+    while len(frames) > 1:
+        frames = [frames[i].unionByName(frames[i + 1]) if i + 1 < len(frames) else frames[i] for i in range(0, len(frames), 2)]
+    return frames[0]
 
 
 
@@ -120,7 +128,8 @@ def package_json(files):
     sections = [("dependencies", False), ("devDependencies", True), ("peerDependencies", False), ("optionalDependencies", False)]
     j = json_of(files, ", ".join(f"{s} {M}" for s, _ in sections))
     direct = ~F.col("path").contains("node_modules")
-    return union(*(emit(entries(j, f"j.{s}"), "npm", "npm", name=F.col("k"), version=F.col("v"), is_dev=F.lit(dev), is_direct=direct, ordinal=F.lit(i)) for i, (s, dev) in enumerate(sections)))
+    rows = union(*(entries(j, f"j.{s}", is_dev=F.lit(dev), ordinal=F.lit(i)) for i, (s, dev) in enumerate(sections)))
+    return emit(rows, "npm", "npm", name=F.col("k"), version=F.col("v"), is_direct=direct)
 
 
 LOCKED = f"packages map<string, struct<version string, integrity string, dev boolean, license string, resolved string, dependencies {M}>>"
@@ -527,7 +536,7 @@ PKG_CALL = r"pkg-config\s+(?:--[\w-]+(?:=\S+)?\s+)*([A-Za-z0-9][\w.+-]*)"
 
 
 def flags(files, label, ecosystem):
-    return emit(first_of(each(files, FLAG, "name"), "path", "name"), label, ecosystem, license=library_license(F.col("name")))
+    return emit(distinct_names(files, F.regexp_extract_all("text", F.lit(FLAG), F.lit(1))), label, ecosystem, license=library_license(F.col("name")))
 
 
 def configure_ac(files):
@@ -547,7 +556,7 @@ def makefile_am(files):
 
 
 def makefile(files):
-    return union(flags(files, "Makefile", "system"), emit(first_of(each(files, PKG_CALL, "name"), "path", "name"), "Makefile", "pkg-config"))
+    return union(flags(files, "Makefile", "system"), emit(distinct_names(files, F.regexp_extract_all("text", F.lit(PKG_CALL), F.lit(1))), "Makefile", "pkg-config"))
 
 
 def pc_file(files):
@@ -748,28 +757,39 @@ MICRO = ["machine", "micropython", "utime", "ujson", "uos", "network", "esp", "e
 
 
 def imported(rows, label, ecosystem):
-    return emit(first_of(rows, "path", "name"), label, ecosystem, version=F.lit("detected"), source=F.lit("ImportScan"))
+    return emit(rows, label, ecosystem, version=F.lit("detected"), source=F.lit("ImportScan"))
+
+
+def without(names: Column, known: list[str]) -> Column:
+    return F.array_except(names, F.array(*map(F.lit, known)))
+
+
+PYTHON_IMPORT = r"(?m)^[ \t]*(?:import[ \t]+([A-Za-z_]\w*)(?=[\s,]|$)|from[ \t]+([A-Za-z_][\w.]*)[ \t]+import\b)"
 
 
 def python_imports(files):
-    found = each(files, r"(?m)^[ \t]*(?:import[ \t]+([A-Za-z_]\w*)(?=[\s,]|$)|from[ \t]+([A-Za-z_][\w.]*)[ \t]+import\b)", "a", "b")
-    rows = found.withColumn("name", python_root(F.coalesce(F.nullif(F.col("a"), F.lit("")), "b")))
-    micro = rows.groupBy("project", "path").agg(F.bool_or(F.col("name").isin(MICRO)).alias("micro"))
-    kept = rows.join(micro, ["project", "path"]).where(~F.col("name").isin([*STANDARD, *MICRO]))
-    return imported(kept, "Python import", F.when(F.col("micro"), "micropython").otherwise("pip"))
+    found = F.regexp_extract_all("text", F.lit(PYTHON_IMPORT), F.lit(0))
+    root = lambda m: python_root(F.coalesce(*(F.nullif(F.regexp_extract(m, PYTHON_IMPORT, i), F.lit("")) for i in (1, 2))))
+    named = files.select("project", "path", F.transform(found, root).alias("names"))
+    micro = F.arrays_overlap("names", F.array(*map(F.lit, MICRO)))
+    rows = distinct_names(named, without(F.col("names"), [*STANDARD, *MICRO]), micro=micro)
+    return imported(rows, "Python import", F.when(F.col("micro"), "micropython").otherwise("pip"))
+
+
+JS_IMPORT = r"""(?:\brequire\(\s*|\bfrom\s+|(?m:^)\s*import\s+)['"]([^'"\n]+)['"]"""
 
 
 def js_imports(files):
-    found = each(files, r"""(?:\brequire\(\s*|\bfrom\s+|(?m:^)\s*import\s+)['"]([^'"\n]+)['"]""", "module")
-    rows = found.where(~F.col("module").rlike(r"^[./]|^node:")).withColumn("name", js_root(F.col("module")))
-    return imported(rows.where(~F.col("name").isin(NODE)), "JavaScript import", "npm")
+    found = F.filter(F.regexp_extract_all("text", F.lit(JS_IMPORT), F.lit(1)), lambda m: ~m.rlike(r"^[./]|^node:"))
+    return imported(distinct_names(files, without(F.transform(found, js_root), NODE)), "JavaScript import", "npm")
 
 
 def go_imports(files):
-    blocks = each(files, r"(?sm)^import\s*\((.*?)\)", "body").select("project", "path", F.col("body").alias("text"))
-    rows = each(files, r'(?m)^import\s+(?:[\w.]+\s+)?"([^"]+)"', "name").unionByName(each(blocks, r'"([^"]+)"', "name"))
-    standard = ~F.split_part("name", F.lit("/"), F.lit(1)).contains(".") | F.col("name").startswith("golang.org/x/")
-    return imported(rows.where(~standard), "Go import", "go")
+    quoted = lambda c, pattern: F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
+    blocks = F.flatten(F.transform(quoted(F.col("text"), r"(?sm)^import\s*\((.*?)\)"), lambda b: quoted(b, '"([^"]+)"')))
+    names = F.concat(quoted(F.col("text"), r'(?m)^import\s+(?:[\w.]+\s+)?"([^"]+)"'), blocks)
+    foreign = F.filter(names, lambda n: F.split_part(n, F.lit("/"), F.lit(1)).contains(".") & ~n.startswith("golang.org/x/"))
+    return imported(distinct_names(files, foreign), "Go import", "go")
 
 
 #: Parsers by a pattern of the file's name; pom.xml has none, since it yields no rows.
@@ -860,10 +880,6 @@ def parse_errors(files: DataFrame, kinds: set[str] | None = None, counted: Obser
     return found.observe(counted, F.count(F.lit(1)).alias("errors")) if counted is not None else found
 
 
-def _parsed(pick: Callable[[str], DataFrame], table: dict, kinds: set[str], empty: DataFrame) -> DataFrame:
-    return union(empty, *(parse(pick(kind)) for kind, parse in table.items() if kind in kinds))
-
-
 def kinds_of(files: DataFrame) -> set[str]:
     """Kinds that there are: as many rows as patterns at most. Parsers of the others stay out of the plan."""
     return {r.kind for r in files.select("kind").distinct().collect()}
@@ -891,23 +907,25 @@ def components(files: DataFrame, imports: bool = True, arch: str | None = None,
         rows = (files if kind in EVERYWHERE else within).where(F.col("kind") == kind)
         return rows.join(silenced, ["project", "path"], "left_anti") if silenced is not None and kind in SILENCED else rows
 
-    empty = as_components(files.limit(0).select("project", F.lit("").alias("name"), F.lit("").alias("ecosystem")))
-    found = _parsed(pick, PARSERS | {r".*\.mk": partial(mk_file, arch=arch), r"\.gitmodules": partial(gitmodules, depth=depth)}, kinds, empty).unionByName(libraries)
-    if {r"package\.xml", r"setup\.py"} <= kinds:
-        found = with_setup_versions(found)
-    if r"pip-report\.json" in kinds:
-        found = with_report_requirements(found)
-    if not imports:
-        return found
-    scripts = lambda *names: within.where(F.col("kind").isin(*names) & (F.octet_length("text") <= MAX_BYTES))
-    also = sorted(kinds & {r"setup\.py", r"conanfile\.py"})
-    more = [python_imports(scripts(*also))] if also else []
-    return union(_parsed(scripts, SOURCES, kinds, found), *more)
+    parsers = PARSERS | {r".*\.mk": partial(mk_file, arch=arch), r"\.gitmodules": partial(gitmodules, depth=depth)}
+    found = {kind: parse(pick(kind)) for kind, parse in parsers.items() if kind in kinds}
+    # Parsers whose rows are joined with each other's, those alone.
+    for pair, joined in (((r"package\.xml", r"setup\.py"), with_setup_versions), ((r"requirements\.txt", r"pip-report\.json"), with_report_requirements)):
+        if set(pair) <= kinds:
+            found[pair] = joined(union(*(found.pop(kind) for kind in pair)))
+    frames = [*found.values(), libraries]
+    if imports:
+        scripts = lambda *names: within.where(F.col("kind").isin(*names) & (F.octet_length("text") <= MAX_BYTES))
+        frames += [parse(scripts(kind)) for kind, parse in SOURCES.items() if kind in kinds]
+        also = sorted(kinds & {r"setup\.py", r"conanfile\.py"})
+        frames += [python_imports(scripts(*also))] if also else []
+    return union(*frames)
 
 
 def edges(files: DataFrame, kinds: set[str] | None = None) -> DataFrame:
     files = _with_kind(files)
     if "inside" in files.columns:
         files = files.where("inside")
+    kinds = kinds_of(files) if kinds is None else kinds
     empty = files.limit(0).select("project", F.lit("").alias("parent_id"), F.lit("").alias("child_name"), F.lit(0).alias("ord"))
-    return _parsed(lambda kind: files.where(F.col("kind") == kind), EDGES, kinds_of(files) if kinds is None else kinds, empty)
+    return union(empty, *(parse(files.where(F.col("kind") == kind)) for kind, parse in EDGES.items() if kind in kinds))

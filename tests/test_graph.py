@@ -17,3 +17,25 @@ def test_chains_of_any_length(spark):
     got = graph.chains(spark.createDataFrame([(n,) for n in nodes], "target string"), paths).select("target", graph.chain_text("path").alias("chain")).collect()
     assert len(got) == len(want) and set(map(tuple, got)) == want
     assert max(r.depth for r in paths.where("not cyclic").collect()) == 9
+
+
+def test_chains_to_targets_touch_ancestors_only(spark):
+    """Ten targets in a graph of 20,000 nodes: only their ancestors are gone through."""
+    edges = [(f"n{i // 3}", f"n{i}") for i in range(1, 20_000)] + [("n40", "n4")]
+    resolved = spark.createDataFrame(edges, "parent string, child string")
+    targets = spark.createDataFrame([(f"n{i}",) for i in range(19_000, 19_010)] + [("apart",)], "target string")
+    above = {r.node for r in graph.reaching(targets, resolved).collect()}
+    want = {"apart"}
+    for i in range(19_000, 19_010):
+        while i:
+            want.add(f"n{i}")
+            i //= 3
+        want.add("n0")
+    assert above >= want and len(above) < 80
+    found = {(r.target, graph_text(r.path)) for r in graph.chains_to(targets, spark.createDataFrame([("n0",)], "root string"), resolved).collect()}
+    assert ("apart", "apart") in found and {t for t, _ in found} == {f"n{i}" for i in range(19_000, 19_010)} | {"apart"}
+    assert all(path == "apart" or path.startswith("n0 -> ") for _, path in found)
+
+
+def graph_text(path):
+    return " -> ".join(path)
