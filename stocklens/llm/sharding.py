@@ -28,7 +28,7 @@ def splitters(rows: DataFrame, n_ranges: int, samples_per_range: int, total: int
     """Quantiles of a size-weighted key sample: sorted boundaries (key, doc_id, at). Keys of more than `whole` bytes that fill more than one range keep a boundary for each.
 
     Each record is drawn with probability proportional to the mean of its share of the bytes and of the rows, so about
-    n_ranges * samples_per_range rows reach the driver whatever the input's size.
+    n_ranges * samples_per_range rows reach the driver: samples_per_range for each range, of which shard_by_bytes() takes one for every rows_per_range rows.
     """
     want = n_ranges * samples_per_range
     chance = want * (F.col("size") / F.lit(float(max(total, 1))) + F.lit(1.0 / max(count, 1))) / 2
