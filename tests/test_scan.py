@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stocklens.plans.scan import scan
+from stocklens.plans.tables import stored
 from stocklens.sinks import bom
 from stocklens.sources import manifests, tree
 
@@ -57,7 +58,8 @@ def files(spark):
 
 @pytest.fixture(scope="module")
 def parsed(files):
-    return {(r.ecosystem, r.name, r.version) for r in manifests.components(tree.suppress_siblings(tree.filter_entries(files))).select("ecosystem", "name", "version").collect()}
+    kept = tree.suppress_siblings(tree.filter_entries(files)).where("text is not null").withColumn("kind", manifests.kind_of(F.col("path")))
+    return {(r.ecosystem, r.name, r.version) for r in manifests.components(stored(kept, "kind")).select("ecosystem", "name", "version").collect()}
 
 
 @pytest.mark.parametrize(
@@ -89,7 +91,7 @@ def test_edges(files):
 
 
 def test_scan_and_documents(spark, files):
-    found = scan(files.unionByName(files.withColumn("project", F.lit("other")))).components.cache()
+    found = stored(scan(files.unionByName(files.withColumn("project", F.lit("other")))).components)
     one = {(r.ecosystem, r.name, r.version) for r in found.where("project = 'demo'").collect()}
     assert one == {(r.ecosystem, r.name, r.version) for r in found.where("project = 'other'").collect()}
     assert ("pip", "numpy", "1.26.0") in one and ("pip", "numpy", "detected") not in one
