@@ -4,8 +4,9 @@ A window is `width` consecutive words. Each has a minimizer, the least hash amon
 equal minimizers. Runs of windows with one minimizer are cut out as segments and grouped by (minimizer, content), so that each
 content is searched once, for all segments that hold it: those of later documents than its first go whole. Segments that differ but share a minimizer may still share windows:
 their words go to shards, each shard builds an FM-index of its distinct segments, and every segment is searched in it
-backwards, window by window. A failed search tells how far the next window may jump; a found one is extended along the
-matching text. Reported are the intervals whose windows also start in a document with a smaller doc_id.
+backwards, window by window. A failed search tells how far the next window may jump; what follows a found one is read back from the
+index, which keeps neither text nor suffix order. Reported are the matching statistics of at least a window, as intervals that also
+start in a document with a smaller doc_id.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from .common import MIX, WordHash, discard, gram_hashes, materialize, words_of
 GRAM = 8
 LAST = 2**63 - 1  # stands for a null doc_id, after all others
 SHARD_WORDS = 150_000  # words indexed by one task
+SAMPLE = 16  # words of a sequence for each place of the suffix order that an index keeps
 BROADCAST_IDS = 1_000_000
 INTERVALS = "array<struct<lo: int, hi: int>>"
 _POWERS = np.ones(1, np.uint64), np.ones(1, np.uint64)
@@ -107,33 +109,56 @@ class WaveletMatrix:
             place = np.where((symbol >> bit) & 1, zeros + ones, place - ones)
         return place
 
+    def step(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols held at places, and what rank() maps each of these to."""
+        symbol = np.zeros(len(place), np.int64)
+        for bit, blocks, before, zeros in self.levels:
+            block, inside = place >> 6, (place & 63).astype(np.uint64)
+            held = blocks[block]
+            ones = before[block] + np.bitwise_count(held & ((np.uint64(1) << inside) - np.uint64(1)))
+            one = ((held >> inside) & np.uint64(1)).astype(np.int64)
+            symbol |= one << bit
+            place = np.where(one, zeros + ones, place - ones)
+        return symbol, place
+
 
 class FmIndex:
-    """FM-index of word sequences joined by separators (symbol 0), with the rank of each sequence's owner."""
+    """FM-index of word sequences, each ended by a separator (symbol 0), with the owner of each row.
+
+    It keeps the wavelet matrix and a sample of the suffix order, one place in SAMPLE; words and places are read from the matrix by steps back.
+    """
 
-    def __init__(self, sequences: list[np.ndarray], owners: np.ndarray, width: int):
+    def __init__(self, sequences: list[np.ndarray], owners: np.ndarray):
         lengths = np.array([len(s) for s in sequences])
-        text = np.zeros(int(lengths.sum()) + len(sequences) + 1, np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
-        for start, s in zip(self.starts, sequences, strict=True):
-            text[start : start + len(s)] = s
-        n = len(text)
-        order, rank, span = np.argsort(text, kind="stable"), text.copy(), 1
-        while span < width:  # doubling: suffixes need their order over the width of a window only
-            key = rank * (n + 1) + np.concatenate([rank[span:] + 1, np.zeros(min(span, n), np.int64)])[:n]
-            order = np.argsort(key, kind="stable")
+        self.ends = np.cumsum(lengths + 1) - 1
+        n, count = int(self.ends[-1]) + 1, len(sequences)
+        offset = np.arange(n) - np.repeat(self.ends - lengths, lengths + 1)
+        ended = np.zeros(n, bool)
+        ended[self.ends] = True
+        text = np.zeros(n, np.int64)
+        text[~ended] = np.concatenate(sequences)
+        # Separators are told apart by their order, so that no comparison of suffixes goes past one.
+        rank, span = text + (count - 1), 1
+        rank[self.ends] = np.arange(count)
+        while True:
+            key = rank * (2 * n + 2)
+            key[: n - span] += rank[span:] + 1
+            order = np.argsort(key)
             step = key[order]
             rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(np.concatenate([[0], step[1:] != step[:-1]]))
+            rank[order] = np.cumsum(np.concatenate([[False], step[1:] != step[:-1]]))
+            if rank[order[-1]] == n - 1:
+                break
             span *= 2
-        self.text, self.order = text, order
         top = int(text.max())
-        count = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=top + 1))])
-        self.wavelet = WaveletMatrix(text[order - 1], top)
-        symbols = np.arange(top + 1)
-        self.first = count[:-1] - self.wavelet.rank(symbols, np.zeros(top + 1, np.int64))
-        owner = np.concatenate([np.repeat(owners, lengths + 1), [owners.max() if len(owners) else 0]])
-        self.least = [owner[order]]  # sparse table: least owner of 2**k rows from each row
+        below = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=top + 1))])
+        self.size, self.wavelet = n, WaveletMatrix(text[order - 1], top)
+        self.first = below[:-1] - self.wavelet.rank(np.arange(top + 1), np.zeros(top + 1, np.int64))
+        self.places = np.flatnonzero((offset % SAMPLE == 0) | ended)
+        self.rows = rank[self.places]
+        self.by_row = np.argsort(self.rows)
+        self.owners, owner = np.unique(owners, return_inverse=True)
+        self.least = [np.repeat(owner.astype(np.int32), lengths + 1)[order]]  # sparse table: least owner of 2**k rows from each row
         while len(self.least[-1]) > 1 << (len(self.least) - 1):
             half = 1 << (len(self.least) - 1)
             low = self.least[-1]
@@ -153,14 +178,47 @@ class FmIndex:
             out[at] = np.minimum(table[low[at]], table[high[at] - (1 << k)])
         return out
 
-    def witness(self, low: int, high: int, owner: int) -> int:
-        return int(self.order[low + int(np.argmax(self.least[0][low:high] == owner))])
+    def back(self, row):
+        """The word before each row's suffix, and the row of the suffix that starts with it."""
+        symbol, place = self.wavelet.step(row)
+        return symbol, self.first[symbol] + place
+
+    def locate(self, row: np.ndarray) -> np.ndarray:
+        """Places of rows in the text: those of the sampled rows that steps back lead to, and the steps."""
+        row, place = row.copy(), np.empty(len(row), np.int64)
+        sampled, live, steps = self.rows[self.by_row], np.arange(len(row)), 0
+        while True:
+            at = np.minimum(np.searchsorted(sampled, row[live]), len(sampled) - 1)
+            hit = sampled[at] == row[live]
+            place[live[hit]] = self.places[self.by_row[at[hit]]] + steps
+            live = live[~hit]
+            if not len(live):
+                return place
+            row[live] = self.back(row[live])[1]
+            steps += 1
+
+    def following(self, place: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """A line for each place with its next count words, 0 beyond them and where the sequence ends: read by steps back from a sampled place."""
+        out = np.zeros((len(place), int(count.max(initial=0))), np.int64)
+        stop = np.minimum(place + count, self.ends[np.searchsorted(self.ends, place)])
+        at = np.searchsorted(self.places, stop)
+        here, row = self.places[at] - place, self.rows[at]
+        live = np.flatnonzero(here > 0)
+        while len(live):
+            symbol, row[live] = self.back(row[live])
+            here[live] -= 1
+            wanted = here[live] < count[live]
+            out[live[wanted], here[live[wanted]]] = symbol[wanted]
+            live = live[here[live] > 0]
+        return out
 
     def matches(self, queries: list[np.ndarray], owners: np.ndarray, width: int) -> list[tuple[int, int, int]]:
-        """(query, from, to): words of a query covered by windows that also occur in a sequence of a smaller owner.
+        """(query, from, to): the matching statistics of queries, as far as they reach width, against sequences of smaller owners.
 
-        All queries advance together, long ones in pieces of `width` window starts. A window is read from its last word to its
-        first; if its last t words don't occur under a smaller owner, the next window to try starts after the first of them.
+        The words from `from` to `to` occur in a sequence of a smaller owner, and there the match ends; starts between from and to - width
+        lie in this match and aren't told again; all other starts have a statistic below width. All queries advance together, long ones
+        in pieces of `width` window starts. A window is read from its last word to its first; if its last t words don't occur under
+        a smaller owner, the next window to try starts after the first of them. What follows a window that does is read from the index.
         """
         whole = np.array([len(q) for q in queries], np.int64)
         words = np.concatenate(queries)
@@ -169,38 +227,39 @@ class FmIndex:
         offset = (np.arange(len(query)) - np.repeat(np.cumsum(parts) - parts, parts)) * width
         base = (np.cumsum(whole) - whole)[query] + offset
         lengths = np.minimum(whole[query] - offset, 2 * width - 1)
-        owners = owners[query]
-        n, top = len(self.text), len(self.first)
+        mine, top = np.searchsorted(self.owners, owners)[query], len(self.first)
         at = np.zeros(len(query), np.int64)  # start of the window
         read = np.zeros(len(query), np.int64)  # words of it read so far
-        low, high = np.zeros(len(query), np.int64), np.full(len(query), n)
-        live = np.flatnonzero(lengths >= width)
-        found = []
+        low, high = np.zeros(len(query), np.int64), np.full(len(query), self.size)
+        live, held, found = np.flatnonzero(lengths >= width), [], []
         while len(live):
             symbol = words[base[live] + at[live] + width - 1 - read[live]]
             inside = (symbol > 0) & (symbol < top)
             lo, hi = self.extend(np.where(inside, symbol, 0), low[live], high[live])
             good = inside & (lo < hi)
-            good[good] = self.least_owner(lo[good], hi[good]) < owners[live[good]]
+            good[good] = self.least_owner(lo[good], hi[good]) < mine[live[good]]
             read[live] += 1
             low[live], high[live] = lo, hi
-            lost = live[~good]
+            lost, full = live[~good], good & (read[live] == width)
             at[lost] += width + 1 - read[lost]
-            full = live[good & (read[live] == width)]
-            if len(full):
-                owner = self.least_owner(low[full], high[full])
-                for q, o in zip(full.tolist(), owner.tolist(), strict=True):
-                    here = self.witness(int(low[q]), int(high[q]), o) + width
-                    rest = words[base[q] + at[q] + width : base[q] + lengths[q]]
-                    there = self.text[here : here + len(rest)]
-                    differ = np.flatnonzero(there != rest[: len(there)])
-                    more = int(differ[0]) if len(differ) else len(there)
-                    start = int(offset[q] + at[q])
-                    found.append((int(query[q]), start, start + width + more))
-                    at[q] += more + 1
-            again = np.concatenate([lost, full])
-            read[again], low[again], high[again] = 0, 0, n
+            read[lost], low[lost], high[lost] = 0, 0, self.size
+            held.append(live[full])
+            live = live[~full]
             live = live[at[live] + width <= lengths[live]]
+            if not len(live):  # all windows found since the last time, at once
+                full, held = np.concatenate(held), []
+                least = self.least_owner(low[full], high[full])
+                row = np.array([a + int(np.argmax(self.least[0][a:b] == o)) for a, b, o in zip(low[full].tolist(), high[full].tolist(), least.tolist(), strict=True)], np.int64)
+                rest = lengths[full] - at[full] - width
+                there = self.following(self.locate(row) + width, rest) if len(full) else np.zeros((0, 0), np.int64)
+                column = np.arange(there.shape[1])
+                here = words[np.minimum((base[full] + at[full] + width)[:, None] + column, len(words) - 1)]
+                more = np.logical_and.accumulate((there == here) & (column < rest[:, None]), axis=1).sum(axis=1)
+                start = offset[full] + at[full]
+                found += zip(query[full].tolist(), start.tolist(), (start + width + more).tolist(), strict=True)
+                at[full] += more + 1
+                read[full], low[full], high[full] = 0, 0, self.size
+                live = full[at[full] + width <= lengths[full]]
         return found
 
 
@@ -212,7 +271,7 @@ def _search_shard(width: int):
         if not len(held) or not len(asked):
             return pd.DataFrame({"m": [], "h": [], "parts": []}).astype({"m": "int64", "h": "int64", "parts": object})
         owner = group["d0"].to_numpy(np.int64)
-        index = FmIndex([sequences[i] for i in held], owner[held], width)
+        index = FmIndex([sequences[i] for i in held], owner[held])
         found = index.matches([sequences[i] for i in asked], owner[asked], width)
         joined: dict[int, list[dict[str, int]]] = {}
         for q, lo, hi in sorted(found):

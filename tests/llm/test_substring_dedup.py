@@ -2,10 +2,11 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from stocklens.llm import substring_dedup
-from stocklens.llm.substring_dedup import digests, remove_repeats
+from stocklens.llm.substring_dedup import FmIndex, digests, remove_repeats
 
 SCHEMA = "doc_id long, text string, d long, parts string"
 
@@ -70,3 +71,53 @@ def test_long_text_and_empty_table(spark):
     got = digests(spark.createDataFrame([(1, long, 0, ""), (2, "x " + long, 0, "")], SCHEMA)).collect()
     assert {r.doc_id: r.n_removed for r in got} == {1: 0, 2: 40_000}
     assert digests(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("seed,letters", [(1, 2), (2, 4), (3, 30)])
+def test_matching_statistics_by_brute_force(seed, letters):
+    """Each start with a statistic of a window or more lies in a told match; each told match occurs under a smaller owner and ends with it."""
+    rng, width = random.Random(seed), 6
+    passages = [[rng.randint(1, letters) for _ in range(40)] for _ in range(3)]
+    sequences = [np.array(rng.choice(passages)[rng.randint(0, 20) : rng.randint(21, 40)] + [rng.randint(1, letters) for _ in range(rng.randint(1, 60))]) for _ in range(40)]
+    owners = np.array([rng.randint(0, 25) for _ in sequences])
+    found = FmIndex(sequences, owners).matches(sequences, owners, width)
+
+    def statistic(q, start):
+        words = sequences[q].tolist()
+        longest = 0
+        for s, owner in zip(sequences, owners):
+            if owner < owners[q]:
+                other = s.tolist()
+                for i in range(len(other)):
+                    k = 0
+                    while i + k < len(other) and start + k < len(words) and other[i + k] == words[start + k]:
+                        k += 1
+                    longest = max(longest, k)
+        return longest
+
+    covered = {(q, i) for q, a, b in found for i in range(a, b)}
+    expected = set()
+    for q, s in enumerate(sequences):
+        for i in range(len(s)):
+            if (k := statistic(q, i)) >= width:
+                expected |= {(q, j) for j in range(i, i + k)}
+    assert covered == expected
+    assert all(b - a <= statistic(q, a) for q, a, b in found)
+
+
+def test_index_reads_its_words_back():
+    rng = np.random.default_rng(3)
+    sequences = [rng.integers(1, 5, n) for n in (1, 15, 16, 17, 90, 3)] + [np.ones(70, np.int64)] * 2
+    index = FmIndex(sequences, np.arange(len(sequences)))
+    assert len(index.places) < index.size / 4
+    text = np.concatenate([np.append(s, 0) for s in sequences])
+    places = np.arange(len(text))[text > 0]
+    got = index.following(places, np.full(len(places), 20))
+    for line, place in zip(got, places):
+        rest = sequences[int(np.searchsorted(index.ends, place))][-int(index.ends[np.searchsorted(index.ends, place)] - place) :][:20]
+        assert line.tolist() == rest.tolist() + [0] * (20 - len(rest))
+    low, high = np.array([0]), np.array([index.size])
+    for word in (1, 1, 1):
+        low, high = index.extend(np.array([word]), low, high)
+    expected = [i for i in range(len(text)) if text[i : i + 3].tolist() == [1, 1, 1]]
+    assert sorted(index.locate(np.arange(low[0], high[0])).tolist()) == expected
