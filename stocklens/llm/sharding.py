@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 LOWEST = -(2**63)
+RANGES = 1 << 16  # at most
+SAMPLED = 1 << 18  # rows of the sample, about and at most: what the driver holds, whatever the input's size
 
 
 def record_sizes(docs: DataFrame) -> DataFrame:
@@ -28,7 +30,7 @@ def splitters(rows: DataFrame, n_ranges: int, samples_per_range: int, total: int
     """Quantiles of a size-weighted key sample: sorted boundaries (key, doc_id, at). Keys of more than `whole` bytes that fill more than one range keep a boundary for each.
 
     Each record is drawn with probability proportional to the mean of its share of the bytes and of the rows, so about
-    n_ranges * samples_per_range rows reach the driver: samples_per_range for each range, of which shard_by_bytes() takes one for every rows_per_range rows.
+    n_ranges * samples_per_range rows reach the driver.
     """
     want = n_ranges * samples_per_range
     chance = want * (F.col("size") / F.lit(float(max(total, 1))) + F.lit(1.0 / max(count, 1))) / 2
@@ -75,13 +77,15 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 24, ranges_per_shard: int =
     Shards differ from an equal share by no more than one record or one kept-together group. Copies of a text share a shard
     while together they hold at most whole_share of a shard; larger groups are cut where shards end. Null texts have size 8
     and form one group; null doc_ids come first in a group; equal rows take neighbouring slots. Other columns are ignored.
-    There are ranges_per_shard ranges for each shard, or more, so that a range has about rows_per_range rows at most.
+    There are ranges_per_shard ranges for each shard, or more, up to RANGES, so that a range has about rows_per_range rows at most;
+    samples of a range become fewer as ranges become more, so that the sample has about SAMPLED rows at most. Rows and sizes are exact in any case.
     """
     spark = docs.sparkSession
     rows = materialize(record_sizes(docs))
     total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     limit = int(total / n_shards * whole_share)
-    bounds = splitters(rows, max(n_shards * ranges_per_shard, -(-count // rows_per_range)), samples_per_range, total, count, limit)
+    n_ranges = max(n_shards * ranges_per_shard, min(RANGES, -(-count // rows_per_range)))
+    bounds = splitters(rows, n_ranges, max(1, min(samples_per_range, SAMPLED // n_ranges)), total, count, limit)
     spread = bounds.loc[bounds["key"].duplicated(), "key"].unique().tolist()
     placed = rows.withColumn("range", range_of(bounds) if len(bounds) else F.lit(0))
     group = ["range", "key", "size", "text_crc32"]

@@ -4,6 +4,7 @@ import zlib
 
 import pytest
 
+from stocklens.llm import sharding
 from stocklens.llm.sharding import shard_by_bytes
 
 SCHEMA = "doc_id long, text string, shard int"
@@ -78,3 +79,16 @@ def test_placement_against_brute_force(spark, rows_per_range):
     assert sorted(((r.doc_id, r.text_crc32, r.shard) for r in got), key=key) == sorted(brute(rows, 7), key=key)
     for s in range(7):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
+def test_sample_does_not_grow_with_the_rows(spark, monkeypatch):
+    """Many ranges share one bounded sample, and their number is bounded too; the law holds all the same."""
+    monkeypatch.setattr(sharding, "RANGES", 60)
+    monkeypatch.setattr(sharding, "SAMPLED", 240)
+    asked = []
+    plain = sharding.splitters
+    monkeypatch.setattr(sharding, "splitters", lambda rows, n, per, *more: asked.append((n, per)) or plain(rows, n, per, *more))
+    rows = [(i, f"text {i * 7919 % 1000}", 1) for i in range(3000)]
+    got = shard_by_bytes(spark.createDataFrame(rows, SCHEMA), 4, ranges_per_shard=2, rows_per_range=10).collect()
+    assert asked == [(60, 4)]
+    assert sorted((r.doc_id, r.text_crc32, r.shard) for r in got) == sorted(brute(rows, 4))
