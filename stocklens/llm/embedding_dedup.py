@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import components, discard, materialize
 
-SAMPLE = 20_000  # vectors from which rotations are learned
+SAMPLE = 20_000  # vectors from which rotations are learned, at most
+COMPONENTS = 8_000_000  # components of these vectors together, at most, which bounds what the driver holds
 BUCKET = 256
 RECALL = 0.995
 PIECE = 1024  # vectors of a bucket that one task holds as one side
@@ -148,8 +149,10 @@ def _compare(cosine: float, radius: int, dims: int, bits: int):
 def links_of(classes: DataFrame, n: int, dims: int, cosine: float) -> DataFrame:
     """(cid, links, a, b) of n classes (cid, copies, vector) whose vectors all have dims components."""
     bits, tables, count = table_plan(n, dims, cosine)
-    drawn = classes.where(F.shiftrightunsigned(F.xxhash64("cid", F.lit(5)), 11) / F.lit(float(2**53)) < SAMPLE / n) if n > SAMPLE else classes
-    mean, rotations = learn_rotations(np.array(drawn.select("vector").toPandas()["vector"].tolist()), count)
+    size = min(SAMPLE, max(1, COMPONENTS // dims))
+    drawn = classes.where(F.shiftrightunsigned(F.xxhash64("cid", F.lit(5)), 11) / F.lit(float(2**53)) < size / n) if n > size else classes
+    sample = drawn.select("vector").toArrow().column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+    mean, rotations = learn_rotations(sample, count)
     flips = math.acos(cosine) / math.pi
     radius = math.ceil(dims * count * flips + 5 * math.sqrt(dims * count * flips * (1 - flips)))
 

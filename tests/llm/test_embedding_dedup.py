@@ -58,3 +58,16 @@ def test_lengths_magnitudes_and_repeated_ids(spark):
     rows += [(5, c.tolist()), (6, (c * 2).tolist()), (7, [1.0]), (8, [3.0]), (9, [1.0, 0.0, 0.0])]
     got = sorted((r.vec_id, r.n_links, r.component_id) for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).where("vec_id < 10").collect())
     assert got == [(1, 1, 1), (1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 1, 1), (5, 1, 5), (6, 1, 5), (7, 1, 7), (8, 1, 7), (9, 0, 9)]
+
+
+def test_rotations_of_a_bounded_sample(spark, monkeypatch):
+    """Few components on the driver, of which no row is left out of the comparison: links are still found, and copies always."""
+    monkeypatch.setattr(embedding_dedup, "COMPONENTS", 64 * 150)
+    sizes, plain = [], embedding_dedup.learn_rotations
+    monkeypatch.setattr(embedding_dedup, "learn_rotations", lambda sample, *more: sizes.append(sample.shape) or plain(sample, *more))
+    rows = make(600, 64, 2)
+    ids, links = brute(rows, 0.9)
+    got = near_vectors(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(sizes) == 1 and 80 < sizes[0][0] < 260 and sizes[0][1] == 64
+    assert sum(r.n_links for r in got) >= 0.95 * len(links)
+    assert all(r.n_links >= 40 for r in got if r.vec_id is not None and 9000 <= r.vec_id < 9040)
