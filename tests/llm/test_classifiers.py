@@ -1,5 +1,7 @@
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,3 +75,38 @@ def test_rule_ensemble_keeps_the_class_ratio(spark):
     table = spark.createDataFrame(labels, "doc_id long, quality int")
     decided = [rule_ensemble.scored(docs, rule_ensemble.trained(docs, table, n)).selectExpr("doc_id % 5 < 2 as doubtful", "score >= 0.5 as good").distinct().collect() for n in (100, 4000)]
     assert all(sorted(map(tuple, d)) == [(False, True), (True, True)] for d in decided)
+
+
+def forward(model, text):
+    """The score written out: n-grams hashed one by one, their vectors averaged to words, words to runs of three, a softmax over the classes."""
+    words = []
+    for word in (text or "").lower().encode().split():
+        marked, grams = b"<" + word + b">", []
+        for n in (3, 4, 5):
+            for i in range(len(marked) - n + 1):
+                h = 0x811C9DC5
+                for byte in marked[i : i + n]:
+                    h = (h ^ byte) * 0x01000193 % 2**32
+                grams.append(model.vectors[(h ^ h >> 15) % len(model.vectors)].astype(float))
+        words.append(np.mean(grams, axis=0))
+    runs = [np.mean(words[i : i + 3], axis=0) for i in range(max(1, len(words) - 2))] if words else [np.zeros(model.vectors.shape[1])]
+    logits = []
+    for run in runs:
+        z = run @ model.weights.astype(float) + model.bias.astype(float)
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        logits.append(math.log(p[1] / p[0]))
+    return 1 / (1 + math.exp(-(model.slope * max(logits) + model.shift)))
+
+
+def test_toxicity_against_a_plain_forward_pass(spark, tables):
+    docs, labels = tables
+    model = toxicity.trained(docs, labels)
+    odd = ["", None, "a", "é ü", "word1", "word1 vilescum", "x " * 7, "\t\n", "Word1 WORD2 Scumface\x0bword3 \u00a0joined", "日本語 テキスト 漢字 かな"]
+    rows = [(r.doc_id, r.text) for r in docs.where("doc_id < 40 or doc_id = 1003").collect()] + list(enumerate(odd, 5000))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.score) for r in toxicity.score(table, model).collect())
+    want = sorted((i, forward(model, t)) for i, t in rows)
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert np.allclose([s for _, s in got], [s for _, s in want], atol=1e-5)
+    kept = {r.doc_id for r in toxicity.reject_toxic(table.where("doc_id <> 1003"), model).collect()}
+    assert kept == {i for i, s in want if s < 0.7 and i != 1003}
