@@ -32,12 +32,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages of 50 words that also start in a document with a smaller id, and counts n_chars anew."""
+    """Cuts passages of 50 words that also start in a document with a smaller id, and counts n_chars anew.
+
+    A null text stays null and so does its n_chars. A null id counts as greater than all others; rows of one id cut nothing from each other.
+    """
     return substring_dedup.remove_repeats(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, length in words, bucket, bucket_length, batch, place and padding of each document."""
+    """doc_id, length in words, bucket, bucket_length, batch, place and padding of each document. Null texts have length 0; null and repeated ids are ordinary rows."""
     return packing.pack(materialize(docs.select("doc_id", packing.word_count("text").alias("length"))))
 
 

@@ -134,6 +134,10 @@ def test_stages_keep_columns_and_odd_rows(spark, folder):
             kept = stage(spark, some, folder)
             assert kept.columns == docs.columns, name
             assert kept.count() <= some.count(), name
+        packed = corpus_pipeline.pack_documents(spark, some, folder).collect()
+        words = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in some.where("doc_id is not null").collect()}
+        assert len(packed) == some.count() and {r.doc_id: r.length for r in packed if r.doc_id is not None} == words
+        assert sorted(r.length for r in packed if r.doc_id is None) == ([0, 4] if packed else [])
 
 
 def test_digests_of_removed_passages(spark, folder):
