@@ -5,8 +5,8 @@ equal minimizers. Runs of windows with one minimizer are cut out as segments and
 content is searched once, for all segments that hold it: those of later documents than its first go whole. Segments that differ but share a minimizer may still share windows:
 their words go to shards, each shard builds an FM-index of its distinct segments, and every segment is searched in it
 backwards, window by window. A failed search tells how far the next window may jump; what follows a found one is read back from the
-index, which keeps neither text nor suffix order. Reported are the matching statistics of at least a window, as intervals that also
-start in a document with a smaller doc_id.
+index, which keeps neither text nor suffix order. Reported are the intervals where matching statistics reach a window
+under a smaller doc_id; the statistics themselves are told as lower bounds, of one occurrence each.
 """
 
 from __future__ import annotations
@@ -213,10 +213,11 @@ class FmIndex:
         return out
 
     def matches(self, queries: list[np.ndarray], owners: np.ndarray, width: int) -> list[tuple[int, int, int]]:
-        """(query, from, to): the matching statistics of queries, as far as they reach width, against sequences of smaller owners.
+        """(query, from, to): matches of width words or more with sequences of smaller owners, which together cover all that such matches cover.
 
-        The words from `from` to `to` occur in a sequence of a smaller owner, and there the match ends; starts between from and to - width
-        lie in this match and aren't told again; all other starts have a statistic below width. All queries advance together, long ones
+        The words from `from` to `to` occur in a sequence of the smallest owner that has the window, as far as one occurrence there goes
+        (at most to the end of the piece), so to - from is a lower bound of the matching statistic at `from`. Starts between from and
+        to - width lie in this match and aren't told again; all other starts have a statistic below width. All queries advance together, long ones
         in pieces of `width` window starts. A window is read from its last word to its first; if its last t words don't occur under
         a smaller owner, the next window to try starts after the first of them. What follows a window that does is read from the index.
         """
