@@ -1,3 +1,5 @@
+import random
+
 from stocklens.operators import graph
 
 
@@ -39,3 +41,39 @@ def test_chains_to_targets_touch_ancestors_only(spark):
 
 def graph_text(path):
     return " -> ".join(path)
+
+
+def test_paths_are_made_of_parts_that_are_not_multiplied(spark):
+    """300 parents of a gate above 300 leaves, and a cycle back to it: 90,000 chains, of which only some hundred parts are written."""
+    edges = [("r", f"a{i}") for i in range(300)] + [(f"a{i}", "g") for i in range(300)] + [("g", f"b{i}") for i in range(300)] + [("b7", "g"), ("b8", "a0")]
+    resolved, roots = spark.createDataFrame(edges, "parent string, child string"), spark.createDataFrame([("r",)], "root string")
+    want = {(f"b{j}", f"r -> a{i} -> g -> b{j}") for i in range(300) for j in range(300)} | {("g", f"r -> a{i} -> g") for i in range(300)} | {(f"a{i}", f"r -> a{i}") for i in range(300)}
+    # From b8 back to a0, unless the path came from there.
+    want |= {("a0", f"r -> a{i} -> g -> b8 -> a0") for i in range(1, 300)}
+    heads, tails, back = graph.parts_of_paths(roots, resolved)
+    assert heads.count() < 1000 and tails.count() < 1000 and back.count() < 1000
+    targets = spark.createDataFrame([(f"{x}{i}",) for x in "ab" for i in range(300)] + [("g",)], "target string")
+    for text in (True, False):
+        got = graph.all_chains(targets, roots, resolved, text).collect()
+        assert len(got) == len(want) and {(r.target, r.path if text else graph_text(r.path)) for r in got} == want
+
+
+def test_all_paths_and_cycles_as_plain_code_finds_them(spark, monkeypatch):
+    """Dense random graphs, roots on cycles and below each other; cells of three rows give what large ones do."""
+    rng = random.Random(5)
+    monkeypatch.setattr(graph, "CELL", 3)
+    for _ in range(3):
+        edges = sorted({(f"n{rng.randrange(7)}", f"n{rng.randrange(7)}") for _ in range(15)})
+        want = sorted((p[0], p[-1], " ".join(p), cyclic) for r in ("n0", "n1", "n5") for p, cyclic in simple_and_cyclic(edges, [r]))
+        got = graph.unfold_all(spark.createDataFrame([("n0",), ("n1",), ("n5",)], "root string"), spark.createDataFrame(edges, "parent string, child string"))
+        rows = got.collect()
+        assert sorted((r.root, r.node, " ".join(r.path), r.cyclic) for r in rows) == want and all(r.depth == len(r.path) - 1 for r in rows)
+
+
+def simple_and_cyclic(edges, path):
+    yield path, False
+    for a, b in edges:
+        if a == path[-1] and b in path:
+            yield [*path, b], True
+        elif a == path[-1]:
+            yield from simple_and_cyclic(edges, [*path, b])
