@@ -665,19 +665,26 @@ DOTTED = r"^[0-9]+(?:\.[0-9]+){0,3}"
 
 def cmake_version() -> Column:
     """The version of a project() call, else of variables that are set for its parts: X_MAJOR_VERSION, or X_VERSION_MAJOR, and so on."""
+    bound = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))  # noqa: E731  value is made once, however often then names it
     leading = lambda c: F.nullif(F.regexp_extract(c, DOTTED, 0), F.lit(""))
     projects = F.filter(cmake_words("(?i:project)"), lambda w: (F.get(w, F.lit(1)) == "VERSION") & F.get(w, F.lit(2)).rlike(DOTTED))
     given = F.filter(cmake_words("set"), lambda w: (F.size(w) == 2) & F.get(w, F.lit(1)).rlike("^[0-9]+$"))
+    names = ("MAJOR", "MINOR", "PATCH")
 
-    def part(end: str) -> Column:
-        hits = F.filter(given, lambda w: F.get(w, F.lit(0)).rlike(rf"^\w+{end}$"))
-        return F.get(F.element_at(F.when(F.size(hits) > 0, hits), -1), F.lit(1))
+    def part(sets: Column, end: str) -> Column:
+        hits = F.filter(sets, lambda w: F.get(w, F.lit(0)).rlike(rf"^\w+{end}$"))
+        return bound(hits, lambda h: F.get(F.element_at(F.when(F.size(h) > 0, h), -1), F.lit(1)))
 
-    last = {p: part(f"_{p}_VERSION") for p in ("MAJOR", "MINOR", "PATCH")}
-    other = {p: part(f"_VERSION_{p}") for p in last}
-    major, minor, patch = (F.coalesce(last[p], other[p]) if p == "MAJOR" else F.when(last["MAJOR"].isNotNull(), last[p]).otherwise(F.coalesce(other[p], last[p])) for p in last)
-    parts = F.when(major.isNotNull() & ~(minor.isNull() & patch.isNotNull()), F.concat_ws(".", major, minor, patch))
-    return F.coalesce(leading(F.get(F.get(projects, F.lit(0)), F.lit(2))), parts)
+    def joined(sets: Column) -> Column:
+        last, other = (F.struct(*(part(sets, end.format(p)).alias(p) for p in names)) for end in ("_{}_VERSION", "_VERSION_{}"))
+        return bound(F.struct(last.alias("last"), other.alias("other")), chosen)
+
+    def chosen(both: Column) -> Column:
+        last, other = both["last"], both["other"]
+        major, minor, patch = (F.coalesce(last[p], other[p]) if p == "MAJOR" else F.when(last["MAJOR"].isNotNull(), last[p]).otherwise(F.coalesce(other[p], last[p])) for p in names)
+        return F.when(major.isNotNull() & ~(minor.isNull() & patch.isNotNull()), F.concat_ws(".", major, minor, patch))
+
+    return F.coalesce(bound(F.get(F.get(projects, F.lit(0)), F.lit(2)), leading), bound(given, joined))
 
 
 def vendored_libraries(files: DataFrame) -> DataFrame:
@@ -687,8 +694,9 @@ def vendored_libraries(files: DataFrame) -> DataFrame:
     place = ["project", F.regexp_extract("path", VENDORED, 1).alias("root"), child.alias("child")]
     properties = F.nullif(F.regexp_extract(F.regexp_extract("text", r"(?m)^version\s*=\s*(\S+)", 1), DOTTED, 0), F.lit(""))
     cmake, told = name == "CMakeLists.txt", F.struct("path", F.when(name == "CMakeLists.txt", F.coalesce(cmake_version(), F.lit(NONE))).otherwise(properties).alias("version"))
+    useful = (name == "CMakeLists.txt") | ((name == "library.properties") & properties.isNotNull())
     # Texts of the two names only; of all other files the path is enough.
-    texts = inside.where(name.isin("CMakeLists.txt", "library.properties") & F.col("text").isNotNull()).select(*place, told.alias("told"), F.when(cmake, 0).otherwise(1).alias("rank"), F.lit(False).alias("source")).where("told.version is not null")
+    texts = inside.where(useful & F.col("text").isNotNull()).select(*place, told.alias("told"), F.when(cmake, 0).otherwise(1).alias("rank"), F.lit(False).alias("source"))
     sources = inside.where(name.rlike(r"\.(?:c|cpp|cxx|cc|h|hpp|hxx)$")).select(*place, F.lit(None).cast(texts.schema["told"].dataType).alias("told"), F.lit(None).cast("int").alias("rank"), F.lit(True).alias("source"))
     best = texts.unionByName(sources).groupBy("project", "root", "child").agg(F.min_by("told", "rank").alias("told"))
     best = best.select("project", F.coalesce("told.path", "root").alias("path"), F.coalesce("told.version", F.lit(NONE)).alias("v"), "child")

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from stocklens import registry_files
+from stocklens.sources import manifests
 
 
 @pytest.fixture(scope="module")
@@ -24,3 +25,12 @@ def test_against_sql(spark, folder, name):
     columns, want = [d[0] for d in found.description], Counter(found.fetchall())
     got = registry_files.QUERIES[name](spark, folder)
     assert sorted(got.columns) == sorted(columns) and Counter(map(tuple, got.select(columns).collect())) == want
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_parsed_once(spark):
+    files = spark.createDataFrame([("p", "3rdparty/a/CMakeLists.txt", "")], "project string, path string, text string")
+    assert manifests.vendored_libraries(files)._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(text") <= 4
