@@ -22,6 +22,7 @@ from pyspark.sql.types import ArrayType, BooleanType, StringType, StructType
 
 from ..functions.dictionaries import library_license, ros_license
 from ..functions.identity import git_parts, js_root, python_name, python_root, source_info
+from ..plans.tables import stored
 from ..schema import as_components
 from .tree import INSTALLED, MAX_BYTES, dir_of, name_of
 
@@ -107,7 +108,8 @@ def distinct_names(files: DataFrame, names: Column, **more: Column) -> DataFrame
 
 
 def json_of(files: DataFrame, schema: str, toml: bool = False) -> DataFrame:
-    text = toml_json("text") if toml else F.col("text")
+    # Told to be nondeterministic, as filters and fields further up would each parse the text anew.
+    text = toml_json.asNondeterministic()("text") if toml else F.col("text")
     return files.select("project", "path", F.from_json(text, schema).alias("j")).where("j is not null")
 
 
@@ -507,15 +509,18 @@ def gitmodules(files, depth: int = SUBMODULE_DEPTH):
     A file is taken where its folder is first reached: at the top only if no file above it names its folder. Folders on the way to one aren't
     gone into again.
     """
-    listed = submodule_paths(files)
+    # Written once, and each level too, as all levels below would read the texts anew.
+    listed = stored(submodule_paths(files))
     folder = F.when(F.col("dir") == "", F.col("sub_path")).otherwise(F.concat_ws("/", "dir", "sub_path"))
-    inside = files.where("inside") if "inside" in files.columns else files
+    inside = stored(submodule_paths(files.where("inside"))) if "inside" in files.columns else listed
     named = listed.select("project", folder.alias("_folder"), "dir").where("_folder <> dir").select("project", F.col("_folder").alias("dir")).distinct()
-    level = submodule_paths(inside).join(named, ["project", "dir"], "left_anti").withColumns({"held_by": F.lit(""), "seen": F.array("dir")})
+    level = stored(inside.join(named, ["project", "dir"], "left_anti").withColumns({"held_by": F.lit(""), "seen": F.array("dir")}))
     levels = [level]
     for _ in range(depth):
         above = level.select("project", folder.alias("dir"), F.concat(F.lit(" (submodule: "), "sub_name", F.lit(")"), "held_by").alias("held_by"), F.array_append("seen", folder).alias("seen")).where(~F.array_contains(F.slice("seen", 1, F.size("seen") - 1), F.col("dir")))
-        level = listed.join(above, ["project", "dir"]).select(*listed.columns, "held_by", "seen")
+        level = stored(listed.join(above, ["project", "dir"]).select(*listed.columns, "held_by", "seen"))
+        if level.isEmpty():
+            break
         levels.append(level)
     rows = union(*levels)
     repo = F.get(F.transform(F.array("url"), git_parts), F.lit(0))  # bound once, as filters on the name would copy all of it

@@ -33,4 +33,6 @@ def plan_of(df):
 
 def test_texts_are_parsed_once(spark):
     files = spark.createDataFrame([("p", "3rdparty/a/CMakeLists.txt", "")], "project string, path string, text string")
+    assert plan_of(manifests.cargo_lock(files)).count("EvalPython [") <= 1
     assert manifests.vendored_libraries(files)._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(text") <= 4
+    assert "regexp_extract_all" not in plan_of(manifests.gitmodules(files))
