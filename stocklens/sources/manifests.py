@@ -1,7 +1,7 @@
 """Parsers of manifests, lock files, build scripts and imports, as column expressions over a table of files.
 
 Each parser takes files (project, path, text) and returns component rows; a file that can't be read as its format gives no rows, but
-parse_errors() tells it. TOML, which Spark has no reader for, is turned into JSON by one small Arrow UDF and then read like JSON; another
+parse_errors() tells it. TOML, which Spark has no reader for, is turned into JSON by one small UDF and then read like JSON; another
 finds the end of calls, whose brackets nest to any depth.
 """
 
@@ -15,10 +15,9 @@ from collections.abc import Callable
 from functools import partial, reduce
 from xml.parsers import expat
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, StringType, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, StringType, StructType
 
 from ..functions.dictionaries import library_license, ros_license
 from ..functions.identity import git_parts, js_root, python_name, python_root, source_info
@@ -30,15 +29,17 @@ NONE = "unspecified"
 M = "map<string,string>"
 
 
-@F.pandas_udf(StringType())
-def toml_json(text: pd.Series) -> pd.Series:
-    def one(t):
-        try:
-            return json.dumps(tomllib.loads(t), default=str)
-        except (tomllib.TOMLDecodeError, TypeError, RecursionError):
-            return None
+def of_text(kind: DataType | str):
+    """A UDF of one text. Texts go to Python by a hundred or so, whatever a table holds; an Arrow batch has 10,000 whole files and their results, for each core."""
+    return F.udf(returnType=kind, useArrow=False)
 
-    return text.map(one)
+
+@of_text(StringType())
+def toml_json(t: str) -> str | None:
+    try:
+        return json.dumps(tomllib.loads(t), default=str)
+    except (tomllib.TOMLDecodeError, TypeError, RecursionError):
+        return None
 
 
 def calls(head: str, marks: str) -> Callable[[Column], Column]:
@@ -49,20 +50,17 @@ def calls(head: str, marks: str) -> Callable[[Column], Column]:
     """
     start, mark = re.compile(head), re.compile(rf"{marks}|[()]", re.S)
 
-    @F.pandas_udf(ArrayType(StructType().add("call", StringType()).add("body", StringType())))
-    def found(text: pd.Series) -> pd.Series:
-        def one(t):
-            out = []
-            for begun in start.finditer(t):
-                depth = 1
-                for m in mark.finditer(t, begun.end()):
-                    depth += (m[0] == "(") - (m[0] == ")")
-                    if not depth:
-                        out.append({"call": begun[1], "body": t[begun.end() : m.start()]})
-                        break
-            return out
-
-        return text.map(one)
+    @of_text(ArrayType(StructType().add("call", StringType()).add("body", StringType())))
+    def found(t: str) -> list[dict]:
+        out = []
+        for begun in start.finditer(t):
+            depth = 1
+            for m in mark.finditer(t, begun.end()):
+                depth += (m[0] == "(") - (m[0] == ")")
+                if not depth:
+                    out.append({"call": begun[1], "body": t[begun.end() : m.start()]})
+                    break
+        return out
 
     return found
 
@@ -140,24 +138,20 @@ LOCKED = f"packages map<string, struct<version string, integrity string, dev boo
 LOCK_V1 = ArrayType(StructType().add("name", StringType()).add("version", StringType()).add("dev", BooleanType()).add("direct", BooleanType()))
 
 
-@F.pandas_udf(LOCK_V1)
-def nested_packages(text: pd.Series) -> pd.Series:
+@of_text(LOCK_V1)
+def nested_packages(t: str) -> list[dict]:
     """Packages of a lock file of version 1, whose dependencies nest to any depth; those below the first level are transitive. Each is followed by those below it, names in order."""
-
-    def one(t):
-        try:
-            lock = json.loads(t)
-            level = lambda d, direct: [(n, i, direct) for n, i in sorted((d or {}).items(), reverse=True)]
-            todo, found = [] if "packages" in lock else level(lock.get("dependencies"), True), []
-            while todo:
-                name, info, direct = todo.pop()
-                found.append({"name": name, "version": info.get("version") or "unknown", "dev": info.get("dev") is True, "direct": direct})
-                todo += level(info.get("dependencies"), False)
-            return found
-        except (ValueError, AttributeError, RecursionError):
-            return []
-
-    return text.map(one)
+    try:
+        lock = json.loads(t)
+        level = lambda d, direct: [(n, i, direct) for n, i in sorted((d or {}).items(), reverse=True)]
+        todo, found = [] if "packages" in lock else level(lock.get("dependencies"), True), []
+        while todo:
+            name, info, direct = todo.pop()
+            found.append({"name": name, "version": info.get("version") or "unknown", "dev": info.get("dev") is True, "direct": direct})
+            todo += level(info.get("dependencies"), False)
+        return found
+    except (ValueError, AttributeError, RecursionError):
+        return []
 
 
 def package_lock_v1(files):
@@ -625,9 +619,9 @@ def mk_versions(text: str, arch: str | None) -> dict[str, str]:
 def mk_files(files: DataFrame, arch: str | None = None) -> DataFrame:
     """project, path, variable, version of the version variables in .mk files."""
 
-    @F.pandas_udf("map<string,string>")
-    def read(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: mk_versions(t, arch))
+    @of_text("map<string,string>")
+    def read(t: str) -> dict[str, str]:
+        return mk_versions(t, arch)
 
     return files.select("project", "path", F.explode(read("text")).alias("variable", "version"))
 
@@ -847,26 +841,20 @@ def kind_of(path: Column) -> Column:
     return F.coalesce(F.try_element_at(table, name_of(path)), out)
 
 
-@F.pandas_udf(StringType())
-def toml_fault(text: pd.Series) -> pd.Series:
-    def one(t):
-        try:
-            tomllib.loads(t)
-        except (tomllib.TOMLDecodeError, RecursionError) as fault:
-            return f"TOML: {fault}"
-
-    return text.map(one)
-
+@of_text(StringType())
+def toml_fault(t: str) -> str | None:
+    try:
+        tomllib.loads(t)
+    except (tomllib.TOMLDecodeError, RecursionError) as fault:
+        return f"TOML: {fault}"
 
-@F.pandas_udf(StringType())
-def xml_fault(text: pd.Series) -> pd.Series:
-    def one(t):
-        try:
-            expat.ParserCreate(encoding="utf-8").Parse(t.encode(), True)
-        except expat.ExpatError as fault:
-            return f"XML: {fault}"
 
-    return text.map(one)
+@of_text(StringType())
+def xml_fault(t: str) -> str | None:
+    try:
+        expat.ParserCreate(encoding="utf-8").Parse(t.encode(), True)
+    except expat.ExpatError as fault:
+        return f"XML: {fault}"
 
 
 def ini_fault(text: Column) -> Column:

@@ -31,6 +31,14 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_texts_go_to_python_a_few_at_a_time(spark):
+    """An Arrow batch holds 10,000 rows, so whole files in one would fill an executor's Python as tables grow."""
+    files = spark.createDataFrame([("p", "x", "{}")], "project string, path string, text string")
+    for parse in (manifests.cargo_lock, manifests.poetry_lock, manifests.parse_errors):
+        plan = plan_of(parse(files))
+        assert "ArrowEvalPython" not in plan and (parse is manifests.parse_errors or "BatchEvalPython" in plan)
+
+
 def test_texts_are_parsed_once(spark):
     files = spark.createDataFrame([("p", "3rdparty/a/CMakeLists.txt", "")], "project string, path string, text string")
     assert plan_of(manifests.cargo_lock(files)).count("EvalPython [") <= 1
