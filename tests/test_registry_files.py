@@ -34,7 +34,7 @@ def plan_of(df):
 def test_texts_go_to_python_a_few_at_a_time(spark):
     """An Arrow batch holds 10,000 rows, so whole files in one would fill an executor's Python as tables grow."""
     files = spark.createDataFrame([("p", "x", "{}")], "project string, path string, text string")
-    for parse in (manifests.cargo_lock, manifests.poetry_lock, manifests.package_lock, manifests.poetry_lock_edges, manifests.parse_errors):
+    for parse in (manifests.cargo_lock, manifests.poetry_lock, manifests.package_lock, manifests.poetry_lock_edges, manifests.cmake, manifests.mk_file, manifests.parse_errors):
         plan = plan_of(parse(files))
         assert "ArrowEvalPython" not in plan and (parse is manifests.parse_errors or "BatchEvalPython" in plan)
 
